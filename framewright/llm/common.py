@@ -38,3 +38,38 @@ def cut(df: DataFrame) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; lower() does the same, faster, where all characters are ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+class Memo:
+    """What a worker process keeps from batch to batch: two generations of entries, so that frequent keys stay.
+
+    Holds at most twice ``cap`` entries and one batch; what falls out is only computed again.
+    """
+
+    def __init__(self, cap: int):
+        self.cap, self.new, self.old = cap, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """The keys that are not held; all others can be looked up in ``new`` from here on."""
+        if len(self.new) > self.cap:
+            self.old, self.new = self.new, {}
+        out = []
+        for k in keys:
+            if k not in self.new:
+                if k in self.old:
+                    self.new[k] = self.old[k]
+                else:
+                    out.append(k)
+        return out
+
+
+def chunks(texts: list, most: int):
+    """Slices of texts of up to ``most`` characters each, one text at least."""
+    at = 0
+    while at < len(texts):
+        size, to = 0, at
+        while to < len(texts) and (to == at or size + len(texts[to]) <= most):
+            size += len(texts[to])
+            to += 1
+        yield texts[at:to]
+        at = to

@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import digest_texts
 from .common import LOWER, UPPER, table
 from .exact_dedup import exact_dedup
+from .packing import harmonic_pack
 from .quality_rules import KEEP_SHARE, LINE_DOCS, LINE_SHARE, MIN_WORDS, quality_rules
 from .sharding import shard_query
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harmonic_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -24,6 +31,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_query(table(spark, sf_dir, "documents"))
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 OP6_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS id, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
@@ -66,7 +77,7 @@ FROM n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_quality_rules, op7_exact_dedup, op9_sharding)}
+    return {f.__name__: f for f in (op3_packing, op6_quality_rules, op7_exact_dedup, op9_sharding, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
