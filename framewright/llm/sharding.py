@@ -15,7 +15,14 @@ SLOTS = 16384
 #: A slot above this part of a shard's fair share, in bytes or rows, is split by doc_id.
 SPLIT = 1 / 64
 
-MAP_SCHEMA = "version int, vslot int, piece int, shard int, bytes long, rows long"
+
+def as_rows(spark: SparkSession, entries: list[tuple]) -> DataFrame:
+    """The map as a table: version, vslot, piece, shard, bytes, rows; it is small, so its text goes with the plan."""
+    text = ",".join(":".join(map(str, x)) for x in entries)
+    parts = F.split("entry", ":")
+    rows = spark.range(1 if entries else 0).select(F.explode(F.split(F.lit(text), ",")).alias("entry"))
+    kinds = {"version": "int", "vslot": "int", "piece": "int", "shard": "int", "bytes": "long", "rows": "long"}
+    return rows.select(*(parts[k].cast(kind).alias(name) for k, (name, kind) in enumerate(kinds.items())))
 
 
 def records(documents: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -94,14 +101,13 @@ def shard(documents: DataFrame, shards: int = 8, slots: int = SLOTS, grow_to: in
     for so many shards, and rows go where that says.
     Returns the rows and the map, all its versions.
     """
-    spark: SparkSession = documents.sparkSession
     rows = cut(pieces(cut(records(documents, slots)), shards))
     table = rows.groupBy("vslot", "piece").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     entries = first_map(table.collect(), shards)  # at most slots + 2 * shards / SPLIT rows, whatever the input
     versions = [entries]
     if grow_to:
         versions.append(rebalance(entries, grow_to))
-    slot_map = spark.createDataFrame([x for v in versions for x in v], MAP_SCHEMA)
+    slot_map = as_rows(documents.sparkSession, [x for v in versions for x in v])
     # Where each slot's rows begin in their shard: a window over the map, not over rows.
     here = W.partitionBy("shard").orderBy("vslot", "piece").rowsBetween(W.unboundedPreceding, -1)
     starts = slot_map.where(F.col("version") == len(versions)).select(
