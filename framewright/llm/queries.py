@@ -13,6 +13,17 @@ from .exact_dedup import exact_dedup
 from .packing import harmonic_pack
 from .quality_rules import KEEP_SHARE, LINE_DOCS, LINE_SHARE, MIN_WORDS, quality_rules
 from .sharding import shard_query
+from .simhash import near_duplicates
+from .substring_dedup import WINDOW, digest
+from .toxicity import toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +38,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_query(table(spark, sf_dir, "documents"))
 
@@ -76,9 +91,24 @@ FROM n
 """
 
 
+OP8_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT id, unnest(range(len(w) - {WINDOW - 1})) AS i,
+         unnest(list_transform(range(len(w) - {WINDOW - 1}), lambda i: sha256(array_to_string(w[i + 1 : i + {WINDOW}], ' ')))) AS k
+  FROM d WHERE len(w) >= {WINDOW}),
+again AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY k) AS c FROM windows) WHERE c > 1),
+gone AS (SELECT DISTINCT id, i + j AS i FROM again, range({WINDOW}) AS r(j)),
+words AS (SELECT id, unnest(range(len(w))) AS i, unnest(w) AS word FROM d),
+kept AS (SELECT id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (id, i) GROUP BY id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op6_quality_rules, op7_exact_dedup, op9_sharding, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_packing, op6_quality_rules, op7_exact_dedup, op8_substring_dedup, op9_sharding, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": OP6_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op6_quality_rules": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_substring_dedup": OP8_SQL}
