@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -22,20 +25,39 @@ END_ID = 2
 #: The two special strings of the word vocabulary, ordinary text here.
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 #: Words whose ids a worker keeps, words that are encoded at once, and characters that are split at once.
-KEPT_WORDS, WORDS_AT_ONCE, CHARS_AT_ONCE = 250_000, 5_000, 4_000_000
+KEPT_WORDS, WORDS_AT_ONCE, CHARS_AT_ONCE = 400_000, 5_000, 4_000_000
+
+#: A sign after a letter; an apostrophe may belong to what follows and stays.
+_SIGN = re.compile(rb"(?<=[a-z])([^a-z0-9\s'\x80-\xff])")
 
 _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that lower-cases, drops white space and never merges across it: word by word, each once."""
+    """Ids of texts by a tokenizer that lower-cases, drops white space and never merges across it: word by word, each once.
+
+    Words are told apart after A-Z is lower-cased and a space put between a letter and the
+    sign after it, where the tokenizer splits too. A word of lower-case letters alone goes
+    to its merges at once, as the signs that stand for its bytes; any other takes the whole way.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.joint, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
         self.mark = self.joint.token_to_id(SPECIAL[0])
+        self.merge = self.joint.model.tokenize
+        letters = (chr(b) for b in range(0x80, 0x800))  # every byte of UTF-8 that letters beyond a-z begin or go on with
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.signs = {}
+        for c in letters:
+            for byte, sign in zip(c.encode(), level.pre_tokenize_str(c)[0][0]):
+                self.signs[byte] = sign
+        for byte in range(0xE0, 0xF5):
+            c = bytes([byte, 0xA0 if byte < 0xED else 0x9F if byte == 0xED else 0x80 if byte == 0xF4 else 0x90 if byte >= 0xF0 else 0x80, 0x80, *[0x80] * (byte >= 0xF0)]).decode()
+            self.signs[byte] = level.pre_tokenize_str(c)[0][0][0]
         self.known = Memo(KEPT_WORDS)
 
     @staticmethod
@@ -44,23 +66,32 @@ class WordEncoder:
             _encoders[path] = WordEncoder(path)
         return _encoders[path]
 
-    def _learn(self, words: list[str]) -> None:
-        odd = [w for w in words if SPECIAL[0] in w or SPECIAL[1] in w]
-        for w in odd:
-            self.known.new[w] = np.array(self.plain.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = [w for w in words if w not in self.known.new] if odd else words
-        for at in range(0, len(words), WORDS_AT_ONCE):
-            some = words[at : at + WORDS_AT_ONCE]
+    def _learn(self, words: list[bytes]) -> None:
+        known, merge, rest = self.known.new, self.merge, []
+        for word in words:
+            if word.isalpha():
+                known[word] = array("I", [t.id for t in merge(word.decode())]).tobytes()
+                continue
+            text = word.decode()
+            if text.isalpha() and text == text.lower() and is_normalized("NFC", text):
+                known[word] = array("I", [t.id for t in merge(word.decode("latin-1").translate(self.signs))]).tobytes()
+            elif SPECIAL[0] in text or SPECIAL[1] in text:
+                known[word] = np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            else:
+                rest.append(word)
+        for at in range(0, len(rest), WORDS_AT_ONCE):
+            some = rest[at : at + WORDS_AT_ONCE]
             # A special token between the words keeps them apart and marks where each one's ids end.
-            ids = np.array(self.joint.encode_batch_fast([SPECIAL[0].join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.joint.encode_batch_fast([SPECIAL[0].join(w.decode() for w in some)], add_special_tokens=False)[0].ids, dtype="<u4")
             raw, start = ids.tobytes(), 0
             for word, end in zip(some, [*(np.flatnonzero(ids == self.mark) * 4).tolist(), len(raw)]):
-                self.known.new[word] = raw[start:end]
+                known[word] = raw[start:end]
                 start = end + 4
 
-    def encode(self, texts: list[str]):
+    def encode(self, texts: list[bytes]):
+        """The ids of each text, given as UTF-8, as little-endian unsigned 32-bit integers."""
         for part in chunks(texts, CHARS_AT_ONCE):
-            split = [t.split() for t in part]
+            split = [_SIGN.sub(rb" \1", t.lower()).split() for t in part]
             if new := self.known.missing({w for words in split for w in words}):
                 self._learn(new)
             get = self.known.new.__getitem__
@@ -96,7 +127,7 @@ def pieces(documents: DataFrame, path: str, with_ids: bool = False) -> DataFrame
         encoder = WordEncoder.of(path)
         for batch in batches:
             source, rows, blobs = [], [], []
-            for k, raw in enumerate(encoder.encode([t or "" for t in batch.column(1).to_pylist()])):
+            for k, raw in enumerate(encoder.encode([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])):
                 raw += end
                 n, start = len(raw) // 4, 0
                 for length, j in cuts(n):
