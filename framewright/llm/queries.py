@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .byte_bpe import digest_texts
 from .common import LOWER, UPPER, table
 from .exact_dedup import exact_dedup
+from .html_text import extract_main_text
+from .licenses import license_scan
 from .packing import harmonic_pack
 from .quality_rules import KEEP_SHARE, LINE_DOCS, LINE_SHARE, MIN_WORDS, quality_rules
 from .sharding import shard_query
@@ -30,6 +33,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, language, thousands of doc_id."""
+    folder = F.floor(F.col("doc_id") / 1000).cast("string")
+    path = F.concat_ws("/", "source", "lang", folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -107,7 +121,7 @@ FROM d LEFT JOIN kept USING (id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_packing, op6_quality_rules, op7_exact_dedup, op8_substring_dedup, op9_sharding, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_packing, op4_licenses, op5_html_text, op6_quality_rules, op7_exact_dedup, op8_substring_dedup, op9_sharding, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
