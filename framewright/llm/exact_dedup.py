@@ -65,3 +65,16 @@ def exact_dedup(documents: DataFrame) -> DataFrame:
         F.coalesce(F.col("keep.row") == F.col("row"), F.lit(True)).alias("kept"),
         "text_sha256",
     )
+
+
+def drop_copies(documents: DataFrame) -> DataFrame:
+    """The documents without those that exact_dedup drops, all columns as they are."""
+    judged = cut(exact_dedup(documents).where("NOT kept"))
+    names = documents.columns
+    norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
+    keyed = documents.select("*", F.sha2(norm, 256).alias("__sha"))
+    gone = judged.where("NOT (doc_id <=> keep_id)").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__gone")).distinct()
+    left = keyed.join(gone, (F.col("__sha") == F.col("__gone")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    if not judged.where("doc_id <=> keep_id").isEmpty():  # rows repeated under one doc_id
+        left = left.dropDuplicates(["doc_id", "__sha"])
+    return left.select(*names)

@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import LongType, StructField, StructType
+
 from .common import cut
 from .components import components
 
@@ -46,15 +48,16 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (long) of every row; a null text has no words and fingerprint 0."""
+def fingerprints(documents: DataFrame, carry: str | None = None) -> DataFrame:
+    """doc_id and fingerprint (long) of every row, and a column that is carried along; a null text has no words and fingerprint 0."""
+    others = ["doc_id", *[carry] * bool(carry)]
 
     def run(batches):
         for batch in batches:
             found = [fingerprint(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in others] + [pa.array(np.array(found, np.uint64).view(np.int64))], names=[*others, "fp"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, fp long")
+    return documents.select("doc_id", "text", *others[1:]).mapInArrow(run, StructType([*(documents.schema[c] for c in others), StructField("fp", LongType())]))
 
 
 # ---- which bits go together, and how far each partition is searched
@@ -292,6 +295,20 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def _groups(documents: DataFrame, distance: int, carry: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Each row's fingerprint, and the group and its smallest doc_id of each fingerprint."""
+    rows = cut(fingerprints(documents, carry))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    linked = cut(links(distinct, distance))
+    roots = cut(components(linked))
+    named = roots.join(distinct, roots.node == distinct.fp).select("fp", "root", "least")
+    least = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
+    groups = cut(named.join(least, "root").select("fp", "root", "component_id"))
+    found = F.col("root").isNotNull()
+    each = distinct.join(groups, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(found, F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    return rows, cut(each)
+
+
 def near_duplicates(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """The fingerprint and the group of every document.
 
@@ -301,12 +318,22 @@ def near_duplicates(documents: DataFrame, distance: int = DISTANCE) -> DataFrame
     another; repeated rows each come back. Extra columns are ignored.
     Returns doc_id, fingerprint (16 hex digits) and component_id, the group's smallest doc_id.
     """
-    rows = cut(fingerprints(documents))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    linked = cut(links(distinct, distance))
-    roots = cut(components(linked))
-    named = roots.join(distinct, roots.node == distinct.fp).select("fp", "root", "least")
-    least = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    groups = cut(named.join(least, "root").select("fp", "component_id"))
-    alone = distinct.join(groups, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return rows.join(cut(alone), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows, each = _groups(documents, distance)
+    return rows.join(each, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """The documents without all but one of each group: the one with the smallest doc_id stays, a null one last. All columns stay as they are."""
+    names = documents.columns
+    keyed = documents.select("*", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("__key"))
+    rows, each = _groups(keyed, distance, "__key")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__key")
+    crowd = cut(rows.join(each, "fp").select("root", "doc_id", "__key"))
+    first = cut(crowd.groupBy("root").agg(F.min_by("__key", order).alias("__first"), F.count("*").alias("n")).where("n > 1"))
+    met = cut(crowd.join(first, "root").select("__key", "__first", "root"))
+    gone = met.where("__key <> __first").select(F.col("__key").alias("__gone")).distinct()
+    left = keyed.join(gone, F.col("__key") == F.col("__gone"), "left_anti")
+    again = met.where("__key = __first").groupBy("__key").agg(F.count("*").alias("n")).where("n > 1")
+    if not again.isEmpty():  # rows repeated under one doc_id
+        left = left.dropDuplicates(["__key"])
+    return left.select(*names)
