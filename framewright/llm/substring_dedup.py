@@ -107,7 +107,7 @@ def candidates(rows: DataFrame) -> DataFrame:
     often = cut(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > TREE_ROWS).cast("long").alias("crowd")))
     # Both sides are exchanged for this join alone, so AQE splits an anchor that very many documents hold.
     met = found.join(often, "gram").select("key", (F.col("place").cast("long") * 2 + F.col("crowd")).alias("place"))
-    return met.groupBy("key").agg(F.collect_set("place").alias("places"))  # at most a document's words
+    return met.groupBy(F.col("key").alias("__at")).agg(F.collect_set("place").alias("__places"))  # at most a document's words
 
 
 SUFFIX = "part long, node long, key long, start int, n int, words binary, sure boolean"
@@ -138,7 +138,7 @@ def _suffixes(joined: DataFrame) -> DataFrame:
         for batch in batches:
             out: list = []
             names = batch.schema.names
-            columns = (batch.column(names.index(c)) for c in ("__text", "__key", "places"))
+            columns = (batch.column(names.index(c)) for c in ("__text", "__key", "__places"))
             for text, key, places in zip(*(c.to_pylist() for c in columns)):
                 h = _word_hashes(text)
                 grams, at, first, end = anchors(h)
@@ -268,10 +268,10 @@ def substring_dedup(documents: DataFrame) -> DataFrame:
     kept = documents.drop("n_words", "n_removed")
     keyed = kept.select("*", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("__key"), F.coalesce("text", F.lit("")).cast("binary").alias("__text")).drop("text")
     places = cut(candidates(keyed.select("__text", "__key")))
-    joined = keyed.join(places, keyed["__key"] == places["key"]).drop("key")
-    spans = repeats(_suffixes(joined)).groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("__spans"))
+    joined = keyed.join(places, keyed["__key"] == places["__at"]).drop("__at")
+    spans = repeats(_suffixes(joined)).groupBy(F.col("key").alias("__at")).agg(F.collect_set(F.struct("start", "n")).alias("__spans"))
     # The texts' exchange by key is the one of the join above, used again.
-    both = keyed.join(spans, keyed["__key"] == spans["key"], "left").drop("key", "__key")
+    both = keyed.join(spans, keyed["__key"] == spans["__at"], "left").drop("__at", "__key")
     names = kept.columns
 
     def run(batches):
