@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import Memo, chunks, cut
 
-#: The bound of the fit: labelled rows that are read, those with the smallest hashes of their doc_id. The model's size follows.
-TRAIN_ROWS = 30_000
+#: The bound of the fit: labelled rows of each class that are read, those with the smallest hashes of their doc_id. The model's size follows.
+TRAIN_ROWS = 5_000
 #: Characters a model looks back at, itself included; orders up to SHARED take their counts from both classes together.
-ORDER, SHARED = 6, 3
+ORDER, SHARED = 7, 2
 #: Counts below this are not kept one by one; their mass goes to the backoff.
 LEAST = 2
 DISCOUNT = 0.75
@@ -30,28 +30,36 @@ KEPT_WORDS, CHARS_AT_ONCE = 250_000, 4_000_000
 find_words = re.compile(r"[^\W\d_]+").findall
 
 
-def _keys(words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """64-bit keys of the n-grams that end at each letter, by order; which of them lie within the word; the words' sizes.
+class _Grams:
+    """64-bit keys of the n-grams that end at each letter, order by order, and each letter's place in its word.
 
     A word stands between marks; an n-gram's key is a polynomial in its characters and its order.
     """
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    chars = np.frombuffer(("\x02" + "\x03\x02".join(words) + "\x03").encode("utf-32-le"), dtype="<u4").astype(np.uint64)
-    starts = np.cumsum(sizes) - sizes
-    place = np.arange(len(chars)) - np.repeat(starts, sizes)
-    keys = []
-    key = np.zeros(len(chars), np.uint64)
-    for n in range(1, ORDER + 1):
-        back = np.zeros(len(chars), np.uint64)
-        back[n - 1 :] = chars[: len(chars) - n + 1]
-        key = key * np.uint64(0x9E3779B97F4A7C15) + (back + np.uint64(1))
-        keys.append(key ^ np.uint64(n << 60))
-    return keys, place, sizes
 
+    def __init__(self, words: list[str]):
+        sizes = np.fromiter(map(len, words), np.int32, len(words)) + 2
+        self.ends = np.cumsum(sizes)
+        self.sizes = sizes
+        self.chars = np.frombuffer(("\x02" + "\x03\x02".join(words) + "\x03").encode("utf-32-le"), dtype="<u4") if len(words) else np.zeros(0, "<u4")
+        self.place = np.arange(len(self.chars), dtype=np.int32) - np.repeat((self.ends - sizes).astype(np.int32), sizes)
+
+    def orders(self):
+        """For each order n: n, the keys of n - 1, n and n + 1."""
+        last = np.zeros(len(self.chars), np.uint64)
+        now = self._longer(np.zeros(len(self.chars), np.uint64), 1)
+        for n in range(1, ORDER + 1):
+            then = self._longer(now, n + 1)
+            yield n, self._named(last, n - 1), self._named(now, n), self._named(then, n + 1)
+            last, now = now, then
+
+    def _longer(self, key: np.ndarray, n: int) -> np.ndarray:
+        back = np.zeros(len(self.chars), np.uint64)
+        back[n - 1 :] = self.chars[: max(0, len(self.chars) - n + 1)]
+        return key * np.uint64(0x9E3779B97F4A7C15) + (back + np.uint64(1))
 
-def _sum_by(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, at = np.unique(keys, return_inverse=True)
-    return found, np.bincount(at, weights, len(found))
+    @staticmethod
+    def _named(key: np.ndarray, n: int) -> np.ndarray:
+        return key ^ np.uint64(n << 60) if n else key
 
 
 class Table:
@@ -71,40 +79,39 @@ class KneserNey:
     """Two letter models, one of toxic and one of ordinary words, over one set of backoff counts.
 
     The highest order counts occurrences, lower ones the distinct letters before an
-    n-gram. Orders up to SHARED are counted over both classes, so that an expression
+    n-gram, or its occurrences where a word begins. Orders up to SHARED are counted over both classes, so that an expression
     that is rare in both gets the same backoff from either. Each order keeps, per class,
     the discounted probabilities of its n-grams and what a context leaves to the order below.
     """
 
     def __init__(self, words: list[str], counts: np.ndarray):
-        keys, place, _ = _keys(words)
-        length = np.array([len(w) + 2 for w in words])
-        weights = [np.repeat(counts[:, c], length) for c in (0, 1)]
+        grams = _Grams(words)
+        weights = [np.repeat(counts[:, c].astype(np.float32), grams.sizes) for c in (0, 1)]
         self.parts = []
-        for n in range(1, ORDER + 1):
-            inside = place >= max(1, n - 1)  # the opening mark is given, not predicted
+        for n, shorter, now, longer in grams.orders():
+            inside = grams.place >= max(1, n - 1)  # the opening mark is given, not predicted
             order = []
             for c in (0, 1):
-                seen = [w > 0 for w in weights]
-                use = inside & (seen[0] | seen[1] if n <= SHARED else seen[c])
+                use = np.flatnonzero(inside & ((weights[0] + weights[1] if n <= SHARED else weights[c]) > 0))
+                mass = weights[0][use] + weights[1][use] if n <= SHARED else weights[c][use]
                 if n < ORDER:
-                    # One for each distinct n-gram that is longer by a letter; at a word's start nothing precedes.
-                    longer, first = np.unique(keys[n][use], return_index=True)
-                    grams, of, value = keys[n - 1][use][first], np.flatnonzero(use)[first], np.ones(len(first))
+                    # One for each distinct n-gram that is longer by a letter; where a word begins nothing precedes, so occurrences count.
+                    begins = grams.place[use] == n - 1
+                    inner = np.flatnonzero(~begins)
+                    inner = inner[np.unique(longer[use[inner]], return_index=True)[1]]
+                    value = np.concatenate([np.ones(len(inner), np.float32), mass[begins]])
+                    use = np.concatenate([use[inner], use[begins]])
                 else:
-                    longer, first, at = np.unique(keys[n - 1][use], return_index=True, return_inverse=True)
-                    value = np.bincount(at, weights[c][use], len(longer))
-                    grams, of = longer, np.flatnonzero(use)[first]
-                context = keys[n - 2][of - 1] if n > 1 else np.zeros(len(of), np.uint64)
-                gram_keys, at = np.unique(grams, return_inverse=True)
-                gram_value = np.bincount(at, value, len(gram_keys))
-                gram_context = np.zeros(len(gram_keys), np.uint64)
-                gram_context[at] = context
-                context_keys, total = _sum_by(gram_context, gram_value)
-                kept = gram_value >= (LEAST if n > 1 else 1)
-                share = np.maximum(gram_value - DISCOUNT, 0) / total[np.searchsorted(context_keys, gram_context)]
-                used = np.bincount(np.searchsorted(context_keys, gram_context[kept]), share[kept], len(context_keys))
-                order.append((Table(gram_keys[kept], share[kept]), Table(context_keys, np.clip(1 - used, 1e-6, 1), 1.0)))
+                    value = mass
+                keys, first, at = np.unique(now[use], return_index=True, return_inverse=True)
+                amount = np.bincount(at, value, len(keys)).astype(np.float64)
+                context = shorter[use[first] - 1] if n > 1 else np.zeros(len(keys), np.uint64)
+                contexts, at = np.unique(context, return_inverse=True)
+                total = np.bincount(at, amount, len(contexts))
+                kept = amount >= (LEAST if n > 1 else 1)
+                share = np.maximum(amount - DISCOUNT, 0) / total[at]
+                used = np.bincount(at[kept], share[kept], len(contexts))
+                order.append((Table(keys[kept], share[kept]), Table(contexts, np.clip(1 - used, 1e-6, 1), 1.0)))
                 if n <= SHARED:
                     order.append(order[0])
                     break
@@ -112,41 +119,48 @@ class KneserNey:
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """Each word's log-likelihood ratio, toxic against ordinary."""
-        keys, place, sizes = _keys(words)
-        p = [np.full(len(place), 1e-4, np.float32) for _ in (0, 1)]
-        for n in range(1, ORDER + 1):
-            inside = np.flatnonzero(place >= max(1, n - 1))
-            gram = keys[n - 1][inside]
-            context = keys[n - 2][inside - 1] if n > 1 else np.zeros(len(inside), np.uint64)
+        if not words:
+            return np.zeros(0)
+        grams = _Grams(words)
+        p = [np.full(len(grams.place), 1e-4, np.float32) for _ in (0, 1)]
+        for n, shorter, now, _ in grams.orders():
+            inside = np.flatnonzero(grams.place >= max(1, n - 1))
+            gram = now[inside]
+            context = shorter[inside - 1] if n > 1 else np.zeros(len(inside), np.uint64)
             for c in (0, 1):
                 if n <= SHARED and c:
                     p[1][:] = p[0]
                     continue
                 share, rest = self.parts[n - 1][c]
                 p[c][inside] = share[gram] + rest[context] * p[c][inside]
-        ratio = np.where(place >= 1, np.log(p[1]) - np.log(p[0]), 0)
-        return np.clip(np.add.reduceat(ratio, np.cumsum(sizes) - sizes), -CLIP, CLIP) if len(words) else np.zeros(0)
+        ratio = np.where(grams.place >= 1, np.log(p[1]) - np.log(p[0]), 0)
+        return np.clip(np.add.reduceat(ratio, grams.ends - grams.sizes), -CLIP, CLIP)
+
+
+#: What a text's score rests on.
+FEATURES = ("mean", "window", "telling", "distinct", "strong")
 
 
-def features(ratios: np.ndarray) -> list[float]:
-    """What the comparison of a text rests on: the mean ratio, the best window's, and the share of telling words."""
+def features(ratios: np.ndarray, distinct: np.ndarray) -> list[float]:
+    """The mean ratio, the best window's, and how far its different words speak: in the mean, in sum, and how many strongly."""
     n = len(ratios)
     if not n:
-        return [0.0, 0.0, 0.0, 0.0]
+        return [0.0] * len(FEATURES)
     sums = np.concatenate([[0.0], np.cumsum(ratios)])
     w = min(n, WINDOW)
-    return [float(sums[-1] / n), float((sums[w:] - sums[:-w]).max() / w), float(np.clip(ratios - 2, 0, None).sum() / n), float(np.log1p(np.clip(ratios - 2, 0, None).sum()))]
+    beyond = np.clip(distinct - 2, 0, None)
+    return [float(sums[-1] / n), float((sums[w:] - sums[:-w]).max() / w), float(beyond.sum() / len(distinct)), float(np.log1p(beyond.sum())), float(np.log1p((distinct > 3.5).sum()))]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights (the last is the constant), means and scales, by Newton steps."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
     w = np.zeros(z.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (p - y) + ridge * w
-        h = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
+        g = z.T @ (weight * (p - y)) + ridge * w
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -161,6 +175,7 @@ class Model:
         self.kn, self.calibration, self.memo = kn, calibration, None
 
     def ratios(self, texts: list[str]):
+        """For each text the ratios of its words, in order, and of its different words."""
         if self.memo is None:
             self.memo = Memo(KEPT_WORDS)
         for part in chunks(texts, CHARS_AT_ONCE):
@@ -169,78 +184,89 @@ class Model:
                 self.memo.new.update(zip(new, self.kn.ratios(new).tolist() if self.kn else [0.0] * len(new)))
             get = self.memo.new.__getitem__
             for words in split:
-                yield np.fromiter(map(get, words), np.float64, len(words))
+                different = set(words)
+                yield np.fromiter(map(get, words), np.float64, len(words)), np.fromiter(map(get, different), np.float64, len(different))
+
+    def measure(self, texts: list[str]) -> np.ndarray:
+        return np.array([features(*r) for r in self.ratios(texts)]).reshape(-1, len(FEATURES))
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        x = np.array([features(r) for r in self.ratios(texts)]).reshape(-1, 4)
+        x = self.measure(texts)
         w, mean, scale = self.calibration
         return 1 / (1 + np.exp(-np.clip(np.c_[(x - mean) / scale, np.ones(len(x))] @ w, -30, 30)))
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
-    """word, fold, toxic, n over labelled texts; each task sends what it has counted."""
+    """word and its counts n00, n01, n10, n11, by fold and class, over labelled texts; each task sends what it has counted."""
 
     def run(batches):
         counts: Counter = Counter()
 
         def out():
-            rows = list(counts.items())
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int32()), pa.array([k[2] for k, _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64())], names=["word", "fold", "toxic", "n"])
+            keys, n = zip(*counts.items())
+            word, fold, toxic = zip(*keys)
+            return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(fold, pa.int32()), pa.array(toxic, pa.int32()), pa.array(n, pa.int64())], names=["word", "fold", "toxic", "n"])
 
         for batch in batches:
             for text, fold, toxic in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 for word, n in Counter(find_words(text.lower())).items():
                     counts[word, fold, toxic] += n
-            if len(counts) > 500_000:
-                yield out()
-                counts.clear()
+                if len(counts) > 200_000:
+                    yield out()
+                    counts.clear()
         if counts:
             yield out()
 
-    sent = labelled.mapInArrow(run, "word string, fold int, toxic int, n long")
-    return sent.groupBy("word", "fold", "toxic").agg(F.sum("n").alias("n"))
+    sent = labelled.select("text", "fold", "toxic").mapInArrow(run, "word string, fold int, toxic int, n long")
+    each = [F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == c), F.col("n")).otherwise(0)).cast("int").alias(f"n{f}{c}") for f in (0, 1) for c in (0, 1)]
+    return sent.groupBy("word").agg(*each)
 
 
 def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most train_rows labelled documents, held-out ones (crc32(doc_id) mod 5 = 0) never.
+    """Fit on at most train_rows labelled documents of each class, held-out ones (crc32(doc_id) mod 5 = 0) never.
 
     Three quarters of them make the models from which the rest learns the calibration, so that it
-    sees texts as new as those to come; the models returned are then made from all of them. Rows
-    without a label, a doc_id or a text are no examples. With one class or none, nothing is toxic.
+    sees texts as new as those to come, each class with the weight that all labels give it; the
+    models returned are then made from all of them. Rows without a label, a doc_id or a text are
+    no examples. With one class or none, nothing is toxic.
     """
     key = F.crc32(F.col("doc_id").cast("string"))
-    sample = (
-        labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL")
-        .where(key % 5 != 0)
-        .groupBy("doc_id")
-        .agg(F.max("toxic").cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(train_rows)
-    )
+    usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(key % 5 != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    classes = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    take = lambda c: usable.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    sample = take(0).union(take(1))
     fold = (key % 5 == 4).cast("int")
     texts = documents.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     rows = cut(texts.select("text", fold.alias("fold"), "toxic"))
-    words = word_counts(rows).toPandas()  # bounded by train_rows
-    if words.empty or words.toxic.nunique() < 2:
-        return Model(None, (np.array([0, 0, 0, 0, -10.0]), np.zeros(4), np.ones(4)))
-
-    def model(part) -> KneserNey:
-        wide = part.pivot_table(index="word", columns="toxic", values="n", aggfunc="sum", fill_value=0)
-        wide = wide.reindex(columns=[0, 1], fill_value=0)
-        return KneserNey(wide.index.tolist(), wide.to_numpy(dtype=np.float64))
-
-    first = Model(model(words[words.fold == 0]), (np.zeros(5), np.zeros(4), np.ones(4)))
-    sent = rows.sparkSession.sparkContext.broadcast(first)
-
-    def measure(batches):
-        for batch in batches:
-            x = [features(r) for r in sent.value.ratios(batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in x], pa.float64()) for k in range(4)] + [batch.column(1)], names=["a", "b", "c", "d", "toxic"])
-
-    held = rows.where("fold = 1").select("text", "toxic").mapInArrow(measure, "a double, b double, c double, d double, toxic int").toPandas()
-    if held.empty:
-        return Model(model(words), (np.array([1.0, 0, 0, 0, 0]), np.zeros(4), np.ones(4)))
-    return Model(model(words), fit_logistic(held[["a", "b", "c", "d"]].to_numpy(), held.toxic.to_numpy(dtype=float)))
+    counted = word_counts(rows).toArrow()  # bounded by train_rows
+    words = counted.column("word").to_pylist()
+    n = np.stack([counted.column(f"n{f}{c}").to_numpy().astype(np.int32) for f in (0, 1) for c in (0, 1)], axis=1).reshape(-1, 2, 2)
+    k = len(FEATURES)
+    if not n.sum((0, 1)).all():
+        return Model(None, (np.array([0.0] * k + [-10.0]), np.zeros(k), np.ones(k)))
+
+    def model(counts: np.ndarray) -> KneserNey:
+        some = np.flatnonzero(counts.any(axis=1))
+        return KneserNey([words[k] for k in some.tolist()], counts[some])
+
+    plain = (np.array([1.0] + [0.0] * k), np.zeros(k), np.ones(k))
+    held = None
+    if n[:, 0].sum(0).all():
+        sent = rows.sparkSession.sparkContext.broadcast(Model(model(n[:, 0]), plain))
+
+        def measure(batches):
+            for batch in batches:
+                x = sent.value.measure(batch.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column(1)], names=[*FEATURES, "toxic"])
+
+        held = rows.where("fold = 1").select("text", "toxic").mapInArrow(measure, ", ".join(f"{f} double" for f in FEATURES) + ", toxic int").toPandas()
+        sent.unpersist()
+    whole = model(n.sum(1))
+    if held is None or held.toxic.nunique() < 2:
+        return Model(whole, plain)
+    y = held.toxic.to_numpy(dtype=float)
+    weight = np.where(y == 1, classes[1] / y.sum(), classes[0] / (1 - y).sum()) * len(y) / (classes[0] + classes[1])
+    return Model(whole, fit_logistic(held[list(FEATURES)].to_numpy(), y, weight))
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
