@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import Memo, chunks, cut
 
 #: The bound of the fit: labelled rows of each class that are read, those with the smallest hashes of their doc_id. The model's size follows.
-TRAIN_ROWS = 5_000
+TRAIN_ROWS = 4_000
 #: Characters a model looks back at, itself included; orders up to SHARED take their counts from both classes together.
 ORDER, SHARED = 7, 2
 #: Counts below this are not kept one by one; their mass goes to the backoff.
@@ -23,8 +23,8 @@ DISCOUNT = 0.75
 CLIP = 6.0
 #: Words of the windows whose mean is compared too, besides the whole text's.
 WINDOW = 50
-#: Words whose ratios a worker keeps, and characters that are split at once.
-KEPT_WORDS, CHARS_AT_ONCE = 250_000, 4_000_000
+#: Words whose ratios a worker keeps, words that are judged at once, and characters that are split at once.
+KEPT_WORDS, WORDS_AT_ONCE, CHARS_AT_ONCE = 200_000, 20_000, 2_000_000
 
 #: Runs of letters, after lower-casing.
 find_words = re.compile(r"[^\W\d_]+").findall
@@ -33,7 +33,7 @@ find_words = re.compile(r"[^\W\d_]+").findall
 class _Grams:
     """64-bit keys of the n-grams that end at each letter, order by order, and each letter's place in its word.
 
-    A word stands between marks; an n-gram's key is a polynomial in its characters and its order.
+    A word stands between marks; an n-gram's key is a polynomial in its characters.
     """
 
     def __init__(self, words: list[str]):
@@ -48,8 +48,8 @@ class _Grams:
         last = np.zeros(len(self.chars), np.uint64)
         now = self._longer(np.zeros(len(self.chars), np.uint64), 1)
         for n in range(1, ORDER + 1):
-            then = self._longer(now, n + 1)
-            yield n, self._named(last, n - 1), self._named(now, n), self._named(then, n + 1)
+            then = self._longer(now, n + 1) if n < ORDER else now
+            yield n, last, now, then
             last, now = now, then
 
     def _longer(self, key: np.ndarray, n: int) -> np.ndarray:
@@ -57,11 +57,6 @@ class _Grams:
         back[n - 1 :] = self.chars[: max(0, len(self.chars) - n + 1)]
         return key * np.uint64(0x9E3779B97F4A7C15) + (back + np.uint64(1))
 
-    @staticmethod
-    def _named(key: np.ndarray, n: int) -> np.ndarray:
-        return key ^ np.uint64(n << 60) if n else key
-
-
 class Table:
     """Numbers by 64-bit key; the default where there is none."""
 
@@ -111,7 +106,7 @@ class KneserNey:
                 kept = amount >= (LEAST if n > 1 else 1)
                 share = np.maximum(amount - DISCOUNT, 0) / total[at]
                 used = np.bincount(at[kept], share[kept], len(contexts))
-                order.append((Table(keys[kept], share[kept]), Table(contexts, np.clip(1 - used, 1e-6, 1), 1.0)))
+                order.append((Table(keys[kept], share[kept]), Table(contexts[used > 0], np.clip(1 - used[used > 0], 1e-6, 1), 1.0)))
                 if n <= SHARED:
                     order.append(order[0])
                     break
@@ -119,6 +114,8 @@ class KneserNey:
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """Each word's log-likelihood ratio, toxic against ordinary."""
+        if len(words) > WORDS_AT_ONCE:
+            return np.concatenate([self.ratios(words[k : k + WORDS_AT_ONCE]) for k in range(0, len(words), WORDS_AT_ONCE)])
         if not words:
             return np.zeros(0)
         grams = _Grams(words)
@@ -260,7 +257,7 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column(1)], names=[*FEATURES, "toxic"])
 
         held = rows.where("fold = 1").select("text", "toxic").mapInArrow(measure, ", ".join(f"{f} double" for f in FEATURES) + ", toxic int").toPandas()
-        sent.unpersist()
+        sent.destroy()
     whole = model(n.sum(1))
     if held is None or held.toxic.nunique() < 2:
         return Model(whole, plain)
