@@ -34,7 +34,7 @@ def cohort_summary(timing: DataFrame) -> DataFrame:
 
 def breakpoint_pivot(breakpoints: DataFrame, groups: Sequence[str], key: str = "traj_id", grp: str = "grp") -> DataFrame:
     """Breakpoints per series, a column per group; the groups are given, so nothing is scanned to find them."""
-    return breakpoints.groupBy(key).pivot(grp, list(groups)).agg(F.count("*")).fillna(0)
+    return breakpoints.groupBy(key).pivot(grp, list(groups)).agg(F.count(F.lit(1))).fillna(0)
 
 
 def extremes(df: DataFrame, value: str, k: int = 10) -> DataFrame:

@@ -158,7 +158,7 @@ def event_recall(events: DataFrame, breakpoints: DataFrame, n_frames: DataFrame,
 
     kind = events.schema[key].dataType.simpleString()
     names = [key, "n_events", "recall", "null_recall"]
-    left = events.select(key, at).join(n_frames.select(key, "n"), key)
+    left = events.select(key, at).join(n_frames.select(F.col(key).alias("__k"), "n"), F.col(key) == F.col("__k")).select(F.col(key), F.col(at), "n")
     return left.groupBy(key).cogroup(breakpoints.select(key, at).groupBy(key)).applyInPandas(run, f"{key} {kind}, n_events long, recall double, null_recall double")
 
 

@@ -172,7 +172,7 @@ def permutation_eta(wide: DataFrame, columns: Sequence[str], label: str, by: Seq
         return out[[*keys, "feature", "eta_squared", "p"]]
 
     schema = "".join(f"{k} {wide.schema[k].dataType.simpleString()}, " for k in keys) + "feature string, eta_squared double, p double"
-    return (wide.groupBy(*keys) if keys else wide.groupBy(F.lit(1))).applyInPandas(one, schema)
+    return (wide.groupBy(*keys) if keys else wide.groupBy(F.lit("all").alias("__all"))).applyInPandas(one, schema)
 
 
 def rank_features(eta: DataFrame, epsilon: DataFrame, by: Sequence[str] = ()) -> DataFrame:
