@@ -132,7 +132,7 @@ def match_boundaries(boundaries: DataFrame, breakpoints: DataFrame, key: str = "
     kind = boundaries.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, n_boundaries long, n_breakpoints long, n_matched long, precision double, recall double, f1 double"
     names = [f.split()[0] for f in schema.split(", ")]
-    return boundaries.select(key, at).groupBy(key).cogroup(breakpoints.select(key, at).groupBy(key)).applyInPandas(lambda a, b: pick(a, b).set_axis(names, axis=1), schema)
+    return boundaries.select(F.col(key).alias(key), F.col(at).alias(at)).groupBy(key).cogroup(breakpoints.select(F.col(key).alias(key), F.col(at).alias(at)).groupBy(key)).applyInPandas(lambda a, b: pick(a, b).set_axis(names, axis=1), schema)
 
 
 def event_recall(events: DataFrame, breakpoints: DataFrame, n_frames: DataFrame, tolerance: int, key: str = "traj_id", at: str = "frame", shifts: int = 100, margin: int = 250, seed: int = 0) -> DataFrame:
@@ -158,8 +158,9 @@ def event_recall(events: DataFrame, breakpoints: DataFrame, n_frames: DataFrame,
 
     kind = events.schema[key].dataType.simpleString()
     names = [key, "n_events", "recall", "null_recall"]
-    left = events.select(key, at).join(n_frames.select(F.col(key).alias("__k"), "n"), F.col(key) == F.col("__k")).select(F.col(key), F.col(at), "n")
-    return left.groupBy(key).cogroup(breakpoints.select(key, at).groupBy(key)).applyInPandas(run, f"{key} {kind}, n_events long, recall double, null_recall double")
+    sizes = n_frames.select(F.col(key).alias("__k"), F.col("n").alias("__n"))
+    left = events.select(F.col(key).alias("__e"), F.col(at).alias("__at")).join(sizes, F.col("__e") == F.col("__k")).select(F.col("__e").alias(key), F.col("__at").alias(at), F.col("__n").alias("n"))
+    return left.groupBy(key).cogroup(breakpoints.select(F.col(key).alias(key), F.col(at).alias(at)).groupBy(key)).applyInPandas(run, f"{key} {kind}, n_events long, recall double, null_recall double")
 
 
 def _cell(c: str, cutoff: float) -> Column:
