@@ -12,17 +12,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo, chunks
+from .common import Memo, chunks, keep
 
 #: Distinct pieces of text whose ids a worker keeps; bounds memory, not results.
 KEPT_PIECES = 250_000
 #: Characters of text whose new pieces are replayed together.
 REPLAY_CHARS = 4_000_000
 
-#: What a worker process keeps from task to task.
-_loaded: dict[str, Merges] = {}
-_known: dict[tuple, Memo] = {}
-
 
 class Merges:
     """The vocabulary of a rank file: which neighbouring ids merge, into which id."""
@@ -143,11 +139,8 @@ class Encoder:
     """Encodes texts by replaying merges over the distinct pieces of many texts at a time."""
 
     def __init__(self, path: str, pattern: str):
-        if path not in _loaded:
-            _loaded[path] = Merges.load(path)
-        self.merges = _loaded[path]
+        self.merges, self.known = keep(("byte_bpe", path, pattern), lambda: (Merges.load(path), Memo(KEPT_PIECES)))
         self.find = regex.compile(pattern).findall
-        self.known = _known.setdefault((path, pattern), Memo(KEPT_PIECES))
 
     def _learn(self, new: list[str]) -> None:
         ids, ends = replay(self.merges, [x.encode() for x in new])

@@ -55,6 +55,17 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+_kept: dict = {}
+
+
+def keep(name: tuple, make):
+    """What a worker process keeps from task to task for one operator; what another operator kept goes first."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 class Memo:
     """What a worker process keeps from batch to batch: two generations of entries, so that frequent keys stay.
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Memo, chunks, cut
+from .common import Memo, chunks, cut, keep
 
 CAPACITY = 4096
 #: The classes: a piece of class j takes at most 1/j of a sequence, and a sequence of class j holds exactly j pieces.
@@ -30,8 +30,6 @@ KEPT_WORDS, WORDS_AT_ONCE, CHARS_AT_ONCE = 400_000, 5_000, 4_000_000
 #: A sign after a letter; an apostrophe may belong to what follows and stays.
 _SIGN = re.compile(rb"(?<=[a-z])([^a-z0-9\s'\x80-\xff])")
 
-_encoders: dict[str, WordEncoder] = {}
-
 
 class WordEncoder:
     """Ids of texts by a tokenizer that lower-cases, drops white space and never merges across it: word by word, each once.
@@ -62,9 +60,7 @@ class WordEncoder:
 
     @staticmethod
     def of(path: str) -> WordEncoder:
-        if path not in _encoders:
-            _encoders[path] = WordEncoder(path)
-        return _encoders[path]
+        return keep(("words", path), lambda: WordEncoder(path))
 
     def _learn(self, words: list[bytes]) -> None:
         known, merge, rest = self.known.new, self.merge, []

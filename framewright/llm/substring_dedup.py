@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import cut
+from .common import cut, keep
 
 WINDOW, GRAM = 35, 8
 #: Suffix groups of an anchor above which its suffixes are split by their whole window.
@@ -40,14 +40,12 @@ class _WordHash(dict):
         return value
 
 
-_hashes = _WordHash()
-
-
 def _word_hashes(text: bytes) -> np.ndarray:
+    known = keep(("hashes",), _WordHash)
     words = text.split()
-    if len(_hashes) > KEPT_WORDS:
-        _hashes.clear()
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    if len(known) > KEPT_WORDS:
+        known.clear()
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, chunks, cut
+from .common import Memo, chunks, cut, keep
 
 #: The bound of the fit: labelled rows of each class that are read, those with the smallest hashes of their doc_id. The model's size follows.
 TRAIN_ROWS = 4_000
@@ -169,17 +170,16 @@ class Model:
     """Both Kneser-Ney models and the calibration of a text's score."""
 
     def __init__(self, kn: KneserNey | None, calibration: tuple):
-        self.kn, self.calibration, self.memo = kn, calibration, None
+        self.kn, self.calibration, self.name = kn, calibration, ("toxicity", uuid.uuid4().hex)
 
     def ratios(self, texts: list[str]):
         """For each text the ratios of its words, in order, and of its different words."""
-        if self.memo is None:
-            self.memo = Memo(KEPT_WORDS)
+        memo = keep(self.name, lambda: Memo(KEPT_WORDS))
         for part in chunks(texts, CHARS_AT_ONCE):
             split = [find_words(t.lower()) for t in part]
-            if new := self.memo.missing({w for words in split for w in words}):
-                self.memo.new.update(zip(new, self.kn.ratios(new).tolist() if self.kn else [0.0] * len(new)))
-            get = self.memo.new.__getitem__
+            if new := memo.missing({w for words in split for w in words}):
+                memo.new.update(zip(new, self.kn.ratios(new).tolist() if self.kn else [0.0] * len(new)))
+            get = memo.new.__getitem__
             for words in split:
                 different = set(words)
                 yield np.fromiter(map(get, words), np.float64, len(words)), np.fromiter(map(get, different), np.float64, len(different))
