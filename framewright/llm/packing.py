@@ -116,11 +116,15 @@ def cuts(n: int, capacity: int = CAPACITY, classes: tuple = CLASSES, near: float
 
 
 def pieces(documents: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """The pieces of every document: doc_id, start, length, ids_crc32, doc_tokens, class, and the ids if asked for."""
+    """The pieces of every document: doc_id, start, length, ids_crc32, doc_tokens, class, local and the ids if asked for.
+
+    local numbers the pieces of each class from 0 within the task that makes them.
+    """
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches):
         encoder = WordEncoder.of(path)
+        made = dict.fromkeys(CLASSES, 0)
         for batch in batches:
             source, rows, blobs = [], [], []
             for k, raw in enumerate(encoder.encode([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])):
@@ -129,20 +133,21 @@ def pieces(documents: DataFrame, path: str, with_ids: bool = False) -> DataFrame
                 for length, j in cuts(n):
                     ids = raw[4 * start : 4 * (start + length)]
                     source.append(k)
-                    rows.append((start, length, zlib.crc32(ids), n, j))
+                    rows.append((start, length, zlib.crc32(ids), n, j, made[j]))
+                    made[j] += 1
                     if with_ids:
                         blobs.append(ids)
                     start += length
-            columns = list(zip(*rows)) or [()] * 5
+            columns = list(zip(*rows)) or [()] * 6
             out = [batch.column(0).take(pa.array(source, pa.int32())), *(pa.array(c, pa.int64()) for c in columns)]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class"]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "local"]
             if with_ids:
                 out.append(pa.array(blobs, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, class long" + ", ids binary" * with_ids)
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, class long, local long" + ", ids binary" * with_ids)
 
 
 def first_fit(items: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int]]:
@@ -180,9 +185,8 @@ def harmonic_pack(documents: DataFrame, path: str, with_ids: bool = False) -> Da
         first[j] = k
         k += totals[j] // j
     bounds = spark.createDataFrame([(j, first[j], totals[j] // j * j) for j in totals], "class long, first long, whole long")
-    local = F.row_number().over(W.partitionBy("class", "worker").orderBy("row")) - 1
-    # The counts per worker are joined by worker and class, so no task holds more than one worker's pieces of a class.
-    ranked = made.withColumn("local", local).join(before, ["class", "worker"]).withColumn("rank", F.col("before") + F.col("local")).join(F.broadcast(bounds), "class")
+    # The counts per worker are joined by worker and class: small beside the pieces, and no key has more rows than one worker made.
+    ranked = made.join(before, ["class", "worker"]).withColumn("rank", F.col("before") + F.col("local")).join(F.broadcast(bounds), "class")
     slim = cut(ranked.select("row", "length", "class", (F.col("rank") >= F.col("whole")).alias("left"), (F.col("first") + F.floor(F.col("rank") / F.col("class"))).alias("sequence_id"), (F.col("rank") % F.col("class")).alias("place")))
     rest = first_fit([(x.row, x.length) for x in slim.where("left").select("row", "length").collect()], CAPACITY)  # at most sum(CLASSES) rows
     left = spark.createDataFrame([(row, k + b, p) for row, b, p in rest], "row long, s long, p long")
