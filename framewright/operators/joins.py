@@ -242,3 +242,13 @@ def compare_tables(reference: DataFrame, candidate: DataFrame, key: Sequence[str
     joined = a.join(b, on, "full")
     flags = joined.select(*(F.when(both, F.when(same(c), "same").otherwise("differs")).otherwise("missing").alias(c) for c in columns))
     return flags.unpivot([], columns, "column", "state").groupBy("column").agg(*(F.count_if(F.col("state") == s).alias(s) for s in ("same", "differs", "missing")))
+
+
+def nesting(inner: DataFrame, outer: DataFrame, tolerance: int, key: str = "traj_id", at: str = "frame") -> DataFrame:
+    """Per series the share of inner breakpoints near an outer one of the same series, and near one of any other series: how far they nest beyond chance."""
+    a = inner.select(F.col(key).alias("k"), F.col(at).alias("at_a")).distinct().withColumn("one", F.lit(1))
+    b = outer.select(F.col(key).alias("other"), F.col(at).alias("at_b"), F.lit(1).alias("one")).distinct()
+    near = band_join(a, b, ["one"], "at_a", "at_b", tolerance).groupBy("k", "at_a").agg(F.max((F.col("k") == F.col("other")).cast("int")).alias("own"), F.countDistinct(F.when(F.col("k") != F.col("other"), F.col("other"))).alias("others"))
+    n = outer.select(key).distinct().agg(F.count("*").alias("n"))
+    met = a.join(near, ["k", "at_a"], "left").crossJoin(F.broadcast(n))  # one row
+    return met.groupBy(F.col("k").alias(key)).agg(F.count("*").alias("n_inner"), F.avg(F.coalesce("own", F.lit(0))).alias("nested"), F.avg(F.coalesce("others", F.lit(0)) / F.nullif(F.col("n") - 1, F.lit(0))).alias("cross_null"))

@@ -341,3 +341,52 @@ def chemical_gate(ranking: DataFrame, sizes: DataFrame, top: int = 10, least_siz
     marks = ranking.where((F.col("rank") <= top) & (F.abs("cohens_d") >= least_d)).join(large.select("k", "cluster"), ["k", "cluster"])
     found = marks.groupBy("k").agg(F.countDistinct("cluster").alias("marked"), F.countDistinct("feature").alias("features"), F.countDistinct(F.signum("cohens_d")).alias("signs"))
     return large.groupBy("k").agg(F.count("*").alias("large")).join(found, "k", "left").select("k", F.coalesce((F.col("large") >= 2) & (F.col("marked") >= 2) & ((F.col("features") >= 2) | (F.col("signs") >= 2)), F.lit(False)).alias("chemical_separation"), "large", F.coalesce("marked", F.lit(0)).alias("marked"))
+
+
+def map_labels(table: DataFrame) -> DataFrame:
+    """Of a contingency table (a, b, n) the one-to-one mapping of labels with the largest overlap: a, b, n. Labels are few."""
+    from ..kernels.hierarchy import assign
+
+    rows = table.toPandas()  # a row per pair of labels
+    wide = rows.pivot_table(index="a", columns="b", values="n", aggfunc="sum", fill_value=0)
+    pairs = [(wide.index[i], wide.columns[j], int(wide.iat[i, j])) for i, j in assign(-wide.to_numpy(float))]
+    kinds = {c: table.schema[c].dataType.simpleString() for c in ("a", "b")}
+    return table.sparkSession.createDataFrame([(a.item() if hasattr(a, "item") else a, b.item() if hasattr(b, "item") else b, n) for a, b, n in pairs], f"a {kinds['a']}, b {kinds['b']}, n long")
+
+
+def discriminant(frames: DataFrame, columns: Sequence[str], label: str, by: Sequence[str], key: str = "traj_id", components: int = 5) -> DataFrame:
+    """Per group the loadings of linear discriminants, and the balanced accuracy of labels on series that were left out."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, g = pdf[list(columns)].to_numpy(float), pdf[label].to_numpy(), pdf[key].to_numpy()
+        ok = np.isfinite(x).all(axis=1)
+        x, y, g = x[ok], y[ok], g[ok]
+        sd = x.std(axis=0)
+        z = (x - x.mean(axis=0)) / np.where(sd > 0, sd, 1)
+        _, load = K.lda(z, y, components)
+        scores = []
+        for k in np.unique(g):
+            test = g == k
+            if test.all() or len(np.unique(y[~test])) < 2:
+                continue
+            _, part = K.lda(z[~test], y[~test], components)
+            guess = K.nearest_centroid(z[~test] @ part, y[~test], z[test] @ part)
+            scores.append(np.mean([(guess[y[test] == c] == c).mean() for c in np.unique(y[test])]))
+        acc = float(np.mean(scores)) if scores else None
+        return pd.DataFrame([(*pdf[list(by)].iloc[0], c, j, float(load[i, j]), acc) for i, c in enumerate(columns) for j in range(load.shape[1])], columns=[*by, "feature", "component", "loading", "balanced_accuracy"])
+
+    schema = "".join(f"{c} {frames.schema[c].dataType.simpleString()}, " for c in by)
+    return frames.groupBy(*by).applyInPandas(one, f"{schema}feature string, component int, loading double, balanced_accuracy double")
+
+
+def energy_permutation(df: DataFrame, columns: Sequence[str], label: str, block: str, by: Sequence[str], n: int = 199, seed: int = 0) -> DataFrame:
+    """Per group with two labels the energy distance, and its p when whole replicas change sides."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = (None, None)
+        if pdf[label].nunique() == 2:
+            row = K.block_energy_p(pdf[list(columns)].to_numpy(float), pdf[label].to_numpy(), pdf[block].to_numpy(), n, seed)
+        return pd.DataFrame([(*pdf[list(by)].iloc[0], *row)], columns=[*by, "energy", "p"])
+
+    schema = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in by)
+    return df.groupBy(*by).applyInPandas(one, f"{schema}energy double, p double")

@@ -297,3 +297,32 @@ def residences(events: DataFrame, ends: DataFrame, key: Sequence[str] = ("traj_i
     leave = ranked.where("event = 'exit'").select(*keys, "k", F.col(order).alias("exit"))
     out = entry.join(leave, [*keys, "k"], "left").join(ends, keys[0])
     return out.select(*keys, "k", "entry", F.coalesce("exit", "last_frame").alias("exit"), (F.coalesce("exit", "last_frame") - F.col("entry")).alias("duration"), F.col("exit").isNull().alias("open"))
+
+
+def sign_flips(df: DataFrame, key: str | Sequence[str], order: str, value: str, near_zero: float = 0.05) -> DataFrame:
+    """Per series how often a value changes sign, values near zero left out."""
+    keys = _keys(key)
+    some = df.where(F.abs(F.col(value)) > near_zero).withColumn("__s", F.signum(value))
+    flip = F.col("__s") != F.lag("__s").over(W.partitionBy(*keys).orderBy(order))
+    counts = some.withColumn("__f", flip).groupBy(*keys).agg(F.count_if("__f").alias("n_flips"))
+    return df.select(*keys).distinct().join(counts, keys, "left").fillna(0, ["n_flips"])
+
+
+def frame_step(df: DataFrame, key: str = "traj_id", order: str = "frame") -> DataFrame:
+    """The commonest positive step between neighbours, the smaller of equals: one row, step."""
+    gap = df.select((F.lead(order).over(W.partitionBy(key).orderBy(order)) - F.col(order)).alias("step")).where("step > 0")
+    return gap.groupBy("step").count().agg(F.max_by("step", F.struct("count", (-F.col("step")).alias("s"))).alias("step"))
+
+
+def contrast_summary(contrasts: DataFrame, by: Sequence[str], value: str = "delta", n: int = 500, seed: int = 0) -> DataFrame:
+    """Mean change per kind of event with the 2.5 and 97.5 percentiles of resampled means; events of a kind are few beside frames."""
+    import numpy as np
+    import pandas as pd
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf[value].dropna().to_numpy(float)
+        draws = np.random.default_rng(seed).choice(v, (n, len(v))).mean(axis=1) if len(v) else np.array([np.nan])
+        return pd.DataFrame([(*pdf[list(by)].iloc[0], len(v), v.mean() if len(v) else None, *np.quantile(draws, [0.025, 0.975]))], columns=[*by, "n_events", "mean", "low", "high"])
+
+    schema = "".join(f"{c} {contrasts.schema[c].dataType.simpleString()}, " for c in by)
+    return contrasts.groupBy(*by).applyInPandas(one, f"{schema}n_events long, mean double, low double, high double")
