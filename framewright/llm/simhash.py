@@ -18,6 +18,10 @@ from .components import components
 BITS, SHINGLE, DISTANCE, SEED = 64, 4, 4, 42
 #: Numbers of partitions that are weighed against each other, and the widest threshold a partition can get.
 PARTITIONS, WIDEST = (2, 3, 4, 5), 2
+#: Copies that edits have moved farther apart: searched up to this distance, then held to the Jaccard similarity of their shingles of so many words.
+WIDE, WIDE_PARTITIONS, WIDE_SHINGLE, WIDE_SIMILARITY = 12, (4, 5, 6, 7, 8), 5, 0.8
+#: A fingerprint with more partners than this in one bucket stands for them all there.
+CROWD = 64
 #: What a row that is dealt out costs, in pairs that are compared.
 ROW_COST = 300.0
 #: Buckets up to this size are compared together, larger ones each by itself, this many pairs at a time.
@@ -165,17 +169,17 @@ def _meetings(distinct: DataFrame, groups: list[list[int]]) -> dict[int, float]:
     return {r.part: r.pairs for r in met.collect()}  # a row per partition
 
 
-def plan(distinct: DataFrame) -> list[tuple[list[int], int]]:
+def plan(distinct: DataFrame, distance: int = DISTANCE, partitions: tuple = PARTITIONS) -> list[tuple[list[int], int]]:
     """The partitions that are searched, each with its threshold, for the least estimated work."""
     n, both = bit_counts(distinct)
     if n < 2:
         return []
     p = np.diag(both) / n
-    options = {m: group_bits(n, both, m) for m in PARTITIONS}
-    flat = [g for m in PARTITIONS for g in options[m]]
+    options = {m: group_bits(n, both, m) for m in partitions}
+    flat = [g for m in partitions for g in options[m]]
     met = _meetings(distinct, flat)
     best, at = (float("inf"), []), 0
-    for m in PARTITIONS:
+    for m in partitions:
         costs = []
         for bits in options[m]:
             chance = within(p[bits], WIDEST)
@@ -186,7 +190,7 @@ def plan(distinct: DataFrame) -> list[tuple[list[int], int]]:
                 row.append(n * probes * ROW_COST + max(agree, 1.0) * chance[t] / max(chance[0], 1e-12))
             costs.append(row)
             at += 1
-        total, chosen = allocate(costs)
+        total, chosen = allocate(costs, distance)
         if total < best[0]:
             best = total, [(bits, t) for bits, t in zip(options[m], chosen) if t >= 0]
     return best[1]
@@ -237,13 +241,43 @@ def _stars(fps: np.ndarray, probe: np.ndarray, distance: int) -> tuple[np.ndarra
     return (np.concatenate(u), np.concatenate(v)) if u else (none, none)
 
 
-def bucket_edges(key: np.ndarray, probe: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges, enough to connect what is linked, among rows whose buckets are numbered ascending by key."""
+def _partners(fps: np.ndarray, probe: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a large bucket within the distance; a member of a crowd comes only with the one that stands for it."""
+    left = np.argsort(probe, kind="stable")  # those at home first: a probe is compared with them only
+    homes = int((~probe).sum())
+    u, v = [], []
+    while homes:
+        step = max(1, min(homes, PAIRS_AT_ONCE // len(left)))
+        block = left[:step]
+        near = np.bitwise_count(fps[block][:, None] ^ fps[left][None, :]) <= distance
+        near[:, :step] &= np.arange(step)[:, None] < np.arange(step)[None, :]
+        gone = np.zeros(len(left), bool)
+        gone[:step] = True
+        for k in np.flatnonzero(near.sum(axis=1) > CROWD).tolist():
+            hit = near[k]
+            if int(hit.sum()) <= CROWD:  # another of the block stands for its members by now
+                continue
+            hit = hit.copy()
+            u.append(np.full(int(hit.sum()), fps[block[k]]))
+            v.append(fps[left[hit]])
+            gone |= hit
+            near[:, hit] = False
+            near[k] = False
+        i, j = np.nonzero(near)
+        u.append(fps[block[i]])
+        v.append(fps[left[j]])
+        homes -= int((gone[:homes]).sum())
+        left = left[~gone]
+    return np.concatenate(u), np.concatenate(v)
+
+
+def bucket_edges(key: np.ndarray, probe: np.ndarray, fps: np.ndarray, distance: int, direct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Edges, enough to connect what is linked, among rows whose buckets are numbered ascending by key; or direct pairs."""
     heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[heads, len(key)])
     us, vs = [], []
     for head, size in zip(heads[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-        u, v = _stars(fps[head : head + size], probe[head : head + size], distance)
+        u, v = (_partners if direct else _stars)(fps[head : head + size], probe[head : head + size], distance)
         us.append(u)
         vs.append(v)
     small = np.repeat(sizes <= SMALL, sizes)
@@ -261,9 +295,12 @@ def bucket_edges(key: np.ndarray, probe: np.ndarray, fps: np.ndarray, distance:
     return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Verified links between different fingerprints, u and v, enough of them to connect all that are within the distance."""
-    searched = plan(distinct)
+def links(distinct: DataFrame, distance: int = DISTANCE, partitions: tuple = PARTITIONS, direct: bool = False) -> DataFrame:
+    """Verified links between different fingerprints, u and v, enough of them to connect all that are within the distance.
+
+    direct asks for pairs that are within the distance themselves; in a crowd, those with the one that stands for it.
+    """
+    searched = plan(distinct, distance, partitions)
     probes = _probes(distinct, searched)
 
     def run(batches):
@@ -271,7 +308,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
         def out(parts, values, probe, fps):
             change = np.r_[False, (parts[1:] != parts[:-1]) | (values[1:] != values[:-1])]
-            u, v = bucket_edges(np.cumsum(change), probe, fps, distance)
+            u, v = bucket_edges(np.cumsum(change), probe, fps, distance, direct)
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
         n = 0
@@ -295,11 +332,50 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def _groups(documents: DataFrame, distance: int, carry: str | None = None) -> tuple[DataFrame, DataFrame]:
+def _shingle_set(text: bytes) -> np.ndarray:
+    """The different shingles of a text, as sorted hashes."""
+    words = text.lower().split()
+    k = min(WIDE_SHINGLE, len(words))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i : i + k])) for i in range(len(words) - k + 1)] if words else [], dtype="<u8"))
+
+
+def similar_pairs(documents: DataFrame, rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+    """Of pairs of fingerprints (u, v) those whose texts, one for each fingerprint, have a Jaccard similarity of WIDE_SIMILARITY or more."""
+    some = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    chosen = cut(rows.join(some, "fp").groupBy("fp").agg(F.min(key).alias(key)))
+
+    def sets(batches):
+        for batch in batches:
+            found = [_shingle_set(t or b"").tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(found, pa.binary())], names=["fp", "set"])
+
+    texts = documents.select(key, "text").join(chosen, key).select("fp", "text")
+    known = cut(texts.mapInArrow(sets, "fp long, set binary").dropDuplicates(["fp"]))
+    met = pairs.join(known.withColumnsRenamed({"fp": "u", "set": "a"}), "u").join(known.withColumnsRenamed({"fp": "v", "set": "b"}), "v")
+
+    def judge(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= WIDE_SIMILARITY * (len(a) + len(b) - both) and both > 0)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("u").filter(mask), batch.column("v").filter(mask)], names=["u", "v"])
+
+    return met.select("u", "v", "a", "b").mapInArrow(judge, "u long, v long")
+
+
+def _groups(documents: DataFrame, distance: int, carry: str | None = None, wide: bool = False) -> tuple[DataFrame, DataFrame]:
     """Each row's fingerprint, and the group and its smallest doc_id of each fingerprint."""
     rows = cut(fingerprints(documents, carry))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = cut(links(distinct, distance))
+    if wide:
+        far = links(distinct, WIDE, WIDE_PARTITIONS, True).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        far = cut(far.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) > distance))
+        linked = cut(linked.union(similar_pairs(documents, rows, carry, far)))
     roots = cut(components(linked))
     named = roots.join(distinct, roots.node == distinct.fp).select("fp", "root", "least")
     least = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
@@ -322,11 +398,15 @@ def near_duplicates(documents: DataFrame, distance: int = DISTANCE) -> DataFrame
     return rows.join(each, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The documents without all but one of each group: the one with the smallest doc_id stays, a null one last. All columns stay as they are."""
+def drop_near_copies(documents: DataFrame, distance: int = DISTANCE, wide: bool = True) -> DataFrame:
+    """The documents without all but one of each group: the one with the smallest doc_id stays, a null one last. All columns stay as they are.
+
+    A group holds what near_duplicates links and, unless wide is false, copies up to WIDE
+    bits apart whose shingles of WIDE_SHINGLE words have a similarity of WIDE_SIMILARITY or more.
+    """
     names = documents.columns
     keyed = documents.select("*", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("__key"))
-    rows, each = _groups(keyed, distance, "__key")
+    rows, each = _groups(keyed, distance, "__key", wide)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "__key")
     crowd = cut(rows.join(each, "fp").select("root", "doc_id", "__key"))
     first = cut(crowd.groupBy("root").agg(F.min_by("__key", order).alias("__first"), F.count("*").alias("n")).where("n > 1"))

@@ -117,8 +117,58 @@ def test_allocate_covers_every_distance():
     assert sum(t + 1 for t in thresholds) == simhash.DISTANCE + 1 and cost == 5 + 9
 
 
+@pytest.mark.parametrize("crowd", [2, 64])
+def test_direct_pairs(spark, crowd, monkeypatch):
+    """Every pair within the wide distance, but in crowds, where each member comes with one that stands for it."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = np.random.default_rng(5)
+    centre = int(rng.integers(0, 2**63))
+    fps = {int(x) for x in rng.integers(0, 2**63, 300, dtype=np.uint64)}
+    for k in range(300):
+        x = centre if k % 2 else sorted(fps)[k % 20]
+        for b in rng.integers(0, 64, rng.integers(1, 9)):
+            x ^= 1 << int(b)
+        fps.add(x)
+    fps = np.array(sorted(fps), np.uint64)
+    want = {(int(a), int(b)) for i, a in enumerate(fps) for b in fps[i + 1 :] if int(a ^ b).bit_count() <= 10}
+    u, v = simhash._partners(fps, np.zeros(len(fps), bool), 10)
+    got = {(min(int(a), int(b)), max(int(a), int(b))) for a, b in zip(u, v)}
+    assert got <= want
+    linked = {x for p in want for x in p}
+    assert {x for p in got for x in p} == linked
+    if crowd == 64:
+        df = spark.createDataFrame([(int(f.astype(np.int64)),) for f in fps], "fp long")
+        rows = simhash.links(df, 10, simhash.WIDE_PARTITIONS, True).collect()
+        assert {x for r in rows for x in (r.u % 2**64, r.v % 2**64)} == linked
+
+
+def test_wide_copies(spark):
+    rng = random.Random(6)
+    docs, similar = [], {}
+    for k in range(60):
+        w = [f"w{rng.randint(0, 5000)}" for _ in range(200)]
+        docs.append((10 * k, "s", " ".join(w)))
+        for j in range(1, 3):
+            x = w[:]
+            for _ in range(j * 4):
+                x[rng.randrange(200)] = "changed"
+            docs.append((10 * k + j, "s", " ".join(x)))
+    sets = {d: set(simhash._shingle_set(t.encode()).tolist()) for d, _, t in docs}
+    left = {r.doc_id for r in simhash.drop_near_copies(table(spark, docs)).collect()}
+    narrow = {r.doc_id for r in simhash.drop_near_copies(table(spark, docs), wide=False).collect()}
+    assert left <= narrow and {10 * k for k in range(60)} <= left
+    fps = {d: brute.fingerprint(t) for d, _, t in docs}
+    for d in narrow - left:
+        first = d // 10 * 10
+        assert any(len(sets[d] & sets[e]) >= 0.8 * len(sets[d] | sets[e]) for e in range(first, d))
+    for d in left - {10 * k for k in range(60)}:
+        for e in range(d // 10 * 10, d):
+            near = (fps[d] ^ fps[e]).bit_count()
+            assert near > simhash.WIDE or (near > 4 and len(sets[d] & sets[e]) < 0.8 * len(sets[d] | sets[e]))
+
+
 def test_drop_near_copies(spark, odd):
-    left = simhash.drop_near_copies(table(spark, odd))
+    left = simhash.drop_near_copies(table(spark, odd), wide=False)
     ids = [d for d, _, _ in odd]
     want = Counter(brute.groups(ids, [brute.fingerprint(t) for _, _, t in odd]))
     assert Counter(r.doc_id for r in left.collect()) == Counter(want.keys())
