@@ -21,8 +21,8 @@ def transition_scores(events: DataFrame, frames: DataFrame, columns: Sequence[st
     boundary. A transition's score is half the mean change, relative to its largest, and
     half the mean |r|; with one event it only describes.
     """
-    w = W.orderBy(key, "start_frame", "segment_id")
-    numbered = events.withColumn("event_id", F.row_number().over(w) - 1) if "event_id" not in events.columns else events
+    # A hash of the event's place names it; numbering all events would put them in one task.
+    numbered = events.withColumn("event_id", F.xxhash64(key, "start_frame", "segment_id")) if "event_id" not in events.columns else events
     lo, hi = F.col("start_frame"), F.col("end_frame")
     to_lo, to_hi = F.col("to_start_frame"), F.col("to_end_frame")
     if window:

@@ -145,7 +145,7 @@ def compute_volume(s, selection, spacing, gaussian):
     return {"volume": geometry.cavity_volume(s.values["atoms"].where(_where(selection)), float(spacing), gaussian=gaussian)}
 
 
-@op("gsa_nanocube_metrics", ("atoms",), ("cube_metrics",), (P("group", default="resid"),), "gsa")
+@op("compute_cube_metrics", ("atoms",), ("cube_metrics",), (P("group", default="resid"),), "cage")
 def cube_metrics(s, group):
     """Shape of the whole, planes and centres of its groups, and how regular these stand."""
     atoms = s.values["atoms"]
@@ -153,7 +153,7 @@ def cube_metrics(s, group):
     return {"cube_metrics": geometry.shapes(atoms).join(geometry.neighbour_statistics(centres.select("traj_id", "frame", group, "x", "y", "z"), group).drop("mean", "std"), ["traj_id", "frame"], "left").join(geometry.opposite_distances(centres, group), ["traj_id", "frame"], "left")}
 
 
-@op("compute_gsa_features", ("atoms",), ("features",), (P("group", default="resid"), P("cutoff", "number", default=4.5)), "changepoint")
+@op("compute_cage_features", ("atoms",), ("features",), (P("group", default="resid"), P("cutoff", "number", default=4.5)), "changepoint")
 def cage_features(s, group, cutoff):
     """A feature table from atoms: shape, regularity and contacts per frame."""
     atoms = s.values["atoms"]
@@ -389,7 +389,7 @@ def describe_clusters(s, structure, edges, poles):
     return {"cluster_profiles": structures.profiles(s.values["labelled_frames"], "cluster_label", structure, list(edges), list(poles))}
 
 
-@op("compare_to_murata_metastructures", ("labelled_frames",), ("structure_occupancy",), (P("structure", required=True),), "changepoint")
+@op("compare_metastructures", ("labelled_frames",), ("structure_occupancy",), (P("structure", required=True),), "changepoint")
 def structure_occupancy(s, structure):
     """Percent of frames with each metastructure label."""
     names = s.spark.range(1).select(F.explode(F.array(*(F.lit(x) for x in ("A", "B", "C1", "C2", "other")))).alias("label"))

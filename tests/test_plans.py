@@ -67,7 +67,7 @@ def test_registered_analysis(spark, features):
     call("categorize_cluster_mixtures", category="structure")
     profiles = call("describe_endpoint_clusters", structure="structure", edges=["e1"], poles=["p1"])["cluster_profiles"].collect()
     assert all(r.structure_name.startswith("belt broken along e1") for r in profiles)
-    occupancy = {r.label: r.percent for r in call("compare_to_murata_metastructures", structure="structure")["structure_occupancy"].collect()}
+    occupancy = {r.label: r.percent for r in call("compare_metastructures", structure="structure")["structure_occupancy"].collect()}
     assert occupancy["C1"] == 0.0 and abs(sum(occupancy.values()) - 100) < 1e-9
     call("sweep_changepoint_penalty", groups=["combined"], points=4)
     call("assembly_qc", spread="u", component="n_guest_inside_cavity", most=100.0, least=0)
@@ -78,7 +78,7 @@ def test_registered_geometry(spark, atoms):
     s = Session(spark)
     s.put("atoms", atoms)
     call = lambda name, **p: REGISTRY.call(s, name, **p)
-    for name in ("compute_rg", "compute_rmsd", "align", "compute_rmsf", "compute_contacts", "contact_graph", "compute_strain", "gsa_nanocube_metrics", "find_endpoints", "compute_endpoint_distances"):
+    for name in ("compute_rg", "compute_rmsd", "align", "compute_rmsf", "compute_contacts", "contact_graph", "compute_strain", "compute_cube_metrics", "find_endpoints", "compute_endpoint_distances"):
         for out in call(name).values():
             assert out.count() > 0, name
     call("compute_volume", spacing=1.0)
@@ -92,7 +92,7 @@ def test_registered_geometry(spark, atoms):
     call("markov_states", n_micro=4, n_macro=2)
     call("select_frames", most=5, apart=0.0)
     assert s.values["selected_frames"].count() == 5
-    made = call("compute_gsa_features")["features"]
+    made = call("compute_cage_features")["features"]
     assert made.count() == 12 and "assembly_rg" in made.columns and "com_octahedrality" in made.columns
     assert "run_changepoint_pipeline" in REGISTRY.available(s)
 
