@@ -6,10 +6,13 @@ exactly these, and none of them occurs inside a multi-byte UTF-8 character.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,10 +65,27 @@ def keep(name: tuple, make):
     """What a worker process keeps from task to task for one operator; what another operator kept goes first."""
     if name not in _kept:
         _kept.clear()
+        give_back()
         _kept[name] = make()
     return _kept[name]
 
 
+def give_back() -> None:
+    """Return to the system what Python, Arrow and the C library hold without using it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def slices(batches, rows: int = 1_000):
+    """Arrow batches cut into pieces of at most so many rows, so that Python objects of few rows exist at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class Memo:
     """What a worker process keeps from batch to batch: two generations of entries, so that frequent keys stay.
 

@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut
+from .common import cut, slices
 from .components import components
 
 BITS, SHINGLE, DISTANCE, SEED = 64, 4, 4, 42
 #: Numbers of partitions that are weighed against each other, and the widest threshold a partition can get.
 PARTITIONS, WIDEST = (2, 3, 4, 5), 2
-#: Copies that edits have moved farther apart: searched up to this distance, then held to the Jaccard similarity of their shingles of so many words.
+#: Copies that edits have moved farther apart: searched up to this distance, then held to the Jaccard similarity of their shingles of so many words,
+#: estimated from the SKETCH smallest hashes of two texts together, exact where they have no more.
 WIDE, WIDE_PARTITIONS, WIDE_SHINGLE, WIDE_SIMILARITY = 12, (4, 5, 6, 7, 8), 5, 0.8
+SKETCH = 256
 #: A fingerprint with more partners than this in one bucket stands for them all there.
 CROWD = 64
 #: What a row that is dealt out costs, in pairs that are compared.
@@ -57,7 +59,7 @@ def fingerprints(documents: DataFrame, carry: str | None = None) -> DataFrame:
     others = ["doc_id", *[carry] * bool(carry)]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [fingerprint(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in others] + [pa.array(np.array(found, np.uint64).view(np.int64))], names=[*others, "fp"])
 
@@ -340,14 +342,22 @@ def _shingle_set(text: bytes) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(words[i : i + k])) for i in range(len(words) - k + 1)] if words else [], dtype="<u8"))
 
 
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sketches, the smallest shingle hashes of two texts, speak for the similarity asked for."""
+    union = np.union1d(a, b)[:SKETCH]
+    both = np.intersect1d(a, b, assume_unique=True)
+    shared = int((both <= union[-1]).sum()) if len(union) else 0
+    return shared > 0 and shared >= WIDE_SIMILARITY * len(union)
+
+
 def similar_pairs(documents: DataFrame, rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
-    """Of pairs of fingerprints (u, v) those whose texts, one for each fingerprint, have a Jaccard similarity of WIDE_SIMILARITY or more."""
+    """Of pairs of fingerprints (u, v) those whose texts, one for each fingerprint, are similar by their shingles."""
     some = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
     chosen = cut(rows.join(some, "fp").groupBy("fp").agg(F.min(key).alias(key)))
 
     def sets(batches):
-        for batch in batches:
-            found = [_shingle_set(t or b"").tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        for batch in slices(batches):
+            found = [_shingle_set(t or b"")[:SKETCH].tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(found, pa.binary())], names=["fp", "set"])
 
     texts = documents.select(key, "text").join(chosen, key).select("fp", "text")
@@ -355,13 +365,9 @@ def similar_pairs(documents: DataFrame, rows: DataFrame, key: str, pairs: DataFr
     met = pairs.join(known.withColumnsRenamed({"fp": "u", "set": "a"}), "u").join(known.withColumnsRenamed({"fp": "v", "set": "b"}), "v")
 
     def judge(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both >= WIDE_SIMILARITY * (len(a) + len(b) - both) and both > 0)
-            mask = pa.array(keep, pa.bool_())
+        for batch in slices(batches):
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            mask = pa.array([_similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(a, b)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("u").filter(mask), batch.column("v").filter(mask)], names=["u", "v"])
 
     return met.select("u", "v", "a", "b").mapInArrow(judge, "u long, v long")

@@ -20,15 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import cut, keep
+from .common import cut, keep, slices
 
 WINDOW, GRAM = 35, 8
 #: Suffix groups of an anchor above which its suffixes are split by their whole window.
 TREE_ROWS = 5_000
 #: Rows of sorted partitions that are held at once, and suffixes that are sorted at once.
-ROWS_AT_ONCE, SUFFIXES_AT_ONCE = 20_000, 200_000
+ROWS_AT_ONCE, SUFFIXES_AT_ONCE = 20_000, 100_000
 #: Words whose hashes a worker keeps, and entries of a task's table of what it has sent.
-KEPT_WORDS, KEPT_SENT = 300_000, 100_000
+KEPT_WORDS, KEPT_SENT = 250_000, 50_000
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -84,7 +84,7 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 def _anchor_rows(rows: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             g, k, p = [], [], []
             for text, key in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
                 h = _word_hashes(text or b"")
@@ -133,7 +133,7 @@ def _suffixes(joined: DataFrame) -> DataFrame:
                     known[3] = True
                     out.append((known[0] ^ known[1], 0, known[0], known[1], known[2], None, True))
 
-        for batch in batches:
+        for batch in slices(batches):
             out: list = []
             names = batch.schema.names
             columns = (batch.column(names.index(c)) for c in ("__text", "__key", "__places"))
@@ -273,7 +273,7 @@ def substring_dedup(documents: DataFrame) -> DataFrame:
     names = kept.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts, n, removed = [], [], []
             for text, runs in zip(batch.column("__text").to_pylist(), batch.column("__spans").to_pylist()):
                 words = text.split()

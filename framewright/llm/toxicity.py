@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, chunks, cut, keep
+from .common import Memo, chunks, cut, keep, slices
 
 #: The bound of the fit: labelled rows of each class that are read, those with the smallest hashes of their doc_id. The model's size follows.
 TRAIN_ROWS = 4_000
@@ -252,7 +252,7 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
         sent = rows.sparkSession.sparkContext.broadcast(Model(model(n[:, 0]), plain))
 
         def measure(batches):
-            for batch in batches:
+            for batch in slices(batches):
                 x = sent.value.measure(batch.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column(1)], names=[*FEATURES, "toxic"])
 
@@ -271,7 +271,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             scores = sent.value.scores([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "toxicity"])
 
