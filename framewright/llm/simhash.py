@@ -23,7 +23,7 @@ PARTITIONS, WIDEST = (2, 3, 4, 5), 2
 WIDE, WIDE_PARTITIONS, WIDE_SHINGLE, WIDE_SIMILARITY = 12, (4, 5, 6, 7, 8), 5, 0.8
 SKETCH = 256
 #: A fingerprint with more partners than this in one bucket stands for them all there.
-CROWD = 64
+CROWD = 16
 #: What a row that is dealt out costs, in pairs that are compared.
 ROW_COST = 300.0
 #: Buckets up to this size are compared together, larger ones each by itself, this many pairs at a time.
@@ -245,7 +245,8 @@ def _stars(fps: np.ndarray, probe: np.ndarray, distance: int) -> tuple[np.ndarra
 
 def _partners(fps: np.ndarray, probe: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of a large bucket within the distance; a member of a crowd comes only with the one that stands for it."""
-    left = np.argsort(probe, kind="stable")  # those at home first: a probe is compared with them only
+    # Those at home first, as a probe is compared with them only; smallest first, so that the same stand for a crowd in every bucket.
+    left = np.lexsort((fps, probe))
     homes = int((~probe).sum())
     u, v = [], []
     while homes:
