@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, cut
@@ -11,54 +11,45 @@ from .common import SPACES, cut
 LINE_DOCS, LINE_SHARE = 50, 0.02
 #: A document goes if fewer than MIN_WORDS or less than KEEP_SHARE of its words remain.
 MIN_WORDS, KEEP_SHARE = 50, 0.5
-#: Bits of a packed number that hold a word's place in its text.
-PLACE_BITS = 22
+#: Bits of a packed number that hold a word's place in its text: for texts that these number, and for any that fits a row.
+PLACE_BITS, MOST_BITS = 22, 28
 
 
-def repeated_places(words: Column) -> Column:
-    """The places, ascending, of the 3-word windows found twice or more in an array of words.
+def _steps() -> dict[str, str]:
+    """The count of words in 3-word windows found twice or more, step by step as columns; lambdas see the columns before.
 
     Each window becomes one long, its hash above and its place below; after sorting,
     equal windows are neighbours, and the words themselves confirm what the hash says.
+    Where such windows begin, ascending, tells how many words they cover.
     """
-    low = (1 << PLACE_BITS) - 1
-    # get() keeps out-of-range access null; the places end two words before the text does.
-    window = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-    packed = F.transform(
-        F.sequence(F.lit(0), F.size(words) - 3), lambda i: window(i).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))
-    )
-    return F.when(F.size(words) >= 3, F.sort_array(packed))
-
-
-def _expr() -> dict[str, str]:
-    """The steps over the sorted windows, as SQL: lambdas see the columns words and packed."""
-    low = (1 << PLACE_BITS) - 1
-    same = f"""(({{0}}) >= 0 AND ({{0}}) < size(packed)
-        AND shiftrightunsigned(x, {PLACE_BITS}) = shiftrightunsigned(get(packed, {{0}}), {PLACE_BITS})
-        AND get(words, int(x & {low})) = get(words, int(get(packed, {{0}}) & {low}))
-        AND get(words, int(x & {low}) + 1) = get(words, int(get(packed, {{0}}) & {low}) + 1)
-        AND get(words, int(x & {low}) + 2) = get(words, int(get(packed, {{0}}) & {low}) + 2))"""
+    place = "int({} & low)"
+    same = "(({0}) >= 0 AND ({0}) < size(packed) AND shiftrightunsigned(x, bits) = shiftrightunsigned(get(packed, {0}), bits)"
+    for k in range(3):
+        same += f" AND get(words, {place.format('x')} + {k}) = get(words, {place.format('get(packed, {0})')} + {k})"
+    same += ")"
     return {
-        "places": f"sort_array(transform(filter(packed, (x, i) -> {same.format('i - 1')} OR {same.format('i + 1')}), x -> x & {low}))",
-        "n_repeat_words": "coalesce(if(size(places) > 0, 3L + aggregate(if(size(places) > 1, sequence(2, size(places)), array()), 0L, (a, i) -> a + least(3L, get(places, i - 1) - get(places, i - 2)), a -> a), 0L), 0L)",
+        "bits": f"if(size(words) < {1 << PLACE_BITS}, {PLACE_BITS}, {MOST_BITS})",
+        "low": "shiftleft(1L, bits) - 1L",
+        "packed": "if(size(words) >= 3, sort_array(transform(sequence(0, size(words) - 3), i -> (xxhash64(get(words, i), get(words, i + 1), get(words, i + 2)) & ~low) | i)), array())",
+        "places": f"sort_array(transform(filter(packed, (x, i) -> {same.format('i - 1')} OR {same.format('i + 1')}), x -> x & low))",
+        "n_repeat_words": "if(size(places) > 0, 3L + aggregate(if(size(places) > 1, sequence(2, size(places)), array()), 0L, (a, i) -> a + least(3L, get(places, i - 1) - get(places, i - 2))), 0L)",
     }
 
 
 def measures(documents: DataFrame) -> DataFrame:
     """A slim row per document: its word, symbol and repetition counts, and the lines it holds, hashed, each once."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    steps = _expr()
     spread = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
     base = (
         documents.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), text.alias("text"))
         .withColumn("words", F.filter(F.split("text", SPACES), lambda w: w != ""))
         .withColumn("lines", spread)
-        .withColumn("packed", repeated_places(F.col("words")))
-        .withColumn("places", F.expr(steps["places"]))
         # Lines are normalised as their words, lower-cased, joined by one space.
         .withColumn("line", F.transform("lines", lambda x: F.lower(F.trim(F.regexp_replace(x, SPACES, " ")))))
         .withColumn("line", F.transform("line", lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("n"))))
     )
+    for name, step in _steps().items():
+        base = base.withColumn(name, F.expr(step))
     return base.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
@@ -67,7 +58,7 @@ def measures(documents: DataFrame) -> DataFrame:
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.char_length("text") - F.char_length(F.regexp_replace("text", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.expr(steps["n_repeat_words"]).alias("n_repeat_words"),
+        "n_repeat_words",
         "line",
     )
 
