@@ -23,7 +23,7 @@ PARTITIONS, WIDEST = (2, 3, 4, 5), 2
 WIDE, WIDE_PARTITIONS, WIDE_SHINGLE, WIDE_SIMILARITY = 12, (4, 5, 6, 7, 8), 5, 0.8
 SKETCH = 256
 #: A fingerprint with more partners than this in one bucket stands for them all there.
-CROWD = 16
+CROWD = 32
 #: What a row that is dealt out costs, in pairs that are compared.
 ROW_COST = 300.0
 #: Buckets up to this size are compared together, larger ones each by itself, this many pairs at a time.
@@ -305,14 +305,27 @@ def links(distinct: DataFrame, distance: int = DISTANCE, partitions: tuple = PAR
     """
     searched = plan(distinct, distance, partitions)
     probes = _probes(distinct, searched)
+    masks = [(np.uint64(sum(1 << b for b in bits)), t) for bits, t in searched]
 
     def run(batches):
         held: list[list[np.ndarray]] = []
 
         def out(parts, values, probe, fps):
-            change = np.r_[False, (parts[1:] != parts[:-1]) | (values[1:] != values[:-1])]
-            u, v = bucket_edges(np.cumsum(change), probe, fps, distance, direct)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+            us, vs = [], []
+            for part in np.unique(parts).tolist():
+                own = parts == part
+                change = np.r_[False, values[own][1:] != values[own][:-1]]
+                u, v = bucket_edges(np.cumsum(change), probe[own], fps[own], distance, direct)
+                if direct:
+                    # Only in the first partition where a pair meets, once, and only if links() by itself does not find it.
+                    differ = u ^ v
+                    first = np.bitwise_count(differ) > DISTANCE
+                    for mask, t in masks[:part]:
+                        first &= np.bitwise_count(differ & mask) > t
+                    u, v = np.unique(np.stack([np.minimum(u, v)[first], np.maximum(u, v)[first]]), axis=1)
+                us.append(u)
+                vs.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us).view(np.int64)), pa.array(np.concatenate(vs).view(np.int64))], names=["u", "v"])
 
         n = 0
         for batch in batches:

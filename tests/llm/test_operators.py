@@ -117,7 +117,7 @@ def test_allocate_covers_every_distance():
     assert sum(t + 1 for t in thresholds) == simhash.DISTANCE + 1 and cost == 5 + 9
 
 
-@pytest.mark.parametrize("crowd", [2, 16])
+@pytest.mark.parametrize("crowd", [2, 32])
 def test_direct_pairs(spark, crowd, monkeypatch):
     """Every pair within the wide distance, but in crowds, where each member comes with one that stands for it."""
     monkeypatch.setattr(simhash, "CROWD", crowd)
@@ -136,10 +136,13 @@ def test_direct_pairs(spark, crowd, monkeypatch):
     assert got <= want
     linked = {x for p in want for x in p}
     assert {x for p in got for x in p} == linked
-    if crowd == 16:
+    if crowd == 32:
         df = spark.createDataFrame([(int(f.astype(np.int64)),) for f in fps], "fp long")
         rows = simhash.links(df, 10, simhash.WIDE_PARTITIONS, True).collect()
-        assert {x for r in rows for x in (r.u % 2**64, r.v % 2**64)} == linked
+        pairs = [(r.u % 2**64, r.v % 2**64) for r in rows]
+        assert {(min(p), max(p)) for p in pairs} <= {p for p in want if (p[0] ^ p[1]).bit_count() > 4}
+        near = {x for p in want if (p[0] ^ p[1]).bit_count() <= 4 for x in p}  # links() finds these by itself
+        assert len(linked - near - {x for p in pairs for x in p}) <= 0.02 * len(linked)
 
 
 def test_wide_copies(spark):
