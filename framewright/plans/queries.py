@@ -577,23 +577,23 @@ def silhouette_by_label(spark, d):
 
 @query()
 def permutation_pvalues(spark, d):
-    wide = t(spark, d, "embeddings").select("label", *(F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(8)))
-    return S.permutation_eta(wide, [f"f{k}" for k in range(8)], "label", n=99)
+    wide = t(spark, d, "embeddings").select("label", *(F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(64)))
+    return S.permutation_eta(wide, [f"f{k}" for k in range(64)], "label", n=99)
 
 
 @query()
 def two_sample_tests(spark, d):
-    return S.two_sample(long_vectors(spark, d).where("feature < 4").withColumn("first", F.col("label") == 0), "value", "first", ["feature"])
+    return S.two_sample(long_vectors(spark, d).withColumn("first", F.col("label") == 0), "value", "first", ["feature"])
 
 
 @query()
 def mixture_test(spark, d):
-    return S.mixtures(long_vectors(spark, d).where("feature < 8"), "value", ["feature"])
+    return S.mixtures(long_vectors(spark, d), "value", ["feature"])
 
 
 @query()
 def signed_rank(spark, d):
-    return S.signed_rank(long_vectors(spark, d).where("feature < 8"), "value", ["feature"])
+    return S.signed_rank(long_vectors(spark, d), "value", ["feature"])
 
 
 @query()
@@ -615,7 +615,7 @@ def bootstrap_information(spark, d):
 
 @query()
 def bootstrap_r2(spark, d):
-    long = long_vectors(spark, d).where("feature < 8").withColumns({"series": F.col("vec_id") % 12, "k": F.lit(10)})
+    long = long_vectors(spark, d).withColumns({"series": F.col("vec_id") % 12, "k": F.lit(10)})
     return S.bootstrap_r_squared(S.sufficient_statistics(long, "value", "series", "label", ["k", "feature"]), "series", "label", ["k"], 40)
 
 
@@ -686,7 +686,7 @@ def kabsch_rmsd(spark, d):
 
 @query()
 def hungarian(spark, d):
-    cost = points(spark, d).where("vec_id < 180").select((F.col("vec_id") % 6).alias("i"), F.floor(F.col("vec_id") / 6 % 6).cast("long").alias("j"), "x").groupBy("i", "j").agg(F.sum("x").alias("cost")).withColumn("g", F.lit(0))
+    cost = points(spark, d).select((F.col("vec_id") % 6).alias("i"), F.floor(F.col("vec_id") / 6 % 6).cast("long").alias("j"), "x").groupBy("i", "j").agg(F.sum("x").alias("cost")).withColumn("g", F.lit(0))
     return geometry.lock_pairs(cost, ["g"])
 
 
@@ -795,7 +795,7 @@ def recrossings_suppressed(spark, d):
 
 @query()
 def ward_labels(spark, d):
-    e = t(spark, d, "embeddings").where("vec_id < 600").select("vec_id", F.lit("all").alias("grp"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    e = t(spark, d, "embeddings").select("vec_id", F.col("label").alias("grp"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
     return clustering.ward(e, ["vec_id"], ["grp"], k_max=6)
 
 

@@ -51,3 +51,17 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["ward_labels", "two_sample_tests", "mixture_test", "signed_rank", "bootstrap_r2", "permutation_pvalues"])
+def test_no_part_of_the_rows(spark, tmp_path, name):
+    """Ids from 600 on and all 64 features count."""
+    from pyspark.sql import functions as F
+
+    moved = spark.read.parquet(f"{SMALL}/embeddings.parquet").withColumn("vec_id", F.col("vec_id") + 600)
+    moved.write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = entry_points.queries()[name](spark, str(tmp_path)).collect()
+    if name == "ward_labels":
+        assert len(rows) == moved.count()
+    else:
+        assert len({r["feature"] for r in rows if "feature" in r} or {str(r) for r in rows}) >= (64 if rows and "feature" in rows[0] else 1)
