@@ -18,12 +18,16 @@ from .components import components
 BITS, SHINGLE, DISTANCE, SEED = 64, 4, 4, 42
 #: Numbers of partitions that are weighed against each other, and the widest threshold a partition can get.
 PARTITIONS, WIDEST = (2, 3, 4, 5), 2
-#: Copies that edits have moved farther apart: searched up to this distance, then held to the Jaccard similarity of their shingles of so many words,
-#: estimated from the SKETCH smallest hashes of two texts together, exact where they have no more.
-WIDE, WIDE_PARTITIONS, WIDE_SHINGLE, WIDE_SIMILARITY = 12, (4, 5, 6, 7, 8), 5, 0.8
-SKETCH = 256
-#: A fingerprint with more partners than this in one bucket stands for them all there.
+#: Distance and partitions of a search for direct pairs.
+WIDE, WIDE_PARTITIONS = 12, (4, 5, 6, 7, 8)
+#: Copies that edits have moved farther apart, at any distance: texts whose shingles of so many words have this Jaccard similarity.
+WIDE_SHINGLE, WIDE_SIMILARITY = 5, 0.8
+#: Texts are compared if in one of BANDS bands all of BAND_ROWS least hashes agree: at a similarity of 0.8 all but 3 pairs in a million.
+BANDS, BAND_ROWS = 24, 4
+#: More pairs than this for each text, and those with one text of each bucket are judged first, as what they link needs no other pairs.
 CROWD = 32
+#: Texts of a block, of which two at a time are held to be compared.
+BLOCK = 1_000
 #: What a row that is dealt out costs, in pairs that are compared.
 ROW_COST = 300.0
 #: Buckets up to this size are compared together, larger ones each by itself, this many pairs at a time.
@@ -244,33 +248,20 @@ def _stars(fps: np.ndarray, probe: np.ndarray, distance: int) -> tuple[np.ndarra
 
 
 def _partners(fps: np.ndarray, probe: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of a large bucket within the distance; a member of a crowd comes only with the one that stands for it."""
-    # Those at home first, as a probe is compared with them only; smallest first, so that the same stand for a crowd in every bucket.
-    left = np.lexsort((fps, probe))
+    """All pairs of a large bucket within the distance."""
+    left = np.argsort(probe, kind="stable")  # those at home first, as a probe is compared with them only
     homes = int((~probe).sum())
-    u, v = [], []
+    u, v = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     while homes:
         step = max(1, min(homes, PAIRS_AT_ONCE // len(left)))
         block = left[:step]
         near = np.bitwise_count(fps[block][:, None] ^ fps[left][None, :]) <= distance
         near[:, :step] &= np.arange(step)[:, None] < np.arange(step)[None, :]
-        gone = np.zeros(len(left), bool)
-        gone[:step] = True
-        for k in np.flatnonzero(near.sum(axis=1) > CROWD).tolist():
-            hit = near[k]
-            if int(hit.sum()) <= CROWD:  # another of the block stands for its members by now
-                continue
-            hit = hit.copy()
-            u.append(np.full(int(hit.sum()), fps[block[k]]))
-            v.append(fps[left[hit]])
-            gone |= hit
-            near[:, hit] = False
-            near[k] = False
         i, j = np.nonzero(near)
         u.append(fps[block[i]])
         v.append(fps[left[j]])
-        homes -= int((gone[:homes]).sum())
-        left = left[~gone]
+        homes -= step
+        left = left[step:]
     return np.concatenate(u), np.concatenate(v)
 
 
@@ -301,7 +292,7 @@ def bucket_edges(key: np.ndarray, probe: np.ndarray, fps: np.ndarray, distance:
 def links(distinct: DataFrame, distance: int = DISTANCE, partitions: tuple = PARTITIONS, direct: bool = False) -> DataFrame:
     """Verified links between different fingerprints, u and v, enough of them to connect all that are within the distance.
 
-    direct asks for pairs that are within the distance themselves; in a crowd, those with the one that stands for it.
+    direct asks for all pairs that are within the distance themselves, but for those within DISTANCE.
     """
     searched = plan(distinct, distance, partitions)
     probes = _probes(distinct, searched)
@@ -351,40 +342,128 @@ def links(distinct: DataFrame, distance: int = DISTANCE, partitions: tuple = PAR
 def _shingle_set(text: bytes) -> np.ndarray:
     """The different shingles of a text, as sorted hashes."""
     words = text.lower().split()
+    if not words:
+        return np.zeros(0, "<u8")
     k = min(WIDE_SHINGLE, len(words))
+    joined = b" ".join(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: len(words) - k + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(words[i : i + k])) for i in range(len(words) - k + 1)] if words else [], dtype="<u8"))
+    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts, ends[k - 1 :].tolist())], dtype="<u8"))
 
 
-def _similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sketches, the smallest shingle hashes of two texts, speak for the similarity asked for."""
-    union = np.union1d(a, b)[:SKETCH]
-    both = np.intersect1d(a, b, assume_unique=True)
-    shared = int((both <= union[-1]).sum()) if len(union) else 0
-    return shared > 0 and shared >= WIDE_SIMILARITY * len(union)
+_FACTORS = np.random.default_rng(SEED).integers(0, 2**64, (BANDS * BAND_ROWS, 2), np.uint64) | np.uint64(1)
 
 
-def similar_pairs(documents: DataFrame, rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
-    """Of pairs of fingerprints (u, v) those whose texts, one for each fingerprint, are similar by their shingles."""
-    some = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    chosen = cut(rows.join(some, "fp").groupBy("fp").agg(F.min(key).alias(key)))
+def _bands(shingles: np.ndarray) -> np.ndarray:
+    """A number for each band: of its least hashes, under as many orders of the shingles, and the band itself."""
+    least = np.full(len(_FACTORS), 2**64 - 1, np.uint64)
+    for at in range(0, len(shingles), 2_000):
+        mixed = shingles[at : at + 2_000].astype(np.uint64)[None, :] * _FACTORS[:, :1]
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= _FACTORS[:, 1:]
+        np.minimum(least, mixed.min(axis=1), out=least)
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64).view(np.int64)
 
-    def sets(batches):
-        for batch in slices(batches):
-            found = [_shingle_set(t or b"")[:SKETCH].tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(found, pa.binary())], names=["fp", "set"])
 
-    texts = documents.select(key, "text").join(chosen, key).select("fp", "text")
-    known = cut(texts.mapInArrow(sets, "fp long, set binary").dropDuplicates(["fp"]))
-    met = pairs.join(known.withColumnsRenamed({"fp": "u", "set": "a"}), "u").join(known.withColumnsRenamed({"fp": "v", "set": "b"}), "v")
+def banded(documents: DataFrame, key: str) -> DataFrame:
+    """key, size (different shingles) and bands of every text that has words."""
 
-    def judge(batches):
+    def run(batches):
         for batch in slices(batches):
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            mask = pa.array([_similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(a, b)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("u").filter(mask), batch.column("v").filter(mask)], names=["u", "v"])
+            keys, sizes, bands = [], [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                found = _shingle_set(t or b"")
+                if len(found):
+                    keys.append(k)
+                    sizes.append(len(found))
+                    bands.append(_bands(found))
+            values = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), values)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), lists], names=["key", "size", "bands"])
+
+    return documents.select(key, "text").mapInArrow(run, "key long, size int, bands array<long>")
+
+
+def _cell(key: tuple, pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """The similar ones of some pairs, by the sets of their texts: each text's shingles are marked once, and counted in its partners."""
+    at = {k: i for i, k in enumerate(sets.column("key").to_pylist())}
+    column = sets.column("set").combine_chunks()
+    ends = column.offsets.to_numpy()
+    _, ids = np.unique(column.values.to_numpy(zero_copy_only=False)[: ends[-1]], return_inverse=True)
+    u = np.array([at[k] for k in pairs.column("u").to_pylist()], np.int64)
+    v = np.array([at[k] for k in pairs.column("v").to_pylist()], np.int64)
+    size, mark, good = np.diff(ends), np.zeros(len(ids) + 1, np.int64), np.zeros(len(u), bool)
+    order = np.argsort(u, kind="stable")
+    heads = np.flatnonzero(np.r_[True, u[order][1:] != u[order][:-1]]) if len(u) else []
+    for some in np.split(order, heads[1:]) if len(u) else []:
+        k = u[some[0]]
+        mine = ids[ends[k] : ends[k + 1]]
+        mark[mine] = 1
+        for j in some:
+            both = int(mark[ids[ends[v[j]] : ends[v[j] + 1]]].sum())
+            good[j] = both >= WIDE_SIMILARITY * (size[k] + size[v[j]] - both)
+        mark[mine] = 0
+    return pairs.filter(pa.array(good)).select(["ru", "rv"]).rename_columns(["u", "v"])
+
+
+def similar_pairs(documents: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+    """Of pairs of texts (their keys u and v, and ru and rv) those that are similar by all their shingles: ru and rv, as u and v.
+
+    Texts are dealt to blocks of about BLOCK, pairs to cells of two blocks, so a text goes to a cell once for all its pairs there.
+    """
+    some = cut(pairs.select(F.explode(F.array("u", "v")).alias(key)).distinct())
+    blocks = some.count() // BLOCK + 1
 
-    return met.select("u", "v", "a", "b").mapInArrow(judge, "u long, v long")
+    def sets(batches):
+        for batch in slices(batches, 200):
+            found = [_shingle_set(t or b"").view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([batch.column(key), lists], names=["key", "set"])
+
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    dealt = cut(pairs.withColumn("cell", block("u") * blocks + block("v")))
+    places = dealt.select(F.col("cell").alias("place"), F.explode(F.array("u", "v")).alias("key")).distinct()
+    texts = documents.select(key, "text").join(some, key)
+    known = cut(texts.select(key, "text").mapInArrow(sets, "key long, set array<long>").dropDuplicates(["key"]))
+    return dealt.groupBy("cell").cogroup(places.join(known, "key").groupBy("place")).applyInArrow(_cell, "u long, v long")
+
+
+def wide_links(documents: DataFrame, rows: DataFrame, key: str, linked: DataFrame) -> DataFrame:
+    """Links (u, v) between fingerprints that, with those given, connect all similar texts.
+
+    Texts meet in a bucket for each band. Those that links connect already need not be
+    compared; any other two that meet are, by all their shingles. If these are very many,
+    one text of each bucket is compared with the rest before, and what that links
+    is left out: no pair is given up.
+    """
+    of = rows.select(F.col(key).alias("key"), "fp").dropDuplicates(["key"])
+    texts = cut(banded(documents, key).dropDuplicates(["key"]).join(of, "key"))
+    n = texts.count()
+    more, last = None, float("inf")
+    while True:
+        known = linked if more is None else linked.union(more)
+        roots = cut(components(known))
+        named = texts.join(roots, texts.fp == roots.node, "left").select("key", "size", F.coalesce("root", "fp").alias("root"), F.explode("bands").alias("value"))
+        some = named.groupBy("value").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("value")
+        met = cut(named.join(some, "value"))
+        each = met.groupBy("value", "root").agg(F.count("*").alias("n")).groupBy("value").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        total = each.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
+        a = met.select("value", F.col("key").alias("u"), F.col("root").alias("ru"), F.col("size").alias("su"))
+        whole = total <= CROWD * n or total > 0.7 * last
+        if not whole:
+            a = a.groupBy("value").agg(F.min_by(F.struct("u", "ru", "su"), F.xxhash64("u", F.lit(total))).alias("one")).select("value", "one.*")
+        b = met.select("value", F.col("key").alias("v"), F.col("root").alias("rv"), F.col("size").alias("sv"))
+        met_once = F.col("ru") < F.col("rv") if whole else F.col("ru") != F.col("rv")
+        near = F.least("su", "sv") >= WIDE_SIMILARITY * F.greatest("su", "sv")
+        pairs = cut(a.join(b, "value").where(met_once & near).select("u", "v", "ru", "rv").distinct())
+        found = cut(similar_pairs(documents, key, pairs).distinct())
+        more = found if more is None else cut(more.union(found))
+        if whole:
+            return more
+        last = total
 
 
 def _groups(documents: DataFrame, distance: int, carry: str | None = None, wide: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -393,9 +472,7 @@ def _groups(documents: DataFrame, distance: int, carry: str | None = None, wide:
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = cut(links(distinct, distance))
     if wide:
-        far = links(distinct, WIDE, WIDE_PARTITIONS, True).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        far = cut(far.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) > distance))
-        linked = cut(linked.union(similar_pairs(documents, rows, carry, far)))
+        linked = cut(linked.union(wide_links(documents, rows, carry, linked)))
     roots = cut(components(linked))
     named = roots.join(distinct, roots.node == distinct.fp).select("fp", "root", "least")
     least = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
@@ -421,8 +498,8 @@ def near_duplicates(documents: DataFrame, distance: int = DISTANCE) -> DataFrame
 def drop_near_copies(documents: DataFrame, distance: int = DISTANCE, wide: bool = True) -> DataFrame:
     """The documents without all but one of each group: the one with the smallest doc_id stays, a null one last. All columns stay as they are.
 
-    A group holds what near_duplicates links and, unless wide is false, copies up to WIDE
-    bits apart whose shingles of WIDE_SHINGLE words have a similarity of WIDE_SIMILARITY or more.
+    A group holds what near_duplicates links and, unless wide is false, copies at any distance
+    whose shingles of WIDE_SHINGLE words have a similarity of WIDE_SIMILARITY or more.
     """
     names = documents.columns
     keyed = documents.select("*", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("__key"))

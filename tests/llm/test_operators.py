@@ -170,6 +170,44 @@ def test_wide_copies(spark):
             assert near > simhash.WIDE or (near > 4 and len(sets[d] & sets[e]) < 0.8 * len(sets[d] | sets[e]))
 
 
+@pytest.mark.parametrize("crowd", [8, 32])
+def test_wide_pairs_are_whole(spark, crowd, monkeypatch):
+    """Long texts about the threshold, in crowds and at any distance: groups are those of all exact similarities."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = random.Random(11)
+    docs = []
+    for k in range(4):
+        w = [f"w{rng.randint(0, 9000)}" for _ in range(600)]
+        for _ in range(30):
+            x = w[:]
+            for _ in range(rng.randint(0, 26)):
+                x[rng.randrange(600)] = f"c{rng.randint(0, 9000)}"
+            docs.append((len(docs), "s", " ".join(x)))
+    sets = [set(simhash._shingle_set(t.encode()).tolist()) for _, _, t in docs]
+    fps = [brute.fingerprint(t) for _, _, t in docs]
+    root = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (fps[i] ^ fps[j]).bit_count() <= 4 or both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert 4 < len(set(root)) < 100
+    assert {r.doc_id for r in simhash.drop_near_copies(table(spark, docs)).collect()} == set(root)
+
+
+def test_wide_pairs_beyond_the_search(spark):
+    """Similar texts whose fingerprints are farther apart than WIDE are copies too."""
+    rng, docs = random.Random(3), []
+    while len(docs) < 10:
+        w = [f"w{rng.randint(0, 9000)}" for _ in range(60)]
+        x = [*w[:-6], *(f"c{rng.randint(0, 9000)}" for _ in range(6))]
+        a, b = (set(simhash._shingle_set(" ".join(t).encode()).tolist()) for t in (w, x))
+        if len(a & b) >= 0.8 * len(a | b) and (brute.fingerprint(" ".join(w)) ^ brute.fingerprint(" ".join(x))).bit_count() > simhash.WIDE:
+            docs += [(len(docs), "s", " ".join(w)), (len(docs) + 1, "s", " ".join(x))]
+    assert {r.doc_id for r in simhash.drop_near_copies(table(spark, docs)).collect()} == {0, 2, 4, 6, 8}
+
+
 def test_drop_near_copies(spark, odd):
     left = simhash.drop_near_copies(table(spark, odd), wide=False)
     ids = [d for d, _, _ in odd]
