@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, chunks, cut, keep, slices
+from .common import Memo, chunks, keep, slices
 
-#: The bound of the fit: labelled rows of each class that are read, those with the smallest hashes of their doc_id. The model's size follows.
+#: The bound of the calibration: held-back rows of each class that are measured, those with the smallest hashes of their doc_id. Counts come from all rows.
 TRAIN_ROWS = 4_000
 #: Characters a model looks back at, itself included; orders up to SHARED take their counts from both classes together.
 ORDER, SHARED = 7, 2
@@ -215,29 +215,26 @@ def word_counts(labelled: DataFrame) -> DataFrame:
             yield out()
 
     sent = labelled.select("text", "fold", "toxic").mapInArrow(run, "word string, fold int, toxic int, n long")
-    each = [F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == c), F.col("n")).otherwise(0)).cast("int").alias(f"n{f}{c}") for f in (0, 1) for c in (0, 1)]
+    each = [F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == c), F.col("n")).otherwise(0)).cast("long").alias(f"n{f}{c}") for f in (0, 1) for c in (0, 1)]
     return sent.groupBy("word").agg(*each)
 
 
 def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most train_rows labelled documents of each class, held-out ones (crc32(doc_id) mod 5 = 0) never.
+    """Fit on all labelled documents, held-out ones (crc32(doc_id) mod 5 = 0) never.
 
-    Three quarters of them make the models from which the rest learns the calibration, so that it
-    sees texts as new as those to come, each class with the weight that all labels give it; the
-    models returned are then made from all of them. Rows without a label, a doc_id or a text are
+    Three quarters of them make the models from which at most train_rows of the rest, of each class,
+    teach the calibration, so that it sees texts as new as those to come, each class with the weight
+    that all labels give it; the models returned are then made from all of them. Rows without a label, a doc_id or a text are
     no examples. With one class or none, nothing is toxic.
     """
     key = F.crc32(F.col("doc_id").cast("string"))
     usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(key % 5 != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     classes = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
-    take = lambda c: usable.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    sample = take(0).union(take(1))
     fold = (key % 5 == 4).cast("int")
-    texts = documents.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = cut(texts.select("text", fold.alias("fold"), "toxic"))
-    counted = word_counts(rows).toArrow()  # bounded by train_rows
+    texts = documents.where("text IS NOT NULL").select("doc_id", "text")
+    counted = word_counts(texts.join(usable, "doc_id").select("text", fold.alias("fold"), "toxic")).toArrow()  # a row per different word
     words = counted.column("word").to_pylist()
-    n = np.stack([counted.column(f"n{f}{c}").to_numpy().astype(np.int32) for f in (0, 1) for c in (0, 1)], axis=1).reshape(-1, 2, 2)
+    n = np.stack([counted.column(f"n{f}{c}").to_numpy() for f in (0, 1) for c in (0, 1)], axis=1).reshape(-1, 2, 2)
     k = len(FEATURES)
     if not n.sum((0, 1)).all():
         return Model(None, (np.array([0.0] * k + [-10.0]), np.zeros(k), np.ones(k)))
@@ -249,14 +246,16 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
     plain = (np.array([1.0] + [0.0] * k), np.zeros(k), np.ones(k))
     held = None
     if n[:, 0].sum(0).all():
-        sent = rows.sparkSession.sparkContext.broadcast(Model(model(n[:, 0]), plain))
+        sent = documents.sparkSession.sparkContext.broadcast(Model(model(n[:, 0]), plain))
 
         def measure(batches):
             for batch in slices(batches):
                 x = sent.value.measure(batch.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column(1)], names=[*FEATURES, "toxic"])
 
-        held = rows.where("fold = 1").select("text", "toxic").mapInArrow(measure, ", ".join(f"{f} double" for f in FEATURES) + ", toxic int").toPandas()
+        take = lambda c: usable.where((F.col("toxic") == c) & (fold == 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+        rows = texts.join(F.broadcast(take(0).union(take(1))), "doc_id")
+        held = rows.select("text", "toxic").mapInArrow(measure, ", ".join(f"{f} double" for f in FEATURES) + ", toxic int").toPandas()
         sent.destroy()
     whole = model(n.sum(1))
     if held is None or held.toxic.nunique() < 2:

@@ -487,3 +487,20 @@ def test_empty_tables(spark):
     assert toxicity.toxicity(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
     assert html_text.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert licenses.license_scan(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_counts_of_all_labelled_rows(spark, monkeypatch):
+    """The letter models count the words of every labelled row, however few teach the calibration."""
+    made, plain = [], toxicity.KneserNey
+
+    def spy(words, counts):
+        made.append(dict(zip(words, counts.tolist())))
+        return plain(words, counts)
+
+    monkeypatch.setattr(toxicity, "KneserNey", spy)
+    names = ["".join(chr(97 + int(c)) for c in f"{k:03d}") for k in range(160)]
+    docs = [(k, "s", f"word {names[k]}") for k in range(160)]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(160)], "doc_id long, quality int, toxic int")
+    toxicity.fit(table(spark, docs), labels, 5)
+    used = [k for k in range(160) if zlib.crc32(str(k).encode()) % 5]
+    assert {w: n for w, n in made[-1].items() if w != "word"} == {names[k]: [1 - k % 2, k % 2] for k in used}
