@@ -1,196 +1,47 @@
-"""Toxicity by class-conditional Kneser-Ney models."""
+"""Toxicity by class-conditional Kneser-Ney models.
+
+Two models give each word of a text a likelihood, one from the toxic and one from the
+ordinary labelled texts. Each discounts its class's own counts of a word and hands what
+that frees to one letter model of words, whose orders count distinct preceding letters
+over both classes together: a word that is rare in a class gets the same backoff from
+either. Words that were seen once keep their counts. A text's score compares the two
+log-likelihoods per word over the whole text.
+
+Counts, letter orders and ratios are tables made by aggregates and joins, over all
+labelled rows. A word of which the models say less than NOISE says nothing, so only the
+telling words are needed to score; up to MODEL_WORDS of them are sent to the workers,
+more of them are joined.
+"""
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Memo, chunks, keep, slices
+from .common import cut, slices
 
 #: The bound of the calibration: held-back rows of each class that are measured, those with the smallest hashes of their doc_id. Counts come from all rows.
 TRAIN_ROWS = 4_000
-#: Characters a model looks back at, itself included; orders up to SHARED take their counts from both classes together.
-ORDER, SHARED = 7, 2
-#: Counts below this are not kept one by one; their mass goes to the backoff.
-LEAST = 2
+#: Letters the backoff looks at, the predicted one included.
+ORDER = 5
 DISCOUNT = 0.75
-#: A word's ratio counts up to this, either way, so that no single word decides.
-CLIP = 6.0
-#: Words of the windows whose mean is compared too, besides the whole text's.
-WINDOW = 50
-#: Words whose ratios a worker keeps, words that are judged at once, and characters that are split at once.
-KEPT_WORDS, WORDS_AT_ONCE, CHARS_AT_ONCE = 200_000, 20_000, 2_000_000
-
-#: Runs of letters, after lower-casing.
-find_words = re.compile(r"[^\W\d_]+").findall
-
-
-class _Grams:
-    """64-bit keys of the n-grams that end at each letter, order by order, and each letter's place in its word.
-
-    A word stands between marks; an n-gram's key is a polynomial in its characters.
-    """
-
-    def __init__(self, words: list[str]):
-        sizes = np.fromiter(map(len, words), np.int32, len(words)) + 2
-        self.ends = np.cumsum(sizes)
-        self.sizes = sizes
-        self.chars = np.frombuffer(("\x02" + "\x03\x02".join(words) + "\x03").encode("utf-32-le"), dtype="<u4") if len(words) else np.zeros(0, "<u4")
-        self.place = np.arange(len(self.chars), dtype=np.int32) - np.repeat((self.ends - sizes).astype(np.int32), sizes)
-
-    def orders(self):
-        """For each order n: n, the keys of n - 1, n and n + 1."""
-        last = np.zeros(len(self.chars), np.uint64)
-        now = self._longer(np.zeros(len(self.chars), np.uint64), 1)
-        for n in range(1, ORDER + 1):
-            then = self._longer(now, n + 1) if n < ORDER else now
-            yield n, last, now, then
-            last, now = now, then
-
-    def _longer(self, key: np.ndarray, n: int) -> np.ndarray:
-        back = np.zeros(len(self.chars), np.uint64)
-        back[n - 1 :] = self.chars[: max(0, len(self.chars) - n + 1)]
-        return key * np.uint64(0x9E3779B97F4A7C15) + (back + np.uint64(1))
-
-class Table:
-    """Numbers by 64-bit key; the default where there is none."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray, default: float = 0.0):
-        self.keys = np.append(keys, np.uint64(2**64 - 1))
-        self.values = np.append(values, default).astype(np.float32)
-        self.default = np.float32(default)
-
-    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.keys, keys)
-        return np.where(self.keys[at] == keys, self.values[at], self.default)
-
-
-class KneserNey:
-    """Two letter models, one of toxic and one of ordinary words, over one set of backoff counts.
-
-    The highest order counts occurrences, lower ones the distinct letters before an
-    n-gram, or its occurrences where a word begins. Orders up to SHARED are counted over both classes, so that an expression
-    that is rare in both gets the same backoff from either. Each order keeps, per class,
-    the discounted probabilities of its n-grams and what a context leaves to the order below.
-    """
-
-    def __init__(self, words: list[str], counts: np.ndarray):
-        grams = _Grams(words)
-        weights = [np.repeat(counts[:, c].astype(np.float32), grams.sizes) for c in (0, 1)]
-        self.parts = []
-        for n, shorter, now, longer in grams.orders():
-            inside = grams.place >= max(1, n - 1)  # the opening mark is given, not predicted
-            order = []
-            for c in (0, 1):
-                use = np.flatnonzero(inside & ((weights[0] + weights[1] if n <= SHARED else weights[c]) > 0))
-                mass = weights[0][use] + weights[1][use] if n <= SHARED else weights[c][use]
-                if n < ORDER:
-                    # One for each distinct n-gram that is longer by a letter; where a word begins nothing precedes, so occurrences count.
-                    begins = grams.place[use] == n - 1
-                    inner = np.flatnonzero(~begins)
-                    inner = inner[np.unique(longer[use[inner]], return_index=True)[1]]
-                    value = np.concatenate([np.ones(len(inner), np.float32), mass[begins]])
-                    use = np.concatenate([use[inner], use[begins]])
-                else:
-                    value = mass
-                keys, first, at = np.unique(now[use], return_index=True, return_inverse=True)
-                amount = np.bincount(at, value, len(keys)).astype(np.float64)
-                context = shorter[use[first] - 1] if n > 1 else np.zeros(len(keys), np.uint64)
-                contexts, at = np.unique(context, return_inverse=True)
-                total = np.bincount(at, amount, len(contexts))
-                kept = amount >= (LEAST if n > 1 else 1)
-                share = np.maximum(amount - DISCOUNT, 0) / total[at]
-                used = np.bincount(at[kept], share[kept], len(contexts))
-                order.append((Table(keys[kept], share[kept]), Table(contexts[used > 0], np.clip(1 - used[used > 0], 1e-6, 1), 1.0)))
-                if n <= SHARED:
-                    order.append(order[0])
-                    break
-            self.parts.append(order)
-
-    def ratios(self, words: list[str]) -> np.ndarray:
-        """Each word's log-likelihood ratio, toxic against ordinary."""
-        if len(words) > WORDS_AT_ONCE:
-            return np.concatenate([self.ratios(words[k : k + WORDS_AT_ONCE]) for k in range(0, len(words), WORDS_AT_ONCE)])
-        if not words:
-            return np.zeros(0)
-        grams = _Grams(words)
-        p = [np.full(len(grams.place), 1e-4, np.float32) for _ in (0, 1)]
-        for n, shorter, now, _ in grams.orders():
-            inside = np.flatnonzero(grams.place >= max(1, n - 1))
-            gram = now[inside]
-            context = shorter[inside - 1] if n > 1 else np.zeros(len(inside), np.uint64)
-            for c in (0, 1):
-                if n <= SHARED and c:
-                    p[1][:] = p[0]
-                    continue
-                share, rest = self.parts[n - 1][c]
-                p[c][inside] = share[gram] + rest[context] * p[c][inside]
-        ratio = np.where(grams.place >= 1, np.log(p[1]) - np.log(p[0]), 0)
-        return np.clip(np.add.reduceat(ratio, grams.ends - grams.sizes), -CLIP, CLIP)
-
-
-#: What a text's score rests on.
-FEATURES = ("mean", "window", "telling", "distinct", "strong")
-
-
-def features(ratios: np.ndarray, distinct: np.ndarray) -> list[float]:
-    """The mean ratio, the best window's, and how far its different words speak: in the mean, in sum, and how many strongly."""
-    n = len(ratios)
-    if not n:
-        return [0.0] * len(FEATURES)
-    sums = np.concatenate([[0.0], np.cumsum(ratios)])
-    w = min(n, WINDOW)
-    beyond = np.clip(distinct - 2, 0, None)
-    return [float(sums[-1] / n), float((sums[w:] - sums[:-w]).max() / w), float(beyond.sum() / len(distinct)), float(np.log1p(beyond.sum())), float(np.log1p((distinct > 3.5).sum()))]
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights (the last is the constant), means and scales, by Newton steps."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    z = np.c_[(x - mean) / scale, np.ones(len(x))]
-    w = np.zeros(z.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (weight * (p - y)) + ridge * w
-        h = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, g)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w, mean, scale
-
+#: A word's log ratio counts from NOISE on, up to CLIP, so that neither many indifferent words nor a single one decide.
+NOISE, CLIP = 3.0, 10.0
+#: The share of a letter that the letter model has never seen.
+LETTER = 1 / 65_536
+#: Telling words that are sent to workers, of at most 64 letters each.
+MODEL_WORDS = 1_000_000
+#: Marks around a word, and the different words that a task counts before it sends them.
+OPEN, CLOSE, COUNTED = "\x02", "\x03", 200_000
 
-class Model:
-    """Both Kneser-Ney models and the calibration of a text's score."""
-
-    def __init__(self, kn: KneserNey | None, calibration: tuple):
-        self.kn, self.calibration, self.name = kn, calibration, ("toxicity", uuid.uuid4().hex)
-
-    def ratios(self, texts: list[str]):
-        """For each text the ratios of its words, in order, and of its different words."""
-        memo = keep(self.name, lambda: Memo(KEPT_WORDS))
-        for part in chunks(texts, CHARS_AT_ONCE):
-            split = [find_words(t.lower()) for t in part]
-            if new := memo.missing({w for words in split for w in words}):
-                memo.new.update(zip(new, self.kn.ratios(new).tolist() if self.kn else [0.0] * len(new)))
-            get = memo.new.__getitem__
-            for words in split:
-                different = set(words)
-                yield np.fromiter(map(get, words), np.float64, len(words)), np.fromiter(map(get, different), np.float64, len(different))
-
-    def measure(self, texts: list[str]) -> np.ndarray:
-        return np.array([features(*r) for r in self.ratios(texts)]).reshape(-1, len(FEATURES))
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        x = self.measure(texts)
-        w, mean, scale = self.calibration
-        return 1 / (1 + np.exp(-np.clip(np.c_[(x - mean) / scale, np.ones(len(x))] @ w, -30, 30)))
+#: Runs of letters and digits, and runs of signs, of the lower-case text; longer ones in pieces.
+find_words = re.compile(r"\w{1,64}|[^\w\s]{1,64}").findall
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
@@ -204,11 +55,11 @@ def word_counts(labelled: DataFrame) -> DataFrame:
             word, fold, toxic = zip(*keys)
             return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(fold, pa.int32()), pa.array(toxic, pa.int32()), pa.array(n, pa.int64())], names=["word", "fold", "toxic", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for text, fold, toxic in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 for word, n in Counter(find_words(text.lower())).items():
                     counts[word, fold, toxic] += n
-                if len(counts) > 200_000:
+                if len(counts) > COUNTED:
                     yield out()
                     counts.clear()
         if counts:
@@ -219,65 +70,152 @@ def word_counts(labelled: DataFrame) -> DataFrame:
     return sent.groupBy("word").agg(*each)
 
 
-def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+def letter_backoff(vocabulary: DataFrame) -> DataFrame:
+    """word and backoff, its log-likelihood under a Kneser-Ney letter model of the vocabulary's words.
+
+    The highest order counts words, each lower one the distinct letters before an n-gram.
+    """
+    padded = F.concat(F.lit(OPEN * (ORDER - 1)), "word", F.lit(CLOSE))
+    each = F.transform(F.sequence(F.lit(1), F.char_length("word") + 1), lambda k: F.substring(padded, k, F.lit(ORDER)))
+    grams = vocabulary.select("word", F.explode(each).alias("gram"))
+    levels = [cut(grams.groupBy("gram").agg(F.count("*").alias("n")))]
+    for n in range(ORDER - 1, 0, -1):
+        shorter = levels[0].groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("n"))
+        levels.insert(0, cut(shorter))
+    found = None
+    for n, level in enumerate(levels, 1):
+        level = level.withColumn("context", F.substring("gram", 1, n - 1))
+        of = level.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        rows = level.join(of, "context")
+        if found is None:
+            rows = rows.withColumn("below", F.lit(LETTER))
+        else:
+            rows = rows.withColumn("rest", F.substring("gram", 2, n - 1)).join(found.select(F.col("gram").alias("rest"), F.col("p").alias("below")), "rest")
+        found = rows.select("gram", ((F.col("n") - DISCOUNT + DISCOUNT * F.col("kinds") * F.col("below")) / F.col("total")).alias("p"))
+    return grams.join(found, "gram").groupBy("word").agg(F.sum(F.log("p")).alias("backoff"))
+
+
+def word_ratios(counts: DataFrame) -> DataFrame:
+    """word and ratio, the log of its likelihood among toxic over that among ordinary words, of word, n0, n1 and backoff."""
+    told = counts.agg(*(x for c in (0, 1) for x in (F.sum(f"n{c}").alias(f"total{c}"), F.count_if(F.col(f"n{c}") > 0).alias(f"kinds{c}")))).first()
+
+    def likelihood(c: int):
+        total, kinds = told[f"total{c}"], told[f"kinds{c}"]
+        own = F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / float(total)
+        return own + DISCOUNT * kinds / total * F.exp(F.greatest("backoff", F.lit(-600.0)))
+
+    return counts.select("word", (F.log(likelihood(1)) - F.log(likelihood(0))).alias("ratio"))
+
+
+def telling_words(counts: DataFrame) -> DataFrame:
+    """word and excess: how far its ratio goes beyond NOISE, up to CLIP, where it does."""
+    return word_ratios(counts).where(F.col("ratio") > NOISE).select("word", (F.least("ratio", F.lit(CLIP)) - NOISE).alias("excess"))
+
+
+class Evidence:
+    """The telling words: sent to the workers up to a bound, else a table that is joined."""
+
+    def __init__(self, words: DataFrame, most: int = MODEL_WORDS):
+        self.words, self.sent = cut(words), None
+        if self.words.limit(most + 1).count() <= most:
+            found = self.words.toArrow()
+            self.sent = words.sparkSession.sparkContext.broadcast(dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist())))
+
+    def measure(self, rows: DataFrame, name: str) -> DataFrame:
+        """rows with a column: the toxic log-likelihood beyond the ordinary one, NOISE taken from each word, per word of the whole text."""
+        schema = StructType([*rows.schema.fields, StructField(name, DoubleType())])
+        if self.sent is None:
+            return self._joined(rows, name)
+        sent = self.sent
+
+        def run(batches):
+            excess = sent.value
+            for batch in slices(batches):
+                x = []
+                for text in batch.column("text").to_pylist():
+                    words = find_words((text or "").lower())
+                    x.append(sum([excess[w] for w in words if w in excess]) / max(1, len(words)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x, pa.float64())], names=schema.names)
+
+        return rows.mapInArrow(run, schema)
+
+    def _joined(self, rows: DataFrame, name: str) -> DataFrame:
+        """The same by a join on words: different texts count theirs once, and only words that tell meet their excess."""
+
+        def run(batches):
+            for batch in slices(batches, 200):
+                for text in batch.column(0).to_pylist():
+                    words = Counter(find_words(text.lower()))
+                    key = pa.array([text] * 1).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([key, pa.array([sum(words.values())], pa.int64()), pa.array([list(words.items())], pa.map_(pa.string(), pa.int64()))], names=["text", "size", "words"])
+
+        texts = rows.where("text IS NOT NULL").select("text").distinct()
+        counted = texts.mapInArrow(run, "text string, size long, words map<string,long>").select(F.sha2("text", 256).alias("__of"), "size", F.explode("words").alias("word", "n"))
+        found = counted.join(self.words, "word").groupBy("__of").agg((F.sum(F.col("n") * F.col("excess")) / F.first("size")).alias("__x"))
+        keyed = rows.withColumn("__is", F.sha2(F.coalesce("text", F.lit("")), 256))
+        return keyed.join(found, F.col("__is") == F.col("__of"), "left").select(*rows.columns, F.coalesce("__x", F.lit(0.0)).alias(name))
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> tuple[float, float]:
+    """Slope and constant of the chance of y, by Newton steps; the slope is not negative."""
+    mean, scale = x.mean(), x.std() + 1e-9
+    z = np.c_[(x - mean) / scale, np.ones(len(x))]
+    w = np.zeros(2)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        g = z.T @ (weight * (p - y)) + ridge * w
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(2)
+        step = np.linalg.solve(h, g)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    slope = max(0.0, w[0]) / scale
+    return float(slope), float(w[1] - slope * mean)
+
+
+class Model:
+    """The evidence, or none, and the line that makes a score of it."""
+
+    def __init__(self, evidence: Evidence | None, line: tuple[float, float]):
+        self.evidence, self.line = evidence, line
+
+
+def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, most: int = MODEL_WORDS) -> Model:
     """Fit on all labelled documents, held-out ones (crc32(doc_id) mod 5 = 0) never.
 
     Three quarters of them make the models from which at most train_rows of the rest, of each class,
-    teach the calibration, so that it sees texts as new as those to come, each class with the weight
-    that all labels give it; the models returned are then made from all of them. Rows without a label, a doc_id or a text are
+    teach the line that calibrates, so that it sees texts as new as those to come. Both classes have the
+    same weight there: 0.5 is where a text is as likely from toxic as from ordinary ones. The evidence returned
+    is then made from all of them. Rows without a label, a doc_id or a text are
     no examples. With one class or none, nothing is toxic.
     """
     key = F.crc32(F.col("doc_id").cast("string"))
     usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(key % 5 != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    classes = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
     fold = (key % 5 == 4).cast("int")
     texts = documents.where("text IS NOT NULL").select("doc_id", "text")
-    counted = word_counts(texts.join(usable, "doc_id").select("text", fold.alias("fold"), "toxic")).toArrow()  # a row per different word
-    words = counted.column("word").to_pylist()
-    n = np.stack([counted.column(f"n{f}{c}").to_numpy() for f in (0, 1) for c in (0, 1)], axis=1).reshape(-1, 2, 2)
-    k = len(FEATURES)
-    if not n.sum((0, 1)).all():
-        return Model(None, (np.array([0.0] * k + [-10.0]), np.zeros(k), np.ones(k)))
-
-    def model(counts: np.ndarray) -> KneserNey:
-        some = np.flatnonzero(counts.any(axis=1))
-        return KneserNey([words[k] for k in some.tolist()], counts[some])
-
-    plain = (np.array([1.0] + [0.0] * k), np.zeros(k), np.ones(k))
-    held = None
-    if n[:, 0].sum(0).all():
-        sent = documents.sparkSession.sparkContext.broadcast(Model(model(n[:, 0]), plain))
-
-        def measure(batches):
-            for batch in slices(batches):
-                x = sent.value.measure(batch.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column(1)], names=[*FEATURES, "toxic"])
-
+    counts = cut(word_counts(texts.join(usable, "doc_id").select("text", fold.alias("fold"), "toxic")))
+    has = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n00", "n01", "n10", "n11"))).first()
+    if not (has.n00 + has.n10) or not (has.n01 + has.n11):
+        return Model(None, (0.0, -10.0))
+    known = cut(counts.join(letter_backoff(counts.select("word")), "word"))
+    line = (1.0, -0.5)
+    if has.n00 and has.n01 and has.n10 and has.n11:
+        part = Evidence(telling_words(known.select("word", F.col("n00").alias("n0"), F.col("n01").alias("n1"), "backoff").where("n0 + n1 > 0")), most)
         take = lambda c: usable.where((F.col("toxic") == c) & (fold == 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-        rows = texts.join(F.broadcast(take(0).union(take(1))), "doc_id")
-        held = rows.select("text", "toxic").mapInArrow(measure, ", ".join(f"{f} double" for f in FEATURES) + ", toxic int").toPandas()
-        sent.destroy()
-    whole = model(n.sum(1))
-    if held is None or held.toxic.nunique() < 2:
-        return Model(whole, plain)
-    y = held.toxic.to_numpy(dtype=float)
-    weight = np.where(y == 1, classes[1] / y.sum(), classes[0] / (1 - y).sum()) * len(y) / (classes[0] + classes[1])
-    return Model(whole, fit_logistic(held[list(FEATURES)].to_numpy(), y, weight))
-
-
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """The documents with a column toxicity, 0 to 1; a null text counts as empty, an empty one has the score of no evidence."""
-    sent = documents.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for batch in slices(batches):
-            scores = sent.value.scores([t or "" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "toxicity"])
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    kept = documents.drop("toxicity")
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("toxicity", DoubleType())]))
+        held = part.measure(texts.join(F.broadcast(take(0).union(take(1))), "doc_id").select("text", "toxic"), "x").select("x", "toxic").toPandas()
+        y = held.toxic.to_numpy(dtype=float)
+        if 0 < y.sum() < len(y):
+            line = fit_logistic(held.x.to_numpy(), y, np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y))
+    whole = Evidence(telling_words(known.select("word", (F.col("n00") + F.col("n10")).alias("n0"), (F.col("n01") + F.col("n11")).alias("n1"), "backoff")), most)
+    return Model(whole, line)
+
+
+def score(documents: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """The documents with a score, 0 to 1, under a name that replaces a column so named; a null text counts as empty, an empty one has the score of no evidence."""
+    slope, constant = model.line
+    kept = documents.drop(name)
+    measured = model.evidence.measure(kept, name) if model.evidence else kept.withColumn(name, F.lit(0.0))
+    return measured.withColumn(name, 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), slope * F.col(name) + constant)))))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -82,5 +82,32 @@ def quality(rows, line_docs, line_share, min_words=50, keep_share=0.5):
     return out
 
 
+def kneser_ney(counts, order, discount, letter):
+    """word -> (log-likelihood under the letter model, log ratio of the two classes), of word -> (ordinary, toxic)."""
+    seen = [Counter() for _ in range(order + 1)]
+    for w in counts:
+        s = "\x02" * (order - 1) + w + "\x03"
+        seen[order].update(s[i : i + order] for i in range(len(w) + 1))
+    for n in range(order - 1, 0, -1):
+        seen[n].update(g[1:] for g in seen[n + 1])
+
+    def chance(gram):
+        if not gram:
+            return letter
+        same = {g: n for g, n in seen[len(gram)].items() if g[:-1] == gram[:-1]}
+        return (max(same.get(gram, 0) - discount, 0) + discount * len(same) * chance(gram[1:])) / sum(same.values())
+
+    known = {g: np.log(chance(g)) for g in seen[order]}
+    total = [sum(c[k] for c in counts.values()) for k in (0, 1)]
+    kinds = [sum(c[k] > 0 for c in counts.values()) for k in (0, 1)]
+    out = {}
+    for w, c in counts.items():
+        s = "\x02" * (order - 1) + w + "\x03"
+        b = sum(known[s[i : i + order]] for i in range(len(w) + 1))
+        p = [max(c[k] - discount, 0) / total[k] + discount * kinds[k] / total[k] * np.exp(b) for k in (0, 1)]
+        out[w] = (b, np.log(p[1] / p[0]))
+    return out
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()

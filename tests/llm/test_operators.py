@@ -490,17 +490,45 @@ def test_empty_tables(spark):
 
 
 def test_counts_of_all_labelled_rows(spark, monkeypatch):
-    """The letter models count the words of every labelled row, however few teach the calibration."""
-    made, plain = [], toxicity.KneserNey.__init__
+    """The models count the words of every labelled row, however few teach the calibration."""
+    made, plain = [], toxicity.telling_words
 
-    def spy(self, words, counts):
-        made.append(dict(zip(words, counts.tolist())))
-        plain(self, words, counts)
+    def spy(counts):
+        made.append({r.word: [r.n0, r.n1] for r in counts.select("word", "n0", "n1").collect()})
+        return plain(counts)
 
-    monkeypatch.setattr(toxicity.KneserNey, "__init__", spy)
-    names = ["".join(chr(97 + int(c)) for c in f"{k:03d}") for k in range(160)]
-    docs = [(k, "s", f"word {names[k]}") for k in range(160)]
+    monkeypatch.setattr(toxicity, "telling_words", spy)
+    docs = [(k, "s", f"word x{k:03d}") for k in range(160)]
     labels = spark.createDataFrame([(k, 1, k % 2) for k in range(160)], "doc_id long, quality int, toxic int")
     toxicity.fit(table(spark, docs), labels, 5)
     used = [k for k in range(160) if zlib.crc32(str(k).encode()) % 5]
-    assert {w: n for w, n in made[-1].items() if w != "word"} == {names[k]: [1 - k % 2, k % 2] for k in used}
+    assert {w: n for w, n in made[-1].items() if w != "word"} == {f"x{k:03d}": [1 - k % 2, k % 2] for k in used}
+
+
+def test_kneser_ney(spark):
+    """Backoff and ratios against a plain Kneser-Ney model."""
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abcé!") for _ in range(rng.randint(1, 7))) for _ in range(300)})
+    n = {w: (rng.choice([0, 1, 1, 2, 40]), rng.choice([0, 1, 3])) for w in words}
+    n = {w: c if sum(c) else (1, 0) for w, c in n.items()}
+    counts = spark.createDataFrame([(w, *c) for w, c in n.items()], "word string, n0 long, n1 long").repartition(4)
+    known = counts.join(toxicity.letter_backoff(counts.select("word")), "word")
+    got = {r.word: (r.backoff, r.ratio) for r in known.select("word", "backoff").join(toxicity.word_ratios(known), "word").collect()}
+    want = brute.kneser_ney(n, toxicity.ORDER, toxicity.DISCOUNT, toxicity.LETTER)
+    assert set(got) == set(want)
+    assert all(abs(got[w][k] - want[w][k]) < 1e-9 for w in want for k in (0, 1))
+
+
+def test_toxicity_query_against_plain_scores(spark):
+    """Scores of texts, by the words sent and by a join, against a plain sum over the telling words."""
+    rows = [(k, "s", t) for k, t in enumerate(["bad Worse good", "", None, "bad " * 9000 + "good!", "good", "bad Worse good", "w" * 200 + " bad"])]
+    docs = table(spark, rows)
+    words = spark.createDataFrame([("bad", 2.0), ("worse", 0.5), ("w" * 64, 1.0), ("!", 0.25)], "word string, excess double")
+    want = {0: 2.5 / 3, 1: 0, 2: 0, 3: 18000.25 / 9002, 4: 0, 5: 2.5 / 3, 6: 5.0 / 5}
+    for most in (10, 2):
+        evidence = toxicity.Evidence(words, most)
+        assert (evidence.sent is None) == (most == 2)
+        got = evidence.measure(docs, "x").collect()
+        assert len(got) == len(rows) and all(abs(r.x - want[r.doc_id]) < 1e-9 and r["class"] == "z" for r in got)
+    scored = toxicity.score(docs.withColumn("toxicity", F.lit("mine")), toxicity.Model(evidence, (4.0, -1.0)), "s").collect()
+    assert all(r.toxicity == "mine" and abs(r.s - 1 / (1 + np.exp(-min(30, 4 * want[r.doc_id] - 1)))) < 1e-9 for r in scored)
