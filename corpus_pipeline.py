@@ -14,9 +14,12 @@ ORACLE_SQL = None
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the models, fitted to the labels of those still here, do not predict to be toxic."""
+    """Documents that the models, fitted to the labels of those still here, do not predict to be toxic.
+
+    Texts that are null or empty, repeated rows, null ids and further columns stay as they are.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("toxicity < 0.5").select(*docs.columns)
+    return toxicity.score(docs, model, "__toxicity").where("__toxicity < 0.5").select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
