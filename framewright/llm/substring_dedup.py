@@ -4,11 +4,12 @@ A suffix is the text of a document from one of its words on; what matters of it
 first WINDOW words. Its partition is a prefix of it of variable length: the words up to
 the end of its anchor, the gram of GRAM words with the least hash among those that lie
 within the window. Suffixes with equal windows have equal anchors at equal places, so
-they meet in one partition. Partitions whose anchor occurs once hold no repeat and are
-dropped before any text moves; those too large for memory get the longest prefix, the
-whole window, under which each partition is a single node. In every other partition a
-tree is built as a sorted suffix array with common prefix lengths, and its internal
-nodes of WINDOW words or deeper are the repeats.
+they meet in one partition. How often each anchor occurs is counted first: partitions
+whose anchor occurs once hold no repeat and are dropped before any text moves; those too
+large for memory get the longest prefix, the whole window, under which each partition is
+a single node. In every other partition a tree is built as a sorted suffix array with
+common prefix lengths, and its internal nodes of WINDOW words or deeper are the repeats.
+Hashes only say which suffixes meet: words themselves decide which are equal.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -30,6 +31,9 @@ ROWS_AT_ONCE, SUFFIXES_AT_ONCE = 20_000, 100_000
 #: Words whose hashes a worker keeps, and entries of a task's table of what it has sent.
 KEPT_WORDS, KEPT_SENT = 250_000, 50_000
 
+#: A place is one number: the first of its windows, how far into it the anchor is, and how many windows it has.
+PLACE_BITS = 6
+
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -82,108 +86,115 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return grams[places], places, first, np.r_[first[1:], len(at)]
 
 
+def unplace(place: int) -> tuple[int, int, int]:
+    """The first window of a place, how far into it its anchor is, and how many windows it has."""
+    low = (1 << PLACE_BITS) - 1
+    return place >> 2 * PLACE_BITS, place >> PLACE_BITS & low, place & low
+
+
 def _anchor_rows(rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in slices(batches):
-            g, k, p = [], [], []
-            for text, key in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
+            found = []
+            for text, key, also in zip(batch.column(0).cast(pa.binary()).to_pylist(), *(batch.column(k).to_pylist() for k in (1, 2))):
                 h = _word_hashes(text or b"")
                 if len(h) >= WINDOW:
-                    grams, places, _, _ = anchors(h)
-                    g.append(grams)
-                    k.append(np.full(len(grams), key, np.int64))
-                    p.append(places)
-            if g:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(g).view(np.int64)), pa.array(np.concatenate(k)), pa.array(np.concatenate(p).astype(np.int32))], names=["gram", "key", "place"])
+                    grams, places, first, end = anchors(h)
+                    place = (first << PLACE_BITS | places - first) << PLACE_BITS | end - first
+                    found.append((grams.view(np.int64), np.full(len(grams), key, np.int64), np.full(len(grams), also, np.int64), place))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["gram", "key", "also", "place"])
 
-    return rows.mapInArrow(run, "gram long, key long, place int")
+    return rows.mapInArrow(run, "gram long, key long, also long, place long")
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """Per document key, the places of its anchors that occur elsewhere too: twice the place, plus 1 for a crowded anchor."""
-    found = _anchor_rows(rows)
+    """Per document (__at, __and), the places of its anchors that occur elsewhere too: twice the place, plus 1 for a crowded anchor, and the anchor."""
+    found = cut(_anchor_rows(rows))
     often = cut(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > TREE_ROWS).cast("long").alias("crowd")))
     # Both sides are exchanged for this join alone, so AQE splits an anchor that very many documents hold.
-    met = found.join(often, "gram").select("key", (F.col("place").cast("long") * 2 + F.col("crowd")).alias("place"))
-    return met.groupBy(F.col("key").alias("__at")).agg(F.collect_set("place").alias("__places"))  # at most a document's words
+    met = found.join(often, "gram").select("key", "also", F.struct((F.col("place") * 2 + F.col("crowd")).alias("place"), "gram").alias("place"))
+    return met.groupBy(F.col("key").alias("__at"), F.col("also").alias("__and")).agg(F.collect_set("place").alias("__places"))  # at most a document's words
 
 
-SUFFIX = "part long, node long, key long, start int, n int, words binary, sure boolean"
+SUFFIX = "part long, key long, also long, place long, words binary, sure boolean"
 
 
 def _suffixes(joined: DataFrame) -> DataFrame:
     """The suffixes whose anchors are shared, dealt by their prefixes; see SUFFIX.
 
-    A row has n windows from start on, and the words they span; or, for a crowded
-    anchor, one window and its hash as node. Of rows that are alike a task sends one:
-    the others are sure to be repeats and come with no words, dealt evenly.
+    A row has the windows of a place, and the words they span; for a crowded anchor, a
+    single window. Of rows that are alike a task sends one: the others are sure to be
+    repeats and come with no words, dealt evenly.
     """
 
     def run(batches):
         sent: dict = {}
 
-        def one(part, node, key, start, n, words, out):
-            known = sent.get((part, node, words))
+        def one(part, key, also, place, words, out):
+            alike = part, place & _SHAPE, words
+            known = sent.get(alike)
             if known is None:
-                sent[part, node, words] = [key, start, n, False]
-                out.append((part, node, key, start, n, words, False))
+                sent[alike] = [key, also, place, False]
+                out.append((part, key, also, place, words, False))
             else:
-                out.append((key ^ start, 0, key, start, n, None, True))
+                out.append((key ^ place, key, also, place, None, True))
                 if not known[3]:
                     known[3] = True
-                    out.append((known[0] ^ known[1], 0, known[0], known[1], known[2], None, True))
+                    out.append((known[0] ^ known[2], *known[:3], None, True))
 
         for batch in slices(batches):
             out: list = []
             names = batch.schema.names
-            columns = (batch.column(names.index(c)) for c in ("__text", "__key", "__places"))
-            for text, key, places in zip(*(c.to_pylist() for c in columns)):
-                h = _word_hashes(text)
-                grams, at, first, end = anchors(h)
-                places = np.array(places, np.int64)
-                chosen = np.flatnonzero(np.isin(at, places >> 1))
-                crowd = set((places[places & 1 == 1] >> 1).tolist())
-                low = h.astype("<u4").tobytes()
+            columns = (batch.column(names.index(c)) for c in ("__text", "__key", "__also", "__places"))
+            for text, key, also, places in zip(*(c.to_pylist() for c in columns)):
+                words = text.split()
                 whole = None
-                for g, a, s, e in zip(grams[chosen].view(np.int64).tolist(), at[chosen].tolist(), first[chosen].tolist(), end[chosen].tolist()):
-                    if a in crowd:
+                for found in places:
+                    place, crowded = found["place"] >> 1, found["place"] & 1
+                    start, at, n = unplace(place)
+                    if crowded:
                         if whole is None:
                             with np.errstate(over="ignore"):
-                                whole = _rolling(h, WINDOW)
-                                parts = _mix(whole + _MUL).view(np.int64)
-                                whole = whole.view(np.int64)
-                        for w in range(s, e):
-                            one(int(parts[w]), int(whole[w]), key, w, 1, b"", out)
+                                whole = _rolling(_word_hashes(text), WINDOW).view(np.int64)
+                        for w in range(start, start + n):
+                            one(int(whole[w]), key, also, (w << PLACE_BITS) << PLACE_BITS | 1, b" ".join(words[w : w + WINDOW]), out)
                     else:
-                        # The anchor's place in the row goes first: suffixes are alike only with the anchor at the same place.
-                        one(g, 0, key, s, e - s, (a - s).to_bytes(4, "little") + low[4 * s : 4 * (e - 1 + WINDOW)], out)
+                        one(found["gram"], key, also, place, b" ".join(words[start : start + n - 1 + WINDOW]), out)
             if len(sent) > KEPT_SENT:
                 sent.clear()
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["part", "node", "key", "start", "n", "words", "sure"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["part", "key", "also", "place", "words", "sure"])
 
     return joined.mapInArrow(run, SUFFIX)
 
 
-def deep_nodes(parts: list[int], words: list[bytes]) -> list[np.ndarray]:
+#: What of a place says how its windows lie about the anchor.
+_SHAPE = (1 << 2 * PLACE_BITS) - 1
+
+
+def deep_nodes(parts: list[int], into: list[int], words: list[bytes]) -> list[np.ndarray]:
     """For each row of a partition, which of its suffixes lie below an internal node of WINDOW words or more.
 
-    Rows come in order of their partition. Each suffix becomes its partition's number, its
-    anchor's place and its words; sorted, those below one node are neighbours whose
-    common prefix has WINDOW words.
+    Rows come in order of their partition. Words are numbered as they come, each different
+    one anew. A suffix becomes its partition's number, its anchor's place and its words;
+    sorted, those below one node are neighbours whose common prefix has WINDOW words.
     """
-    counts = np.array([len(w) // 4 - WINDOW for w in words], np.int64)
+    number: dict = {}
+    new = number.setdefault
+    split = [[new(w, len(number)) for w in x.split()] for x in words]
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    counts = sizes - (WINDOW - 1)
     total = int(counts.sum())
-    spans = np.frombuffer(b"".join(words), dtype="<u4")
+    spans = np.concatenate([np.array(x, np.uint32) for x in split])
     row = np.repeat(np.arange(len(words)), counts)
     within = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-    starts = np.cumsum([0, *(len(w) // 4 for w in words[:-1])])
-    number = np.cumsum(np.r_[False, np.diff(np.array(parts, np.int64)) != 0])
+    starts = np.cumsum(sizes) - sizes
     matrix = np.empty((total, WINDOW + 2), dtype=">u4")
-    matrix[:, 0] = number[row]
-    matrix[:, 1] = spans[starts[row]] - within  # how far into the suffix its anchor is
-    matrix[:, 2:] = np.lib.stride_tricks.sliding_window_view(spans, WINDOW)[starts[row] + 1 + within]
+    matrix[:, 0] = np.cumsum(np.r_[False, np.diff(np.array(parts, np.int64)) != 0])[row]
+    matrix[:, 1] = np.array(into, np.int64)[row] - within  # how far into the suffix its anchor is
+    matrix[:, 2:] = np.lib.stride_tricks.sliding_window_view(spans, WINDOW)[starts[row] + within]
     order = np.argsort(matrix.view(f"S{4 * (WINDOW + 2)}").ravel(), kind="stable")
     ranked = matrix[order]
     same = (ranked[1:] == ranked[:-1]).all(axis=1)  # a common prefix of WINDOW words
@@ -198,37 +209,34 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def repeats(suffixes: DataFrame) -> DataFrame:
-    """key, start, n: runs of n windows, from start on, that occur elsewhere too."""
+    """key, also, start, n: runs of n windows, from start on, that occur elsewhere too."""
 
     def decide(rows: list[tuple]) -> list[tuple]:
         """Rows of whole partitions, in order."""
         out, trees = [], []
-        nodes: dict = {}
         alike: dict = {}
-        for part, node, key, start, n, words, sure in rows:
+        for part, key, also, place, words, sure in rows:
             if sure:
-                out.append((key, start, n))
-            elif not words:
-                nodes.setdefault((part, node), []).append((key, start, n))
+                start, _, n = unplace(place)
+                out.append((key, also, start, n))
             else:
-                alike.setdefault((part, words), []).append((key, start, n))
-        for members in nodes.values():
-            if len(members) > 1:
-                out += members
-        for (part, words), members in alike.items():
+                alike.setdefault((part, place & _SHAPE, words), []).append((key, also, place >> 2 * PLACE_BITS))
+        for (part, shape, words), members in alike.items():
+            _, at, n = unplace(shape)
             if len(members) > 1:
-                out += members
-            trees.append((part, words, members))
+                out += [(*m, n) for m in members]
+            trees.append((part, at, words, n, members))
         size, some = 0, []
         for k, tree in enumerate(trees):
             some.append(tree)
-            size += len(tree[1]) // 4 - WINDOW
+            size += tree[3]
             if k + 1 == len(trees) or (size >= SUFFIXES_AT_ONCE and trees[k + 1][0] != tree[0]):
                 if len(some) > 1:
-                    for (_, _, members), flags in zip(some, deep_nodes([t[0] for t in some], [t[1] for t in some])):
+                    parts, into, words, _, _ = zip(*some)
+                    for (*_, members), flags in zip(some, deep_nodes(parts, into, words)):
                         if len(members) == 1:
-                            key, start, _ = members[0]
-                            out += [(key, start + a, n) for a, n in _runs(flags)]
+                            key, also, start = members[0]
+                            out += [(key, also, start + a, n) for a, n in _runs(flags)]
                 size, some = 0, []
         return out
 
@@ -247,10 +255,16 @@ def repeats(suffixes: DataFrame) -> DataFrame:
             yield emit(decide(held))
 
     def emit(out: list[tuple]):
-        columns = list(zip(*out)) or [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()))], names=["key", "start", "n"])
+        columns = list(zip(*out)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["key", "also", "start", "n"])
+
+    return suffixes.repartition("part").sortWithinPartitions("part").mapInArrow(run, "key long, also long, start int, n int")
+
 
-    return suffixes.repartition("part").sortWithinPartitions("part").mapInArrow(run, "key long, start int, n int")
+def row_keys(*columns: str) -> tuple[Column, Column]:
+    """Two independent hashes of some columns, 128 bits in all; nulls count."""
+    each = [x for c in columns for x in (F.col(c).isNull(), F.col(c).cast("string"))]
+    return F.xxhash64(*each), F.xxhash64(F.lit("also"), *each)
 
 
 def substring_dedup(documents: DataFrame) -> DataFrame:
@@ -264,12 +278,14 @@ def substring_dedup(documents: DataFrame) -> DataFrame:
     and n_words and n_removed (long).
     """
     kept = documents.drop("n_words", "n_removed")
-    keyed = kept.select("*", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("__key"), F.coalesce("text", F.lit("")).cast("binary").alias("__text")).drop("text")
-    places = cut(candidates(keyed.select("__text", "__key")))
-    joined = keyed.join(places, keyed["__key"] == places["__at"]).drop("__at")
-    spans = repeats(_suffixes(joined)).groupBy(F.col("key").alias("__at")).agg(F.collect_set(F.struct("start", "n")).alias("__spans"))
+    key, also = row_keys("doc_id", "text")
+    keyed = kept.select("*", key.alias("__key"), also.alias("__also"), F.coalesce("text", F.lit("")).cast("binary").alias("__text")).drop("text")
+    places = cut(candidates(keyed.select("__text", "__key", "__also")))
+    same = lambda other: (keyed["__key"] == other["__at"]) & (keyed["__also"] == other["__and"])
+    joined = keyed.join(places, same(places)).drop("__at", "__and")
+    spans = repeats(_suffixes(joined)).groupBy(F.col("key").alias("__at"), F.col("also").alias("__and")).agg(F.collect_set(F.struct("start", "n")).alias("__spans"))
     # The texts' exchange by key is the one of the join above, used again.
-    both = keyed.join(spans, keyed["__key"] == spans["__at"], "left").drop("__at", "__key")
+    both = keyed.join(spans, same(spans), "left").drop("__at", "__and", "__key", "__also")
     names = kept.columns
 
     def run(batches):

@@ -348,6 +348,19 @@ def test_sharding_hot_and_balance(spark):
     assert len(got) == 8 and max(r["size"] for r in got) < 1.02 * min(r["size"] for r in got)
 
 
+def test_words_decide_not_their_hashes(spark):
+    """Words whose hashes share 32 bits, and suffixes of one partition that differ in a word, are no repeats."""
+    tails = [" ".join(f"t{k}w{j}" for j in range(34)) for k in range(6)]
+    docs = table(spark, [(2 * k + j, "s", f"{w} {t}") for k, t in enumerate(tails) for j, w in enumerate(("q27495", "q97008"))])
+    assert all(r.n_removed == 0 for r in substring_dedup.substring_dedup(docs).collect())
+    assert [[f.tolist() for f in substring_dedup.deep_nodes([1, 1, 2], [3, 3, 3], [b"a " * 34 + x for x in (b"b", b"c", b"b")])]] == [[[False], [False], [False]]]
+
+
+def test_row_keys_tell_nulls_apart(spark):
+    rows = spark.createDataFrame([(5, None), (None, "5"), (5, "5"), (None, None)], "doc_id long, text string")
+    assert rows.select(*substring_dedup.row_keys("doc_id", "text")).distinct().count() == 4
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     calm = ["".join(rng.choice("bcdfglmn") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(300)]
