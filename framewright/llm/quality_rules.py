@@ -11,27 +11,30 @@ from .common import SPACES, cut
 LINE_DOCS, LINE_SHARE = 50, 0.02
 #: A document goes if fewer than MIN_WORDS or less than KEEP_SHARE of its words remain.
 MIN_WORDS, KEEP_SHARE = 50, 0.5
-#: Bits of a packed number that hold a word's place in its text: for texts that these number, and for any that fits a row.
-PLACE_BITS, MOST_BITS = 22, 28
+#: Bits of a packed number that hold a word's place in its text.
+PLACE_BITS = 28
 
 
 def _steps() -> dict[str, str]:
     """The count of words in 3-word windows found twice or more, step by step as columns; lambdas see the columns before.
 
     Each window becomes one long, its hash above and its place below; after sorting,
-    equal windows are neighbours, and the words themselves confirm what the hash says.
-    Where such windows begin, ascending, tells how many words they cover.
+    windows with equal hashes are neighbours, and only these go on. If the words of any two
+    neighbours differ under one hash, the text's windows are sorted anew by their words.
+    Where repeated windows begin, ascending, tells how many words they cover.
     """
-    place = "int({} & low)"
-    same = "(({0}) >= 0 AND ({0}) < size(packed) AND shiftrightunsigned(x, bits) = shiftrightunsigned(get(packed, {0}), bits)"
-    for k in range(3):
-        same += f" AND get(words, {place.format('x')} + {k}) = get(words, {place.format('get(packed, {0})')} + {k})"
-    same += ")"
+    hashed = lambda x: f"shiftrightunsigned({x}, {PLACE_BITS})"
+    low = f"(shiftleft(1L, {PLACE_BITS}) - 1L)"
+    word = lambda x, k: f"get(words, int({x} & {low}) + {k})"
+    differ = " OR ".join(f"{word('x', k)} <> {word('get(near, i - 1)', k)}" for k in range(3))
+    windows = "sort_array(transform(sequence(0, size(words) - 3), i -> struct(get(words, i) AS a, get(words, i + 1) AS b, get(words, i + 2) AS c, i AS at)))"
+    equal = lambda x, y: " AND ".join(f"{x}.{c} = {y}.{c}" for c in "abc")
     return {
-        "bits": f"if(size(words) < {1 << PLACE_BITS}, {PLACE_BITS}, {MOST_BITS})",
-        "low": "shiftleft(1L, bits) - 1L",
-        "packed": "if(size(words) >= 3, sort_array(transform(sequence(0, size(words) - 3), i -> (xxhash64(get(words, i), get(words, i + 1), get(words, i + 2)) & ~low) | i)), array())",
-        "places": f"sort_array(transform(filter(packed, (x, i) -> {same.format('i - 1')} OR {same.format('i + 1')}), x -> x & low))",
+        "packed": f"if(size(words) >= 3, sort_array(transform(sequence(0, size(words) - 3), i -> (xxhash64(get(words, i), get(words, i + 1), get(words, i + 2)) & ~{low}) | i)), array())",
+        "near": f"filter(packed, (x, i) -> (i > 0 AND {hashed('x')} = {hashed('get(packed, i - 1)')}) OR (i + 1 < size(packed) AND {hashed('x')} = {hashed('get(packed, i + 1)')}))",
+        "mixed": f"exists(transform(near, (x, i) -> i > 0 AND {hashed('x')} = {hashed('get(near, i - 1)')} AND ({differ})), x -> x)",
+        "exact": f"if(mixed, {windows}, array())",
+        "places": f"if(mixed, sort_array(transform(filter(exact, (x, i) -> (i > 0 AND {equal('x', 'get(exact, i - 1)')}) OR (i + 1 < size(exact) AND {equal('x', 'get(exact, i + 1)')})), x -> bigint(x.at))), sort_array(transform(near, x -> x & {low})))",
         "n_repeat_words": "if(size(places) > 0, 3L + aggregate(if(size(places) > 1, sequence(2, size(places)), array()), 0L, (a, i) -> a + least(3L, get(places, i - 1) - get(places, i - 2))), 0L)",
     }
 

@@ -74,6 +74,13 @@ def test_quality_rules(spark, odd, limits):
     assert rows_of(got, *names) == sorted(brute.quality([(d, s, t) for d, s, t in odd], *limits), key=repr)
 
 
+def test_repeats_under_one_hash(spark):
+    """Windows whose hashes share all bits that are kept: A B A, A B, and both among others."""
+    texts = ["a3430799 b c p1 p2 p3 a3824771 b c p4 p5 p6 a3430799 b c", "a3430799 b c p1 p2 p3 a3824771 b c", "x y z a3430799 b c x y z p a3824771 b c q a3430799 b c"]
+    got = {r.doc_id: r.n_repeat_words for r in quality_rules.quality_rules(table(spark, [(k, "s", t) for k, t in enumerate(texts)])).collect()}
+    assert got == {0: 6, 1: 0, 2: 12}
+
+
 def test_simhash(spark, odd):
     got = simhash.near_duplicates(table(spark, odd))
     fps = [brute.fingerprint(t) for _, _, t in odd]
