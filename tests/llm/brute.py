@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import xxhash
@@ -82,6 +83,36 @@ def quality(rows, line_docs, line_share, min_words=50, keep_share=0.5):
     return out
 
 
+def article(page):
+    """The blocks of a page's article element, by the library's parser."""
+
+    class Reader(HTMLParser):
+        blocks, inside = [[]], False
+
+        def handle_starttag(self, tag, attrs):
+            self.inside = self.inside or tag == "article"
+            if tag == "br":
+                self.blocks[-1].append(" ")
+            elif tag != "b":
+                self.blocks.append([])
+
+        def handle_endtag(self, tag):
+            self.inside = self.inside and tag != "article"
+            if tag != "b":
+                self.blocks.append([])
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1].append(data)
+
+    reader = Reader()
+    reader.blocks = [[]]
+    reader.feed(page)
+    reader.close()
+    lines = (" ".join("".join(b).split()) for b in reader.blocks)
+    return "\n".join(x for x in lines if x)
+
+
 def kneser_ney(counts, order, discount, letter):
     """word -> (log-likelihood under the letter model, log ratio of the two classes), of word -> (ordinary, toxic)."""
     seen = [Counter() for _ in range(order + 1)]

@@ -1,5 +1,6 @@
 import base64
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -493,6 +494,46 @@ def test_licenses(spark):
             assert got[k].license is None
 
 
+def test_prose_of_many_kinds():
+    """Prose counts as text wherever no name speaks against it; deep pages take time in proportion."""
+    weights = html_text.fit(html_text.labelled_pages())
+    said = "This is some prose that goes on for a while and says a lot of things, truly."
+    of = lambda page: html_text.extract(page, weights)
+    assert of(f"<div>{said}</div><div>{said} Two.</div>") == f"{said}\n{said} Two."
+    assert of(said) == said
+    assert of(f"<nav><a>home</a></nav><div class='side-content'><p>{said}</p><p>{said}</p></div><footer>copyright</footer>") == f"{said}\n{said}"
+    assert of(f"<article><h1>T</h1><p>{said}</p><section class='discussion'><h3>More</h3><p>{said} See <a href=x>there</a>.</p></section></article>") == f"T\n{said}\nMore\n{said} See there."
+    assert of(f"<article><p>{said} <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><div class=ad>Buy!</div><p>{said}</p></article>") == f"{said} x=1\n{said}"
+    begun = time.perf_counter()
+    for page in ("<div><b>" * 40_000 + said, "<b>" * 80_000 + "<hr>" * 80_000 + said, "".join(f"<div class=c{k}>" for k in range(80_000)) + said + "</div>" * 80_000):
+        assert of(page) == said
+    assert time.perf_counter() - begun < 6
+
+
+def test_scores_against_all_open_names():
+    """The running score of each word is the sum over the different names that are open."""
+    weights = html_text.fit(html_text.labelled_pages(60))
+    for page in html_text.labelled_pages(40, seed=5):
+        scores, texts = html_text.scored(page, weights)
+        want, names = [], Counter()
+        for kind, what, block in html_text.events(page):
+            if kind == html_text.OPEN:
+                names.update(what)
+            elif kind == html_text.CLOSE:
+                names.subtract(what)
+            elif kind == html_text.TAG:
+                want.append((weights["tags"].get(what, weights["other"]), None))
+            elif kind == html_text.TEXT:
+                now = weights["base"] + sum(weights["words"].get(name, 0) for name in +names)
+                own = weights["part"] + sum(weights["parts"].get(name, 0) for name in +names)
+                want.append((max(-html_text.MOST, min(html_text.MOST, now)) * len(what.split()), own > 0))
+        assert np.allclose(scores, [w for w, _ in want])
+        assert all(keep is None or bool(text) == (keep or not text and keep) for (_, keep), text in zip(want, texts))
+        best = max((sum(scores[a:b]), -a, -b) for a in range(0, len(scores), 7) for b in range(a, len(scores) + 1))
+        first, end = html_text.best_region(scores)
+        assert sum(scores[first:end]) >= best[0] - 1e-9
+
+
 def test_empty_tables(spark):
     docs = table(spark, [])
     assert exact_dedup.exact_dedup(docs).count() == 0

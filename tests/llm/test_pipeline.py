@@ -110,6 +110,14 @@ def test_bpe_query(spark, documents):
     assert all(got[d].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest() for d, t in documents)
 
 
+def test_html_query(spark):
+    """Every page's text against the blocks of its article, which these pages mark."""
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").collect()
+    want = {p.page_id: brute.article(p.html or "") for p in pages}
+    got = queries.op5_html_text(spark, SMALL).collect()
+    assert len(got) == len(pages) and all(r.text == want[r.page_id] and r.n_chars == len(r.text) for r in got)
+
+
 def test_other_queries(spark):
     scored = queries.op1_toxicity(spark, SMALL).collect()
     assert len({r.doc_id for r in scored}) == 200 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in scored)
