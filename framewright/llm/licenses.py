@@ -5,18 +5,22 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType, _parse_datatype_string
 
-from .common import cut
+from .common import cut, slices
 
 #: Least cosine of a passage that counts as a licence's.
 LEAST = 0.75
 #: A file is a licence file if named so, or if passages of licences make this share of its words.
 MOSTLY = 0.5
+#: Different words that a task counts before it sends them.
+COUNTED = 200_000
 
 # Notices by which licences are named or granted, under their SPDX names.
 TEMPLATES = {
@@ -50,17 +54,50 @@ TEMPLATES = {
     "Proprietary": ("All rights reserved.", "Copyright. All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."),
 }
 
+#: Whole licences, verbatim, under their SPDX names.
+TEXTS = Path(__file__).parent / "license_texts"
+#: Paragraphs of whole licences that are templates of their own have so many words.
+PARAGRAPH = 12
+
 #: Names of licence files.
 NAMED = r"(?i)^(?:licen[cs]e|copying|unlicense|notice)(?:[-._].*)?$"
 
-_words = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*").findall
+_words = re.compile(r"[^\W_]+(?:\.[0-9]+)*").findall
 
 
 def words(text: str) -> list[str]:
     return _words(text.lower())
 
 
-VOCABULARY = frozenset(w for notices in TEMPLATES.values() for t in notices for w in words(t))
+def paragraphs(lines: list[list[str]]) -> list[list[list[str]]]:
+    """Lines with words, by the paragraphs that lines without any part."""
+    out: list[list[list[str]]] = [[]]
+    for line in lines:
+        if line:
+            out[-1].append(line)
+        elif out[-1]:
+            out.append([])
+    return out if out[-1] else out[:-1]
+
+
+@cache
+def templates() -> list[tuple[str, list[str]]]:
+    """Names and words of all templates: the notices, each whole licence, and its paragraphs and title."""
+    out = [(name, words(t)) for name, notices in TEMPLATES.items() for t in notices]
+    for path in sorted(TEXTS.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        out.append((path.stem, words(text)))
+        for k, lines in enumerate(paragraphs([words(line) for line in text.split("\n")])):
+            joined = [w for line in lines for w in line]
+            if k == 0 or len(joined) >= PARAGRAPH:
+                out.append((path.stem, joined))
+    return out
+
+
+@cache
+def vocabulary() -> frozenset:
+    """The words of all templates."""
+    return frozenset(w for _, t in templates() for w in t)
 
 
 class Index:
@@ -68,117 +105,149 @@ class Index:
 
     def __init__(self, n: int, df: dict[str, int], least: float = LEAST):
         self.least = least
-        self.idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in VOCABULARY}
-        self.rare = math.log(1 + n) + 1  # of a word that no template has, taken as found nowhere else
-        self.vectors = []
-        for name, notices in TEMPLATES.items():
-            for t in notices:
-                v = {w: k * self.idf[w] for w, k in Counter(words(t)).items()}
-                norm = math.sqrt(sum(x * x for x in v.values()))
-                self.vectors.append((name, {w: x / norm for w, x in v.items()}))
+        known = vocabulary()
+        self.idf = {w: idf(n, df.get(w, 0)) for w in known}
+        self.names, vectors = [], []
+        for name, t in templates():
+            v = {w: k * self.idf[w] for w, k in Counter(t).items()}
+            norm = math.sqrt(sum(x * x for x in v.values()))
+            self.names.append(name)
+            vectors.append({w: x / norm for w, x in v.items()})
         self.by_word: dict[str, list[tuple[int, float]]] = {}
-        for k, (_, v) in enumerate(self.vectors):
+        for k, v in enumerate(vectors):
             for w, x in v.items():
                 self.by_word.setdefault(w, []).append((k, x))
         # The commonest words, as many as cannot reach the least cosine of any template by themselves (Cauchy-Schwarz).
-        common, left = set(), [least * least - 1e-9] * len(self.vectors)
-        for w in sorted(VOCABULARY, key=lambda w: (self.idf[w], w)):
+        common, left = set(), [least * least - 1e-9] * len(vectors)
+        for w in sorted(known, key=lambda w: (self.idf[w], w)):
             if all(left[k] > x * x for k, x in self.by_word[w]):
                 common.add(w)
                 for k, x in self.by_word[w]:
                     left[k] -= x * x
-        self.telling = VOCABULARY - common
-
-    def best(self, passage: list[str]) -> tuple[float, str]:
-        """The largest cosine of a passage, and whose it is; of equals the first name."""
-        counts = Counter(passage)
-        norm = 0.0
-        dots: dict[int, float] = {}
-        for w, k in counts.items():
-            x = k * self.idf.get(w, self.rare)
-            norm += x * x
-            for t, y in self.by_word.get(w, ()):
+        self.telling = known - common
+
+    def candidate(self, passage: list[str]):
+        """(names, dot, squares, others) of a passage that could reach the least cosine, or None.
+
+        names are those of the best templates and dot their product with the passage; its
+        length has squares from words of templates, and from others, each at least its count.
+        """
+        inside, others, dots = 0.0, [], {}
+        for w, k in Counter(passage).items():
+            if w not in self.idf:
+                others.append((w, k))
+                continue
+            x = k * self.idf[w]
+            inside += x * x
+            for t, y in self.by_word[w]:
                 dots[t] = dots.get(t, 0.0) + x * y
         if not dots:
-            return 0.0, ""
-        score, name = max((round(d / math.sqrt(norm), 9), [-ord(c) for c in self.vectors[t][0]], self.vectors[t][0]) for t, d in dots.items())[::2]
-        return score, name
+            return None
+        dot = max(dots.values())
+        if dot < self.least * math.sqrt(inside + sum(k * k for _, k in others)) - 1e-9:
+            return None
+        return sorted({self.names[t] for t, x in dots.items() if x > dot * (1 - 1e-9)}), dot, inside, others
 
-    def scan(self, text: str, whole: bool = False) -> tuple[str | None, float, float]:
-        """The licence of a text, its cosine, and the share of the text's words that lie in passages of licences.
+    def candidates(self, text: str, whole: bool = False) -> tuple[int, list[tuple]]:
+        """How many words a text has, and its passages that could be a licence's, as (paragraph, kind, size, *candidate).
 
-        Passages are the lines, the paragraphs of several lines, and, for a licence file, the whole.
+        Passages are the lines (kind 0), the paragraphs of several lines (1) and, of a licence file, the whole (2).
         """
         split = [words(line) for line in text.split("\n")]
         total = sum(map(len, split))
+        found: list[tuple] = []
         if self.telling.isdisjoint(w for line in split for w in line):
-            return None, 0.0, 0.0
-        found: list[tuple[float, str]] = []
-        covered, paragraph, hits, lines = 0, [], 0, 0
-        for line in [*split, []]:
-            if line:
-                hit = 0
-                if not self.telling.isdisjoint(line):
-                    score, name = self.best(line)
-                    if score >= self.least:
-                        found.append((score, name))
-                        hit = len(line)
-                hits += hit
-                paragraph += line
-                lines += 1
-                continue
-            if lines > 1 and not self.telling.isdisjoint(paragraph):
-                score, name = self.best(paragraph)
-                if score >= self.least:
-                    found.append((score, name))
-                    hits = len(paragraph)
-            covered += hits
-            paragraph, hits, lines = [], 0, 0
+            return total, found
+
+        def judge(at: int, kind: int, passage: list[str]) -> None:
+            if not self.telling.isdisjoint(passage) and (c := self.candidate(passage)):
+                found.append((at, kind, len(passage), *c))
+
+        for at, lines in enumerate(paragraphs(split)):
+            for line in lines:
+                judge(at, 0, line)
+            if len(lines) > 1:
+                judge(at, 1, [w for line in lines for w in line])
         if whole:
-            score, name = self.best([w for line in split for w in line])
-            if score >= self.least:
-                found.append((score, name))
-                covered = total
-        if not found:
-            return None, 0.0, 0.0
-        top = max(s for s, _ in found)
-        return min(name for s, name in found if s == top), top, covered / total
+            judge(-1, 2, [w for line in split for w in line])
+        return total, found
+
 
+def idf(n: int, df: int) -> float:
+    return math.log((1 + n) / (1 + df)) + 1
 
-def document_frequencies(files: DataFrame) -> tuple[int, dict[str, int]]:
-    """How many texts there are, and how many hold each word of the templates: over all texts, at most one row per word and task."""
+
+def document_frequencies(files: DataFrame) -> DataFrame:
+    """word and n, how many texts hold it, over all words and texts; the word '' stands for the texts themselves."""
 
     def run(batches):
-        n, df = 0, Counter()
-        for batch in batches:
+        df: Counter = Counter()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], names=["word", "n"])
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                n += 1
-                df.update(VOCABULARY.intersection(words(text or "")))
-        df[""] = n
-        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], names=["word", "n"])
+                df.update(set(words(text or "")))
+                df[""] += 1
+            if len(df) > COUNTED:
+                yield out()
+                df.clear()
+        yield out()
+
+    return files.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-    rows = files.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # one row per word of the templates
-    df = {r.word: r.n for r in rows}
-    return df.pop("", 0), df
 
+CANDIDATE = "array<struct<at:int,kind:int,size:int,names:array<string>,dot:double,inside:double,others:array<struct<word:string,k:int>>>>"
 
-def scan(files: DataFrame, index: Index) -> DataFrame:
-    """The other columns of files with own_license, score, share and is_license, from each whole text."""
+
+def scan(files: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """The other columns of files with own_license, score, share and is_license, from each whole text.
+
+    A passage counts if its cosine to a template, over all its words with the frequencies of
+    all texts, reaches LEAST; its words go to the best template's licence, a paragraph's
+    instead of its lines'. The licence with the most words is the text's, then the one of
+    the best cosine, then the first name.
+    """
     kept = files.drop("own_license", "score", "share", "is_license")
     names = [c for c in kept.columns if c != "text"]
+    spark = files.sparkSession
+    shared = spark.createDataFrame([(w,) for w in sorted(vocabulary())] + [("",)], "word string")
+    df = {r.word: r.n for r in frequencies.join(F.broadcast(shared), "word").collect()}  # at most one row per word of the templates
+    n = df.pop("", 0)
+    index = spark.sparkContext.broadcast(Index(n, df))
 
     def run(batches):
         named = re.compile(NAMED)
-        for batch in batches:
+        kind = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("size", pa.int32()), ("names", pa.list_(pa.string())), ("dot", pa.float64()), ("inside", pa.float64()), ("others", pa.list_(pa.struct([("word", pa.string()), ("k", pa.int32())])))]))
+        keys = [f.name for f in kind.value_type]
+        for batch in slices(batches):
             base = [bool(named.match((p or "").rpartition("/")[2])) for p in batch.column("path").to_pylist()]
-            found = [index.scan(t or "", b) for t, b in zip(batch.column("text").to_pylist(), base)]
-            columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], names=[*names, "own_license", "score", "share"])
+            found = [index.value.candidates(t or "", b) for t, b in zip(batch.column("text").to_pylist(), base)]
+            told = [[dict(zip(keys, (*c[:6], [{"word": w, "k": k} for w, k in c[6]]))) for c in cs] for _, cs in found]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([f[0] for f in found], pa.int64()), pa.array(told, kind)], names=[*names, "__total", "__found"])
 
-    fields = [kept.schema[c] for c in names]
-    schema = StructType([*fields, StructField("own_license", StringType()), StructField("score", DoubleType()), StructField("share", DoubleType())])
+    schema = StructType([*(kept.schema[c] for c in names), StructField("__total", LongType()), StructField("__found", _parse_datatype_string(CANDIDATE))])
+    rows = cut(kept.mapInArrow(run, schema)).withColumn("__row", F.monotonically_increasing_id())
+    each = rows.select("__row", "__total", F.posexplode("__found").alias("pos", "c")).select("__row", "__total", "pos", "c.*")
+    squares = F.pow(F.col("k") * (F.log((1.0 + n) / (1 + F.col("n"))) + 1), 2)
+    others = each.select("__row", "pos", F.explode("others").alias("o")).select("__row", "pos", "o.word", "o.k")
+    outside = others.join(frequencies, "word").groupBy("__row", "pos").agg(F.sum(squares).alias("outside"))
+    cosine = F.round(F.col("dot") / F.sqrt(F.col("inside") + F.coalesce("outside", F.lit(0.0))), 9)
+    hits = cut(each.drop("others").join(outside, ["__row", "pos"], "left").withColumn("score", cosine).where(F.col("score") >= LEAST).drop("dot", "inside", "outside"))
+    # A paragraph's words instead of its lines', and the whole's instead of all.
+    widest = hits.groupBy("__row", "at").agg(F.max("kind").alias("__kind"))
+    counted = hits.join(widest, ["__row", "at"]).where("kind = __kind")
+    best = hits.groupBy("__row").agg(F.max("kind").alias("__top"), F.max("score").alias("score"))
+    sizes = counted.join(best.select("__row", "__top"), "__row").where("__top < 2 OR kind = 2")
+    share = sizes.groupBy("__row").agg((F.sum("size") / F.first("__total")).alias("share"))
+    votes = sizes.select("__row", "size", "score", F.explode("names").alias("name")).groupBy("__row", "name").agg(F.sum("size").alias("size"), F.max("score").alias("top"))
+    own = votes.groupBy("__row").agg(F.min_by("name", F.struct(-F.col("size"), -F.col("top"), "name")).alias("own_license"))
+    told = cut(own.join(share, "__row").join(best.select("__row", "score"), "__row").withColumnRenamed("__row", "__of"))
     base = F.element_at(F.split(F.coalesce("path", F.lit("")), "/"), -1)
-    return kept.mapInArrow(run, schema).withColumn("is_license", F.col("own_license").isNotNull() & (base.rlike(NAMED) | (F.col("share") >= MOSTLY)))
+    zero = F.lit(0.0)
+    return (
+        rows.join(told, F.col("__row") == F.col("__of"), "left")
+        .select(*names, "own_license", F.coalesce("score", zero).alias("score"), F.coalesce("share", zero).alias("share"))
+        .withColumn("is_license", F.col("own_license").isNotNull() & (base.rlike(NAMED) | (F.col("share") >= MOSTLY)))
+    )
 
 
 def license_scan(files: DataFrame) -> DataFrame:
@@ -191,9 +260,9 @@ def license_scan(files: DataFrame) -> DataFrame:
     Returns the columns but text, with own_license, score, share, is_license, license and
     license_from: the directory it is inherited from, null for a file's own.
     """
-    n, df = document_frequencies(files)
+    frequencies = cut(document_frequencies(files))
     drop = ("license", "license_from", "__dir", "__up", "__depth")
-    scanned = scan(files.drop(*drop), Index(n, df)).withColumn("__dir", F.regexp_replace(F.concat(F.lit("/"), F.coalesce("path", F.lit(""))), r"/[^/]*$", ""))
+    scanned = scan(files.drop(*drop), frequencies).withColumn("__dir", F.regexp_replace(F.concat(F.lit("/"), F.coalesce("path", F.lit(""))), r"/[^/]*$", ""))
     rows = cut(scanned)
     rank = F.struct(-F.col("score"), F.col("own_license"))
     granting = cut(rows.where("is_license").groupBy("__dir").agg(F.min_by("own_license", rank).alias("license")))

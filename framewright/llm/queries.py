@@ -34,9 +34,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of a tree: source, language, thousands of doc_id."""
+    """Documents as files of a tree: source, language, thousands of doc_id; each fiftieth document is its folder's file LICENSE."""
     folder = F.floor(F.col("doc_id") / 1000).cast("string")
-    path = F.concat_ws("/", "source", "lang", folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    name = F.when(F.col("doc_id") % 50 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", "source", "lang", folder, name)
     return license_scan(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
 
 

@@ -1,5 +1,6 @@
 import base64
 import random
+import re
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -420,8 +421,6 @@ def test_html_held_out():
     weights = html_text.fit(html_text.labelled_pages())
     right = total = 0
     for page in html_text.labelled_pages(120, seed=99):
-        import re
-
         main = "".join(re.findall(r"<!--main-->(.*?)<!--/main-->", page, re.S))
         want = Counter(re.sub(r"<[^>]*>", " ", main).split())
         got = Counter(html_text.extract(page, weights).split())
@@ -431,35 +430,55 @@ def test_html_held_out():
 
 
 def brute_license(rows):
-    """By cosine against every template of every line and paragraph, without an index."""
+    """By cosine against every template, over all words, of every line and paragraph, without an index or a bound."""
     import math
 
     n = len(rows)
     df = Counter(w for _, t in rows for w in set(licenses.words(t or "")))
-    idf = lambda w: math.log((1 + n) / (1 + (df[w] if w in licenses.VOCABULARY else 0))) + 1
 
     def vec(ws):
-        v = {w: k * idf(w) for w, k in Counter(ws).items()}
+        v = {w: k * (math.log((1 + n) / (1 + df[w])) + 1) for w, k in Counter(ws).items()}
         norm = math.sqrt(sum(x * x for x in v.values())) or 1
         return {w: x / norm for w, x in v.items()}
 
-    temps = [(name, vec(licenses.words(t))) for name, ts in licenses.TEMPLATES.items() for t in ts]
+    temps = [(name, vec(t)) for name, t in licenses.templates()]
+
+    def best(ws):
+        v = vec(ws)
+        found = [(sum(x * t.get(w, 0) for w, x in v.items()), name) for name, t in temps]
+        top = max(found)[0]
+        return round(top, 9), {name for x, name in found if x > top * (1 - 1e-9)}
+
     own = []
     for p, t in rows:
-        lines = [licenses.words(x) for x in (t or "").split("\n")]
-        passages, para = [], []
-        for x in [*lines, []]:
+        size, scores, total = Counter(), {}, 0
+
+        def hit(ws):
+            score, names = best(ws)
+            return (len(ws), score, names) if score >= licenses.LEAST else None
+
+        paragraphs, para = [], []
+        for x in [*(licenses.words(x) for x in (t or "").split("\n")), []]:
+            total += len(x)
             if x:
-                passages.append(x)
                 para.append(x)
-            else:
-                passages += [[w for y in para for w in y]] * (len(para) > 1)
+            elif para:
+                paragraphs.append(para)
                 para = []
-        if (p or "").rpartition("/")[2].upper().startswith(("LICENSE", "COPYING")):
-            passages.append([w for x in lines for w in x])
-        found = [(-round(sum(x * v.get(w, 0) for w, x in vec(ws).items()), 9), name) for ws in passages for name, v in temps]
-        best = min(found, default=(0, ""))
-        own.append(best[1] if -best[0] >= licenses.LEAST else None)
+        each, scored = [], []
+        for para in paragraphs:
+            lines = [h for x in para if (h := hit(x))]
+            whole = hit([w for x in para for w in x]) if len(para) > 1 else None
+            scored += lines + [whole] * bool(whole)
+            each += [whole] if whole else lines
+        if re.match(licenses.NAMED, (p or "").rpartition("/")[2]) and (whole := hit([w for para in paragraphs for x in para for w in x])):
+            each = [whole]
+            scored.append(whole)
+        for k, score, names in each:
+            for name in names:
+                size[name] += k
+                scores[name] = max(score, scores.get(name, 0))
+        own.append((min(size, key=lambda x: (-size[x], -scores[x], x)), max(s for _, s, _ in scored), sum(k for k, _, _ in each) / total) if size else (None, 0, 0))
     return own
 
 
@@ -473,14 +492,15 @@ def test_licenses(spark):
             name = rng.choice(list(licenses.TEMPLATES))
             notice = rng.choice(licenses.TEMPLATES[name])
             half = notice.split(" ")
-            lines.insert(rng.randint(0, len(lines)), notice if rng.random() < 0.6 else " ".join(half[: len(half) // 2]) + "\n" + " ".join(half[len(half) // 2 :]))
+            lines.insert(rng.randint(0, len(lines)), notice + " été" * (rng.random() < 0.3) if rng.random() < 0.6 else " ".join(half[: len(half) // 2]) + "\n" + " ".join(half[len(half) // 2 :]))
         rows.append((f"repo{k % 3}/src/{k % 5}/f{k}.txt", "\n".join(lines)))
-    rows += [("repo0/LICENSE", licenses.TEMPLATES["MIT"][1]), ("repo1/src/COPYING", licenses.TEMPLATES["GPL-3.0"][1]), ("repo0/src/1/LICENSE.txt", licenses.TEMPLATES["Apache-2.0"][1]), (None, None), ("", ""), ("x", LONG), rows[0]]
-    df = spark.createDataFrame([(k, p, t, "c") for k, (p, t) in enumerate(rows)], "id long, path string, text string, license string")
+    of = {p.stem: p.read_text() for p in licenses.TEXTS.glob("*.txt")}
+    rows += [("repo0/LICENSE", of["MIT"]), ("repo1/src/COPYING", of["GPL-3.0"]), ("repo0/src/1/LICENSE.txt", of["Apache-2.0"]), (None, None), ("", ""), ("x", LONG), rows[0]]
+    df = spark.createDataFrame([(k, p, t, "c") for k, (p, t) in enumerate(rows)], "id long, path string, text string, license string").repartition(4)
     got = {r.id: r for r in licenses.license_scan(df).collect()}
     assert len(got) == len(rows)
-    for k, own in enumerate(brute_license(rows)):
-        assert got[k].own_license == own
+    for k, (own, score, share) in enumerate(brute_license(rows)):
+        assert got[k].own_license == own and abs(got[k].score - score) < 1e-6 and abs(got[k].share - share) < 1e-9
         path = rows[k][0] or ""
         if own:
             assert got[k].license == own and got[k].license_from is None
@@ -494,6 +514,14 @@ def test_licenses(spark):
             assert got[k].license is None
 
 
+def test_openings_of_licenses(spark):
+    """The beginning of a licence, without its notice, tells which one it is; so does a whole one under another name."""
+    of = {p.stem: p.read_text() for p in licenses.TEXTS.glob("*.txt")}
+    rows = [(f"{name}/{kind}", name, text if kind == "a.txt" else text[: len(text) // 3]) for name, text in of.items() for kind in ("LICENSE", "a.txt")]
+    got = licenses.license_scan(spark.createDataFrame(rows, "path string, name string, text string")).collect()
+    assert len(got) == len(rows) and all(r.license == r.name and r.is_license for r in got)
+
+
 def test_prose_of_many_kinds():
     """Prose counts as text wherever no name speaks against it; deep pages take time in proportion."""
     weights = html_text.fit(html_text.labelled_pages())
