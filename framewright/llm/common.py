@@ -37,13 +37,20 @@ def shared_folder(spark: SparkSession) -> str:
     return shared or sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, anew: bool = False) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation.
 
-    Spark's cleaner removes the files once nothing refers to them.
+    Where spark.cleaner.referenceTracking.cleanCheckpoints is set, Spark's cleaner removes
+    the files once nothing refers to them; else they stay until the folder is removed.
+    A checkpoint keeps the optimizer's estimate of its size, which joins multiply; in a
+    loop, anew forgets it, or its digits double from round to round.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_folder(spark)
+    out = df.checkpoint(eager=True)
+    if not anew:
+        return out
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(out._jdf.queryExecution().toRdd(), out._jdf.schema(), False), spark)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -58,6 +65,12 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def row_keys(*columns: str) -> tuple[Column, Column]:
+    """Two independent hashes of some columns, 128 bits in all; nulls count."""
+    each = [x for c in columns for x in (F.col(c).isNull(), F.col(c).cast("string"))]
+    return F.xxhash64(*each), F.xxhash64(F.lit("also"), *each)
+
+
 _kept: dict = {}
 
 

@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     checkpoint folder; the number of rounds grows with the logarithm of the longest path.
     Null ends and loops are left out; without edges there are no rows.
     """
-    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), anew=True)
     mark = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut(large)
         near = _to_least(large)
         small = near.select(F.col("v").alias("u"), F.col("least").alias("v")).union(near.select("u", F.col("least").alias("v")))
-        now = cut(small.where("u <> v").distinct())
+        now = cut(small.where("u <> v").distinct(), anew=True)
         last, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == last:
             break

@@ -12,19 +12,17 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, slices
+from .common import cut, row_keys, slices
 from .components import components
 
 BITS, SHINGLE, DISTANCE, SEED = 64, 4, 4, 42
 #: Numbers of partitions that are weighed against each other, and the widest threshold a partition can get.
 PARTITIONS, WIDEST = (2, 3, 4, 5), 2
-#: Distance and partitions of a search for direct pairs.
-WIDE, WIDE_PARTITIONS = 12, (4, 5, 6, 7, 8)
 #: Copies that edits have moved farther apart, at any distance: texts whose shingles of so many words have this Jaccard similarity.
 WIDE_SHINGLE, WIDE_SIMILARITY = 5, 0.8
-#: Texts are compared if in one of BANDS bands all of BAND_ROWS least hashes agree: at a similarity of 0.8 all but 3 pairs in a million.
-BANDS, BAND_ROWS = 24, 4
-#: More pairs than this for each text, and those with one text of each bucket are judged first, as what they link needs no other pairs.
+#: Texts are compared if in one of BANDS bands all of BAND_ROWS least hashes agree: at a similarity of 0.8 all but 7 pairs in ten thousand, at 0.9 all.
+BANDS, BAND_ROWS = 24, 6
+#: While more pairs than this for each text are left, one text of each bucket is compared with the rest before, as what that links needs no other pairs.
 CROWD = 32
 #: Texts of a block, of which two at a time are held to be compared.
 BLOCK = 1_000
@@ -58,9 +56,9 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, carry: str | None = None) -> DataFrame:
-    """doc_id and fingerprint (long) of every row, and a column that is carried along; a null text has no words and fingerprint 0."""
-    others = ["doc_id", *[carry] * bool(carry)]
+def fingerprints(documents: DataFrame, carry: tuple = ()) -> DataFrame:
+    """doc_id and fingerprint (long) of every row, and columns that are carried along; a null text has no words and fingerprint 0."""
+    others = ["doc_id", *carry]
 
     def run(batches):
         for batch in slices(batches):
@@ -247,31 +245,13 @@ def _stars(fps: np.ndarray, probe: np.ndarray, distance: int) -> tuple[np.ndarra
     return (np.concatenate(u), np.concatenate(v)) if u else (none, none)
 
 
-def _partners(fps: np.ndarray, probe: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of a large bucket within the distance."""
-    left = np.argsort(probe, kind="stable")  # those at home first, as a probe is compared with them only
-    homes = int((~probe).sum())
-    u, v = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    while homes:
-        step = max(1, min(homes, PAIRS_AT_ONCE // len(left)))
-        block = left[:step]
-        near = np.bitwise_count(fps[block][:, None] ^ fps[left][None, :]) <= distance
-        near[:, :step] &= np.arange(step)[:, None] < np.arange(step)[None, :]
-        i, j = np.nonzero(near)
-        u.append(fps[block[i]])
-        v.append(fps[left[j]])
-        homes -= step
-        left = left[step:]
-    return np.concatenate(u), np.concatenate(v)
-
-
-def bucket_edges(key: np.ndarray, probe: np.ndarray, fps: np.ndarray, distance: int, direct: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Edges, enough to connect what is linked, among rows whose buckets are numbered ascending by key; or direct pairs."""
+def bucket_edges(key: np.ndarray, probe: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges, enough to connect what is linked, among rows whose buckets are numbered ascending by key."""
     heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[heads, len(key)])
     us, vs = [], []
     for head, size in zip(heads[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-        u, v = (_partners if direct else _stars)(fps[head : head + size], probe[head : head + size], distance)
+        u, v = _stars(fps[head : head + size], probe[head : head + size], distance)
         us.append(u)
         vs.append(v)
     small = np.repeat(sizes <= SMALL, sizes)
@@ -289,14 +269,10 @@ def bucket_edges(key: np.ndarray, probe: np.ndarray, fps: np.ndarray, distance:
     return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE, partitions: tuple = PARTITIONS, direct: bool = False) -> DataFrame:
-    """Verified links between different fingerprints, u and v, enough of them to connect all that are within the distance.
-
-    direct asks for all pairs that are within the distance themselves, but for those within DISTANCE.
-    """
+def links(distinct: DataFrame, distance: int = DISTANCE, partitions: tuple = PARTITIONS) -> DataFrame:
+    """Verified links between different fingerprints, u and v, enough of them to connect all that are within the distance."""
     searched = plan(distinct, distance, partitions)
     probes = _probes(distinct, searched)
-    masks = [(np.uint64(sum(1 << b for b in bits)), t) for bits, t in searched]
 
     def run(batches):
         held: list[list[np.ndarray]] = []
@@ -306,14 +282,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, partitions: tuple = PAR
             for part in np.unique(parts).tolist():
                 own = parts == part
                 change = np.r_[False, values[own][1:] != values[own][:-1]]
-                u, v = bucket_edges(np.cumsum(change), probe[own], fps[own], distance, direct)
-                if direct:
-                    # Only in the first partition where a pair meets, once, and only if links() by itself does not find it.
-                    differ = u ^ v
-                    first = np.bitwise_count(differ) > DISTANCE
-                    for mask, t in masks[:part]:
-                        first &= np.bitwise_count(differ & mask) > t
-                    u, v = np.unique(np.stack([np.minimum(u, v)[first], np.maximum(u, v)[first]]), axis=1)
+                u, v = bucket_edges(np.cumsum(change), probe[own], fps[own], distance)
                 us.append(u)
                 vs.append(v)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us).view(np.int64)), pa.array(np.concatenate(vs).view(np.int64))], names=["u", "v"])
@@ -409,25 +378,29 @@ def _cell(key: tuple, pairs: pa.Table, sets: pa.Table) -> pa.Table:
     return pairs.filter(pa.array(good)).select(["ru", "rv"]).rename_columns(["u", "v"])
 
 
-def similar_pairs(documents: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
-    """Of pairs of texts (their keys u and v, and ru and rv) those that are similar by all their shingles: ru and rv, as u and v.
+def shingle_sets(documents: DataFrame, key: str) -> DataFrame:
+    """key and set, the different shingles of each text, hashed and sorted."""
 
-    Texts are dealt to blocks of about BLOCK, pairs to cells of two blocks, so a text goes to a cell once for all its pairs there.
-    """
-    some = cut(pairs.select(F.explode(F.array("u", "v")).alias(key)).distinct())
-    blocks = some.count() // BLOCK + 1
-
-    def sets(batches):
+    def run(batches):
         for batch in slices(batches, 200):
             found = [_shingle_set(t or b"").view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), pa.array(np.concatenate(found)))
             yield pa.RecordBatch.from_arrays([batch.column(key), lists], names=["key", "set"])
 
+    return documents.select(key, "text").mapInArrow(run, "key long, set array<long>").dropDuplicates(["key"])
+
+
+def similar_pairs(known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs of texts (their keys u and v, and ru and rv) those that are similar by all their shingles, which known has: ru and rv, as u and v.
+
+    Texts are dealt to blocks of about BLOCK, pairs to cells of two blocks, so a text goes to a cell once for all its pairs there.
+    """
+    some = cut(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct())
+    blocks = some.count() // BLOCK + 1
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     dealt = cut(pairs.withColumn("cell", block("u") * blocks + block("v")))
-    places = dealt.select(F.col("cell").alias("place"), F.explode(F.array("u", "v")).alias("key")).distinct()
-    texts = documents.select(key, "text").join(some, key)
-    known = cut(texts.select(key, "text").mapInArrow(sets, "key long, set array<long>").dropDuplicates(["key"]))
+    each = [dealt.select(F.col("cell").alias("place"), F.col(c).alias("key")).distinct() for c in ("u", "v")]
+    places = each[0].union(each[1]).distinct()
     return dealt.groupBy("cell").cogroup(places.join(known, "key").groupBy("place")).applyInArrow(_cell, "u long, v long")
 
 
@@ -435,44 +408,60 @@ def wide_links(documents: DataFrame, rows: DataFrame, key: str, linked: DataFram
     """Links (u, v) between fingerprints that, with those given, connect all similar texts.
 
     Texts meet in a bucket for each band. Those that links connect already need not be
-    compared; any other two that meet are, by all their shingles. If these are very many,
-    one text of each bucket is compared with the rest before, and what that links
-    is left out: no pair is given up.
+    compared; any others that meet are, by all their shingles, unless one has so many
+    that no other text of any bucket shares that they cannot be similar. First one text of
+    each bucket, the one with the least share of such shingles, is compared with the rest,
+    so that what stands about one text takes as many pairs as texts; then, once, all that
+    are still apart: no pair is given up.
     """
     of = rows.select(F.col(key).alias("key"), "fp").dropDuplicates(["key"])
     texts = cut(banded(documents, key).dropDuplicates(["key"]).join(of, "key"))
     n = texts.count()
-    more, last = None, float("inf")
+    roots = cut(components(linked))
+    root = F.coalesce("root", "fp").alias("root")
+    each = texts.join(roots, texts.fp == roots.node, "left").select("key", "fp", "size", root, "bands", F.posexplode("bands").alias("at", "value"))
+    apart = lambda rows: rows.groupBy("value").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("value")
+    met = cut(each.join(apart(each), "value").select("value", "key", "fp", "size", F.slice("bands", F.lit(1), F.col("at")).alias("before")))
+    some = met.select("key").distinct()
+    known = cut(shingle_sets(documents.join(some, documents[key] == some["key"], "left_semi"), key))
+    lone = known.select("key", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1")
+    lone = lone.groupBy("key").agg(F.count("*").alias("lone"))
+    # Of similar texts, what both have is at most what one does not have alone; so the other can have up to this many shingles.
+    alone = F.coalesce("lone", F.lit(0))
+    most = F.floor((F.col("size") - alone) / WIDE_SIMILARITY - alone + 1e-6)
+    met = cut(met.join(lone, "key", "left").withColumn("most", most).withColumn("share", alone / F.col("size")).drop("lone").where(F.col("most") >= F.ceil(WIDE_SIMILARITY * F.col("size") - 1e-6)))
+    more, last, turn = None, float("inf"), 0
     while True:
-        known = linked if more is None else linked.union(more)
-        roots = cut(components(known))
-        named = texts.join(roots, texts.fp == roots.node, "left").select("key", "size", F.coalesce("root", "fp").alias("root"), F.explode("bands").alias("value"))
-        some = named.groupBy("value").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("value")
-        met = cut(named.join(some, "value"))
-        each = met.groupBy("value", "root").agg(F.count("*").alias("n")).groupBy("value").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        total = each.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
-        a = met.select("value", F.col("key").alias("u"), F.col("root").alias("ru"), F.col("size").alias("su"))
-        whole = total <= CROWD * n or total > 0.7 * last
-        if not whole:
-            a = a.groupBy("value").agg(F.min_by(F.struct("u", "ru", "su"), F.xxhash64("u", F.lit(total))).alias("one")).select("value", "one.*")
-        b = met.select("value", F.col("key").alias("v"), F.col("root").alias("rv"), F.col("size").alias("sv"))
-        met_once = F.col("ru") < F.col("rv") if whole else F.col("ru") != F.col("rv")
-        near = F.least("su", "sv") >= WIDE_SIMILARITY * F.greatest("su", "sv")
-        pairs = cut(a.join(b, "value").where(met_once & near).select("u", "v", "ru", "rv").distinct())
-        found = cut(similar_pairs(documents, key, pairs).distinct())
-        more = found if more is None else cut(more.union(found))
+        named = met.join(roots, met.fp == roots.node, "left").select("value", "key", "size", "most", "share", "before", root)
+        now = cut(named.join(apart(named), "value"), anew=True)
+        whole = False
+        if turn:
+            per = now.groupBy("value", "root").agg(F.count("*").alias("n")).groupBy("value").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+            total = per.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
+            whole = total <= CROWD * n or total > 0.7 * last
+            last = total
+        side = lambda rows, k: rows.select("value", F.col("key").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("size", "most", "before", "root")))
+        first = now if whole else now.groupBy("value").agg(F.min_by(F.struct("key", "size", "most", "before", "root"), F.struct(F.col("share") if not turn else F.lit(0), F.xxhash64("key", F.lit(turn)))).alias("one")).select("value", "one.*")
+        may = (F.col("size_v") <= F.col("most_u")) & (F.col("size_u") <= F.col("most_v")) & (F.least("size_u", "size_v") >= WIDE_SIMILARITY * F.greatest("size_u", "size_v"))
+        once = F.col("root_u") < F.col("root_v") if whole else F.col("root_u") != F.col("root_v")
+        # A pair comes from the first band in which it meets; one that stands for a bucket may come from several.
+        fresh = ~F.arrays_overlap("before_u", "before_v") if whole else F.lit(True)
+        pairs = side(first, "u").join(side(now, "v"), "value").where(once & may & fresh).select("u", "v", F.col("root_u").alias("ru"), F.col("root_v").alias("rv"))
+        found = cut(similar_pairs(known, cut(pairs if whole else pairs.distinct())).distinct())
+        more = found if more is None else cut(more.union(found), anew=True)
         if whole:
             return more
-        last = total
+        roots = cut(components(linked.union(more)), anew=True)
+        turn += 1
 
 
-def _groups(documents: DataFrame, distance: int, carry: str | None = None, wide: bool = False) -> tuple[DataFrame, DataFrame]:
+def _groups(documents: DataFrame, distance: int, carry: tuple = (), wide: bool = False) -> tuple[DataFrame, DataFrame]:
     """Each row's fingerprint, and the group and its smallest doc_id of each fingerprint."""
     rows = cut(fingerprints(documents, carry))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = cut(links(distinct, distance))
     if wide:
-        linked = cut(linked.union(wide_links(documents, rows, carry, linked)))
+        linked = cut(linked.union(wide_links(documents, rows, carry[0], linked)))
     roots = cut(components(linked))
     named = roots.join(distinct, roots.node == distinct.fp).select("fp", "root", "least")
     least = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
@@ -502,15 +491,18 @@ def drop_near_copies(documents: DataFrame, distance: int = DISTANCE, wide: bool
     whose shingles of WIDE_SHINGLE words have a similarity of WIDE_SIMILARITY or more.
     """
     names = documents.columns
-    keyed = documents.select("*", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("__key"))
-    rows, each = _groups(keyed, distance, "__key", wide)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__key")
-    crowd = cut(rows.join(each, "fp").select("root", "doc_id", "__key"))
-    first = cut(crowd.groupBy("root").agg(F.min_by("__key", order).alias("__first"), F.count("*").alias("n")).where("n > 1"))
-    met = cut(crowd.join(first, "root").select("__key", "__first", "root"))
-    gone = met.where("__key <> __first").select(F.col("__key").alias("__gone")).distinct()
-    left = keyed.join(gone, F.col("__key") == F.col("__gone"), "left_anti")
-    again = met.where("__key = __first").groupBy("__key").agg(F.count("*").alias("n")).where("n > 1")
+    key, also = row_keys("doc_id", "text")
+    keyed = documents.select("*", key.alias("__key"), also.alias("__also"))
+    rows, each = _groups(keyed, distance, ("__key", "__also"), wide)
+    this = F.struct("__key", "__also")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", this)
+    crowd = cut(rows.join(each, "fp").select("root", "doc_id", "__key", "__also"))
+    first = cut(crowd.groupBy("root").agg(F.min_by(this, order).alias("__first"), F.count("*").alias("n")).where("n > 1"))
+    met = cut(crowd.join(first, "root").select("__key", "__also", "__first", "root"))
+    stays = this == F.col("__first")
+    gone = met.where(~stays).select(F.col("__key").alias("__gone"), F.col("__also").alias("__too")).distinct()
+    left = keyed.join(gone, (F.col("__key") == F.col("__gone")) & (F.col("__also") == F.col("__too")), "left_anti")
+    again = met.where(stays).groupBy("__key", "__also").agg(F.count("*").alias("n")).where("n > 1")
     if not again.isEmpty():  # rows repeated under one doc_id
-        left = left.dropDuplicates(["__key"])
+        left = left.dropDuplicates(["__key", "__also"])
     return left.select(*names)

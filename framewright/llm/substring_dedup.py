@@ -17,11 +17,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import cut, keep, slices
+from .common import cut, keep, row_keys, slices
 
 WINDOW, GRAM = 35, 8
 #: Suffix groups of an anchor above which its suffixes are split by their whole window.
@@ -261,12 +261,6 @@ def repeats(suffixes: DataFrame) -> DataFrame:
     return suffixes.repartition("part").sortWithinPartitions("part").mapInArrow(run, "key long, also long, start int, n int")
 
 
-def row_keys(*columns: str) -> tuple[Column, Column]:
-    """Two independent hashes of some columns, 128 bits in all; nulls count."""
-    each = [x for c in columns for x in (F.col(c).isNull(), F.col(c).cast("string"))]
-    return F.xxhash64(*each), F.xxhash64(F.lit("also"), *each)
-
-
 def substring_dedup(documents: DataFrame) -> DataFrame:
     """Remove every word that a window of WINDOW words covers whose words also start anywhere else.
 

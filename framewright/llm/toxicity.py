@@ -37,6 +37,8 @@ NOISE, CLIP = 3.0, 10.0
 LETTER = 1 / 65_536
 #: Telling words that are sent to workers, of at most 64 letters each.
 MODEL_WORDS = 1_000_000
+#: Labels that are sent to the workers, where more would be joined by an exchange of the texts.
+LABELS = 2_000_000
 #: Marks around a word, and the different words that a task counts before it sends them.
 OPEN, CLOSE, COUNTED = "\x02", "\x03", 200_000
 
@@ -190,10 +192,11 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, m
     no examples. With one class or none, nothing is toxic.
     """
     key = F.crc32(F.col("doc_id").cast("string"))
-    usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(key % 5 != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    usable = cut(labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(key % 5 != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
+    sent = F.broadcast(usable) if usable.limit(LABELS + 1).count() <= LABELS else usable
     fold = (key % 5 == 4).cast("int")
     texts = documents.where("text IS NOT NULL").select("doc_id", "text")
-    counts = cut(word_counts(texts.join(usable, "doc_id").select("text", fold.alias("fold"), "toxic")))
+    counts = cut(word_counts(texts.join(sent, "doc_id").select("text", fold.alias("fold"), "toxic")))
     has = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n00", "n01", "n10", "n11"))).first()
     if not (has.n00 + has.n10) or not (has.n01 + has.n11):
         return Model(None, (0.0, -10.0))
