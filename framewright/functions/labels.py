@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Distance windows in angstrom, and prefixes of run names.
+# Distance windows in angstrom, and the prefixes that run names have by default.
 COMPACT_LO, COMPACT_HI, ELONGATED_LO = 4.5, 5.5, 7.0
 OPEN_LO = 6.5
 CUBES = ("BHHpH", "BHHpM", "BMHpH", "BMHpM", "BMMpH", "BMMpM")
@@ -18,13 +18,14 @@ def _known(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
 
 
-def series_id(c: Column) -> Column:
+def series_id(c: Column, cohorts: tuple[str, ...] = CUBES) -> Column:
     """The id of a series without the cohort before it and the name of its feature table behind it."""
-    return F.regexp_replace(F.regexp_replace(F.trim(c), f"^(?:{'|'.join(CUBES)})_", ""), r"_(?:gsa|endpoint)_features$", "")
+    return F.regexp_replace(F.regexp_replace(F.trim(c), f"^(?:{'|'.join(cohorts)})_", ""), r"_(?:gsa|endpoint)_features$", "")
 
 
-def cohort(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(c, f"^({'|'.join(CUBES)})_", 1), F.lit(""))
+def cohort(c: Column, cohorts: tuple[str, ...] = CUBES) -> Column:
+    """The cohort before a run's name; NULL where there is none."""
+    return F.nullif(F.regexp_extract(c, f"^({'|'.join(cohorts)})_", 1), F.lit(""))
 
 
 def pair_key(name: Column, pattern: str = SITE_PAIR) -> Column:
@@ -111,28 +112,43 @@ def permutation_cycles(perm: tuple[int, ...]) -> str:
     return "".join(out) or "()"
 
 
-# Shares, in percent, above which a profile has a name.
-INTACT_BELOW, COMPACT_A, MOSTLY_A, OPEN_POLE, CLEAN_EDGE = 15.0, 90.0, 50.0, 40.0, 50.0
+# Shares, in percent, by which a profile gets its name, and the names.
+INTACT_BELOW, COMPACT_A, MOSTLY_A, OPEN_POLE = 15.0, 90.0, 50.0, 40.0
+CLEAN_EDGE, CLEAR_EDGE, CLEAR_PART, BROKEN_BELT, AXIS_BELT = 50.0, 40.0, 0.8, 70.0, 80.0
+SECOND_EDGE, SECOND_PART = 30.0, 0.7
 
 
-def structure_name(profile: dict[str, float], single_replica: bool = False) -> str:
-    """A short name of a cluster from its motif profile: shares in percent of labels, open poles and elongated edges."""
+def largest(shares: dict[str, Column], rank: int) -> tuple[Column, Column]:
+    """Value and name of the rank-th largest of some columns, the first of equals; 0 and an empty name beyond them."""
+    each = [F.struct(F.coalesce(c, F.lit(0.0)).alias("v"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, c) in enumerate(shares.items())]
+    none = F.struct(F.lit(0.0).alias("v"), F.lit(-len(each)).alias("k"), F.lit("").alias("name"))
+    at = F.get(F.sort_array(F.array(*each, none, none), asc=False), F.lit(rank))
+    return at["v"], at["name"]
 
-    def ranked(prefix: str) -> list[tuple[float, str]]:
-        return sorted(((v, k[len(prefix) :]) for k, v in profile.items() if k.startswith(prefix)), key=lambda x: -x[0])
 
-    edges, poles = ranked("edge_"), ranked("pole_")
-    first, where = edges[0] if edges else (0.0, "")
-    second, other = edges[1] if len(edges) > 1 else (0.0, "")
-    any_edge, a = profile.get("any_edge", 0.0), profile.get("A", 0.0)
-    if single_replica:
-        return f"loosened single replica, edge {where}"
-    if any_edge < INTACT_BELOW:
-        if a >= MOSTLY_A:
-            return "compact cage" if a >= COMPACT_A else "mostly compact"
-        return f"intact belt, {poles[0][1]} often open" if poles and poles[0][0] >= OPEN_POLE else "intact belt"
-    both = second >= 30.0 and second >= 0.7 * first
-    if first >= CLEAN_EDGE or (first >= 40.0 and (first >= 0.8 * any_edge or (any_edge >= 80.0 and both))):
-        kind = "belt broken" if any_edge >= 70.0 or first >= CLEAN_EDGE else "partly belt broken"
-        return f"{kind} along {where} or {other}" if both else f"{kind} along {where}"
-    return f"mixed belt, largest edge {where}"
+def structure_name(any_edge: Column, compact: Column, edges: dict[str, Column], poles: dict[str, Column], single_replica: Column) -> Column:
+    """A short name of a cluster from its motif profile, shares in percent, as a table of rules of which the first that holds counts.
+
+    any_edge is the share of frames with an elongated edge, compact that of label A; edges
+    and poles are the shares of each by name.
+    """
+    (first, at), (second, other), (pole, where) = largest(edges, 0), largest(edges, 1), largest(poles, 0)
+    intact = any_edge < INTACT_BELOW
+    two = (second >= SECOND_EDGE) & (second >= SECOND_PART * first)
+    on_edge = (first >= CLEAN_EDGE) | ((first >= CLEAR_EDGE) & (first >= CLEAR_PART * any_edge))
+    on_axis = two & (first >= CLEAR_EDGE) & (any_edge >= AXIS_BELT)
+    broken = on_edge | on_axis
+    place = F.when(two, F.concat(at, F.lit(" or "), other)).otherwise(at)
+    rules = [
+        (single_replica, F.concat(F.lit("loosened single replica, edge "), at)),
+        (intact & (compact >= COMPACT_A), F.lit("compact cage")),
+        (intact & (compact >= MOSTLY_A), F.lit("mostly compact")),
+        (intact & (pole >= OPEN_POLE), F.concat(F.lit("intact belt, "), where, F.lit(" often open"))),
+        (intact, F.lit("intact belt")),
+        (broken & ((any_edge >= BROKEN_BELT) | (first >= CLEAN_EDGE)), F.concat(F.lit("belt broken along "), place)),
+        (broken, F.concat(F.lit("partly belt broken along "), place)),
+    ]
+    out = F.concat(F.lit("mixed belt, largest edge "), at)
+    for holds, name in reversed(rules):
+        out = F.when(F.coalesce(holds, F.lit(False)), name).otherwise(out)
+    return out

@@ -48,18 +48,30 @@ def plane(points: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def affine_strain(frames: np.ndarray, window: int = 10, lag: int = 1) -> np.ndarray:
-    """For each frame how far the least-squares affine map to the frame ``lag`` later departs from a rotation, averaged over a trailing window; NaN where there is none."""
-    n = len(frames)
-    each = np.full(n, np.nan)
-    for t in range(n - lag):
-        a, b = frames[t] - frames[t].mean(axis=0), frames[t + lag] - frames[t + lag].mean(axis=0)
-        f, *_ = np.linalg.lstsq(a, b, rcond=None)
-        each[t] = np.linalg.norm((f.T @ f - np.eye(3)) / 2)
+    """For each frame how far one affine map departs from a rotation: the least-squares map, with a shift, of all points
+    of the ``window`` frames before it to where they are ``lag`` frames later. NaN until the window is full and where no later frame is.
+
+    Sums of products up to each frame give those of every window, so time grows with the frames alone.
+    """
+    n, points = len(frames), frames.shape[1]
     out = np.full(n, np.nan)
-    for t in range(n):
-        part = each[max(0, t - window + 1) : t + 1]
-        if np.isfinite(part).any():
-            out[t] = np.nanmean(part)
+    at = np.arange(window, n - lag)
+    if not len(at) or not points:
+        return out
+    a, b = frames[: n - lag], frames[lag:]
+    middle = frames.mean(axis=(0, 1))
+    a, b = a - middle, b - middle
+
+    def over(x: np.ndarray) -> np.ndarray:
+        total = np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0)])
+        return total[at] - total[at - window]
+
+    count = window * points
+    sa, sb = over(a.sum(axis=1)), over(b.sum(axis=1))
+    aa = over(np.einsum("tpi,tpj->tij", a, a)) - np.einsum("ti,tj->tij", sa, sa) / count
+    ab = over(np.einsum("tpi,tpj->tij", a, b)) - np.einsum("ti,tj->tij", sa, sb) / count
+    f = np.linalg.pinv(aa, rcond=1e-12, hermitian=True) @ ab
+    out[at] = np.linalg.norm((np.swapaxes(f, 1, 2) @ f - np.eye(3)) / 2, axis=(1, 2))
     return out
 
 

@@ -41,34 +41,49 @@ def score_frames(frames: DataFrame, key: str = "traj_id", order: str = "frame",
     return out
 
 
-def select_frames(scored: DataFrame, must: DataFrame | None = None, key: str = "traj_id", order: str = "frame", pcs: str = "pcs", most: int = 30, apart: float = 0.75, pool: int = 1000) -> DataFrame:
-    """Per series up to ``most`` frames: those that must be, the extremes of three components and the three steepest, then by score if far enough from all chosen.
+def select_frames(scored: DataFrame, must: DataFrame | None = None, key: str = "traj_id", order: str = "frame", pcs: str = "pcs", most: int = 30, apart: float = 0.75, ends: Sequence[str] = ("endpoint_dist_min", "endpoint_dist_max", "endpoint_dist_mean")) -> DataFrame:
+    """Per series the frames that must be, then up to ``most`` in all: the three with the steepest mean end distance, then by score if far enough from all chosen.
 
-    must has key and order (medoids, breakpoints). Spark ranks the candidates and keeps
-    ``pool`` per series; the greedy choice among them is this operator's limit by design.
+    must has key and order (medoids, breakpoints). The least and the greatest end distance
+    must be too, where the columns that ``ends`` names exist. All frames of a series are
+    candidates; the greedy choice takes one pass over them for each frame that it chooses.
     """
     w = W.partitionBy(key)
-    c = [F.get(F.col(pcs), F.lit(k)).cast("double") for k in range(3)]
-    ranked = scored.withColumn("__r", F.row_number().over(w.orderBy(F.desc("score"), order)))
-    extreme = F.lit(False)
-    for x in c:
-        extreme = extreme | (x == F.min(x).over(w)) | (x == F.max(x).over(w))
-    ranked = ranked.withColumn("__must", F.coalesce(extreme, F.lit(False)))
-    if "rmsd" in scored.columns:
-        ranked = ranked.withColumn("__g", F.abs(gradient("rmsd", key, order))).withColumn("__must", F.col("__must") | (F.row_number().over(w.orderBy(F.desc("__g"), order)) <= 3))
+    least, greatest, mean = (c if c in scored.columns else None for c in ends)
+    first = lambda c, way: F.coalesce((F.row_number().over(w.orderBy(way(c), order)) == 1) & F.col(c).isNotNull(), F.lit(False))
+    needed, steep = F.lit(False), F.lit(None).cast("int")
+    base = scored
+    for c, way in ((least, F.asc_nulls_last), (greatest, F.desc_nulls_last)):
+        if c:
+            base = base.withColumn(c, finite(F.col(c).cast("double")))
+            needed = needed | first(c, way)
+    if mean:
+        base = base.withColumn(mean, finite(F.col(mean).cast("double"))).withColumn("__g", F.abs(gradient(mean, key, order)))
+        rank = F.row_number().over(w.orderBy(F.desc_nulls_last("__g"), order))
+        steep = F.when((rank <= 3) & F.col("__g").isNotNull(), rank)
+    ranked = base.withColumn("__must", needed).withColumn("__steep", steep)
     if must is not None:
         m = must.select(F.col(key).alias("__k"), F.col(order).alias("__f")).distinct().withColumn("__one", F.lit(True))
         ranked = ranked.join(m, (F.col(key) == F.col("__k")) & (F.col(order) == F.col("__f")), "left").withColumn("__must", F.col("__must") | F.coalesce("__one", F.lit(False)))
-    some = ranked.where((F.col("__r") <= pool) | F.col("__must")).select(key, order, "score", F.col("__must").alias("must"), F.array(*(F.coalesce(x, F.lit(0.0)) for x in c)).alias("p"))
+    spots = F.array(*(F.coalesce(F.get(F.col(pcs), F.lit(k)).cast("double"), F.lit(0.0)) for k in range(3)))
+    some = ranked.select(key, order, "score", F.col("__must").alias("must"), F.col("__steep").alias("steep"), spots.alias("p"))
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["must", "score", order], ascending=[False, False, True])
-        chosen, spots = [], []
-        for row in pdf.itertuples():
-            at = np.array(row.p, float)
-            if len(chosen) < most and (row.must or all(np.linalg.norm(at - s) >= apart for s in spots)):
-                chosen.append(row.Index)
-                spots.append(at)
+        pdf = pdf.sort_values(["score", order], ascending=[False, True]).reset_index(drop=True)
+        at = np.array(pdf["p"].tolist(), float).reshape(len(pdf), 3)
+        chosen = np.flatnonzero(pdf["must"].to_numpy(bool)).tolist()
+        for k in pdf["steep"].dropna().sort_values().index:
+            if len(chosen) < most and k not in chosen:
+                chosen.append(k)
+        free = np.ones(len(pdf), bool)
+        for k in chosen:
+            free &= np.linalg.norm(at - at[k], axis=1) >= apart
+        free[chosen] = False
+        while len(chosen) < most and free.any():
+            k = int(free.argmax())
+            chosen.append(k)
+            free &= np.linalg.norm(at - at[k], axis=1) >= apart
+            free[k] = False
         return pdf.loc[chosen, [key, order, "score", "must"]]
 
     kinds = scored.schema
@@ -79,18 +94,22 @@ def _c(name: str) -> Column:
     return F.coalesce(finite(F.col(name).cast("double")), F.lit(0.0))
 
 
-def guest_score(entries: Column, exits: Column, residence: Column | None = None, least_time: Column | None = None) -> Column:
-    """0 to 1 from numbers of entries and exits, and from the time inside against a least one."""
+def guest_score(entries: Column, exits: Column, residence: Column | None = None, least_time: Column | None = None, outside: Column | None = None) -> Column:
+    """0 to 1 from numbers of entries and exits, from the share of time inside, and from the time inside against a least one."""
     e, x = entries.cast("double"), exits.cast("double")
     ratio = e / (e + x)
     first = F.when(e > 0, 0.3 + 0.2 * (1 - F.exp(-0.3 * e))).otherwise(F.lit(0.0))
     more = F.when(e > 1, 0.15 * (1 - F.exp(-0.2 * (e - 1)))).otherwise(F.lit(0.0))
     leave = F.when((e > 0) & (x > 0), F.when(e > x, 0.25 * (1 + (e - x) / e) * ratio).when(e == x, 0.15 * ratio).otherwise(0.05 * ratio)).otherwise(F.lit(0.0))
-    stay = F.lit(0.0)
+    share = stay = F.lit(0.0)
+    inside = (e > 0) & (residence > 0) if residence is not None else F.lit(False)
+    if residence is not None:
+        total = residence + (F.coalesce(outside, F.lit(0.0)) if outside is not None else F.lit(0.0))
+        share = F.when(inside, 0.25 * F.pow(residence / total, F.lit(0.7))).otherwise(F.lit(0.0))
     if residence is not None and least_time is not None:
         t = residence / least_time
-        stay = F.when((e > 0) & (least_time > 0), F.when(t >= 1, 0.15 * F.least(F.lit(1.0), F.log1p(t) / float(np.log(2)))).otherwise(0.1 * F.sqrt(F.greatest(t, F.lit(0.0))))).otherwise(F.lit(0.0))
-    return F.least(F.lit(1.0), first + more + leave + F.coalesce(stay, F.lit(0.0)))
+        stay = F.when(inside & (least_time > 0), F.when(t >= 1, 0.15 * F.least(F.lit(1.0), F.log1p(t) / float(np.log(2)))).otherwise(0.1 * F.sqrt(F.greatest(t, F.lit(0.0))))).otherwise(F.lit(0.0))
+    return F.least(F.lit(1.0), first + more + leave + F.coalesce(share, F.lit(0.0)) + F.coalesce(stay, F.lit(0.0)))
 
 
 def volume_score(mean: Column, spread: Column, change_range: Column, least_pct: float = 10.0) -> Column:
@@ -120,12 +139,12 @@ def score_runs(runs: DataFrame, require_entry: bool = False, least_pct: float =
     """One row per run with its four parts, overall_score and is_valid.
 
     runs has n_entries, n_exits, volume_mean, volume_std, volume_range, r_max, r_mean,
-    n_strong, dist_cv and n_dist; residence and least_time, edge_cv if there are any.
+    n_strong, dist_cv and n_dist; residence (the time inside), outside and least_time, edge_cv if there are any.
     """
     has = lambda c: F.col(c) if c in runs.columns else None
     out = runs.withColumns(
         {
-            "guest_score": guest_score(_c("n_entries"), _c("n_exits"), has("residence"), has("least_time")),
+            "guest_score": guest_score(_c("n_entries"), _c("n_exits"), has("residence"), has("least_time"), has("outside")),
             "volume_score": volume_score(_c("volume_mean"), _c("volume_std"), _c("volume_range"), least_pct),
             "correlation_score": correlation_score(finite(F.col("r_max")), _c("r_mean"), _c("n_strong")),
             "structure_score": structure_score(finite(F.col("dist_cv")), F.col("n_dist"), has("edge_cv")),

@@ -732,13 +732,15 @@ def belt_labels(spark, d):
 
 
 @query(
-    """WITH s AS (SELECT o_custkey AS run, count(*) FILTER (o_orderstatus = 'O') AS e, count(*) FILTER (o_orderstatus = 'F') AS x FROM orders GROUP BY 1)
+    """WITH s AS (SELECT o_custkey AS run, count(*) FILTER (o_orderstatus = 'O') AS e, count(*) FILTER (o_orderstatus = 'F') AS x, sum(o_totalprice) FILTER (o_orderstatus = 'O') AS i, coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 0) AS o FROM orders GROUP BY 1)
 SELECT run, round(least(1, CASE WHEN e > 0 THEN 0.3 + 0.2 * (1 - exp(-0.3 * e)) ELSE 0 END + CASE WHEN e > 1 THEN 0.15 * (1 - exp(-0.2 * (e - 1))) ELSE 0 END
- + CASE WHEN e > 0 AND x > 0 THEN CASE WHEN e > x THEN 0.25 * (1 + (e - x) / e) * e / (e + x) WHEN e = x THEN 0.15 * e / (e + x) ELSE 0.05 * e / (e + x) END ELSE 0 END), 6) AS score FROM s"""
+ + CASE WHEN e > 0 AND x > 0 THEN CASE WHEN e > x THEN 0.25 * (1 + (e - x) / e) * e / (e + x) WHEN e = x THEN 0.15 * e / (e + x) ELSE 0.05 * e / (e + x) END ELSE 0 END
+ + CASE WHEN e > 0 AND i > 0 THEN 0.25 * (i / (i + o)) ^ 0.7 + CASE WHEN i >= 300000 THEN 0.15 * least(1, ln(1 + i / 300000) / ln(2)) ELSE 0.1 * sqrt(i / 300000) END ELSE 0 END), 6) AS score FROM s"""
 )
 def guest_score(spark, d):
-    s = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("run")).agg(F.count_if(F.col("o_orderstatus") == "O").alias("e"), F.count_if(F.col("o_orderstatus") == "F").alias("x"))
-    return s.select("run", r(scoring.guest_score(F.col("e"), F.col("x"))).alias("score"))
+    price = lambda x: F.sum(F.when(F.col("o_orderstatus") == x, F.col("o_totalprice")))
+    s = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("run")).agg(F.count_if(F.col("o_orderstatus") == "O").alias("e"), F.count_if(F.col("o_orderstatus") == "F").alias("x"), price("O").alias("i"), price("F").alias("o"))
+    return s.select("run", r(scoring.guest_score(F.col("e"), F.col("x"), F.col("i"), F.lit(300000.0), F.col("o"))).alias("score"))
 
 
 @query()

@@ -62,12 +62,11 @@ def replica_audit(clustered: DataFrame, label: str = "cluster_label", key: str =
 
 
 def profiles(frames: DataFrame, label: str, structure: str, edges: Sequence[str], poles: Sequence[str], replicas: DataFrame | None = None) -> DataFrame:
-    """Motif profile of each cluster with a name; clusters are few."""
+    """Motif profile of each cluster with a name."""
     rows = attribution.motif_profile(frames, label, structure, edges, poles)
     rows = rows.join(replicas.select(label, "isolated"), label, "left") if replicas is not None else rows.withColumn("isolated", F.lit(False))
-    named = [(*r, structure_name({k.replace("pct_", ""): float(v or 0) for k, v in r.asDict().items() if k.startswith(("pct_", "edge_", "pole_", "any_"))}, bool(r["isolated"]))) for r in rows.collect()]
-    schema = rows.schema.add("structure_name", "string")
-    return frames.sparkSession.createDataFrame(named, schema)
+    of = lambda kind, names: {x: F.col(f"{kind}_{x}") for x in names}
+    return rows.withColumn("structure_name", structure_name(F.col("any_edge"), F.col("pct_A"), of("edge", edges), of("pole", poles), F.col("isolated")))
 
 
 def merge_families(correlations: DataFrame, threshold: float = 0.95, how: str = "single") -> dict[str, int]:

@@ -161,8 +161,15 @@ def test_shape_plane_strain():
     assert abs(abs(normal[2]) - 1) < 1e-9 and rms < 1e-9
     rng = np.random.default_rng(6)
     x = rng.normal(size=(20, 3))
-    assert np.nanmax(G.affine_strain(np.array([x, x, x]))) < 1e-9
-    assert G.affine_strain(np.array([x, x * 1.1, x * 1.1**2]))[0] > 0.1
+    assert np.nanmax(G.affine_strain(np.array([x, x, x]), 1)) < 1e-9 and np.isnan(G.affine_strain(np.array([x, x, x]))).all()
+    frames = rng.normal(size=(30, 7, 3)) + 5
+    for window, lag in ((10, 1), (3, 2), (1, 1)):
+        want = np.full(30, np.nan)
+        for t in range(window, 30 - lag):
+            a, b = frames[t - window : t].reshape(-1, 3), frames[t - window + lag : t + lag].reshape(-1, 3)
+            f = np.linalg.lstsq(np.c_[a, np.ones(len(a))], b, rcond=None)[0][:3]
+            want[t] = np.linalg.norm(0.5 * (f.T @ f - np.eye(3)))
+        assert np.allclose(G.affine_strain(frames, window, lag), want, equal_nan=True)
 
 
 def test_volume_and_cavities():

@@ -145,8 +145,10 @@ def test_labels(spark):
     assert [r.k for r in got] == ["closed", "unknown", "open"] and [r.m for r in got] == ["C2", "other", None]
     assert got[0].n == "2 poles open" and got[1].n == "3+ poles open"
     assert labels.permutation_cycles((1, 0, 2, 4, 3)) == "(0 1)(3 4)" and labels.permutation_cycles((0, 1)) == "()"
-    assert labels.structure_name({"any_edge": 5.0, "A": 95.0}) == "compact cage"
-    assert labels.structure_name({"any_edge": 90.0, "A": 0.0, "edge_M0-M1": 80.0, "edge_M2-M3": 5.0}) == "belt broken along M0-M1"
+    rows = [(5.0, 95.0, 1.0, 0.0, 0.0, False), (5.0, 60.0, 1.0, 0.0, 0.0, False), (5.0, 10.0, 1.0, 0.0, 45.0, False), (5.0, 10.0, 1.0, 0.0, 5.0, False), (90.0, 0.0, 80.0, 5.0, 0.0, False), (85.0, 0.0, 45.0, 40.0, 0.0, False), (48.0, 0.0, 42.0, 2.0, 0.0, False), (60.0, 0.0, 30.0, 30.0, 0.0, False), (60.0, 0.0, 20.0, 30.0, 0.0, True)]
+    named = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "k int, any double, a double, e double, f double, p double, s boolean").orderBy("k")
+    of = labels.structure_name(F.col("any"), F.col("a"), {"M0-M1": F.col("e"), "M2-M3": F.col("f")}, {"P0": F.col("p")}, F.col("s"))
+    assert [x.n for x in named.select(of.alias("n")).collect()] == ["compact cage", "mostly compact", "intact belt, P0 often open", "intact belt", "belt broken along M0-M1", "belt broken along M0-M1 or M2-M3", "partly belt broken along M0-M1", "mixed belt, largest edge M0-M1", "loosened single replica, edge M2-M3"]
     order = spark.createDataFrame([("v10",), ("v9",), ("v1",)], "n string").orderBy(labels.natural_key(F.col("n"))).collect()
     assert [r.n for r in order] == ["v1", "v9", "v10"]
 
@@ -262,7 +264,8 @@ def test_geometry(spark):
     assert abs(geometry.cavity_volume(one, 0.2).first().volume - vol) < 1.0
     step = {r.frame: r.step_rmsd for r in geometry.rmsd_to_previous(pos).collect()}
     assert step[0] is None and abs(step[1] - np.sqrt(((frames[1] - base) ** 2).sum(axis=1).mean())) < 1e-9
-    assert geometry.strain(pos).count() == 3
+    assert geometry.strain(pos).count() == 3 and all(r.strain is None for r in geometry.strain(pos).collect())
+    assert [r.strain is None for r in geometry.strain(pos, 1).orderBy('frame').collect()] == [True, False, True]
     f = aggregates.atom_fluctuation(atoms).where("atom_id = 3").first().rmsf
     p3 = np.array([m[3] for m in frames])
     assert abs(f - np.sqrt(((p3 - p3.mean(axis=0)) ** 2).sum(axis=1).mean())) < 1e-9
@@ -297,6 +300,37 @@ def test_scores(spark):
     assert abs(a.overall_score - total) < 1e-9 and a.is_valid and not b.is_valid
 
 
+def test_guest_residence(spark):
+    """Time inside counts by its share, and against a least time; without time inside neither does."""
+    runs = spark.createDataFrame([(3, 1, 30.0, 10.0, 20.0), (3, 1, 5.0, 15.0, 20.0), (2, 0, 0.0, 9.0, 20.0), (0, 0, 5.0, 5.0, 20.0)], "e int, x int, i double, o double, t double")
+    got = [r.s for r in runs.select(scoring.guest_score(F.col("e"), F.col("x"), F.col("i"), F.col("t"), F.col("o")).alias("s")).collect()]
+    come = lambda e: 0.3 + 0.2 * (1 - math.exp(-0.3 * e)) + 0.15 * (1 - math.exp(-0.2 * (e - 1)))
+    balance = 0.25 * (1 + 2 / 3) * 0.75
+    want = [min(1, come(3) + balance + 0.25 * 0.75**0.7 + 0.15), min(1, come(3) + balance + 0.25 * 0.25**0.7 + 0.1 * 0.5), come(2), 0.0]
+    assert np.allclose(got, want)
+
+
+def test_select_frames_against_plain(spark):
+    """All frames are candidates, those that must be stay beyond the limit, extremes are of end distances."""
+    rng = np.random.default_rng(3)
+    n = 300
+    score, pcs, lo, hi, mean = rng.normal(size=n), rng.normal(size=(n, 3)), rng.random(n), rng.random(n), rng.random(n)
+    rows = [("a", k, float(score[k]), pcs[k].tolist(), float(lo[k]) if k != 7 else float("nan"), float(hi[k]), float(mean[k])) for k in range(n)]
+    df = spark.createDataFrame(rows, "traj_id string, frame int, score double, pcs array<double>, endpoint_dist_min double, endpoint_dist_max double, endpoint_dist_mean double").repartition(4)
+    marks = [5, 50, 80]
+    for most in (2, 12, 40):
+        chosen = {*marks, min((k for k in range(n) if k != 7), key=lambda k: lo[k]), int(hi.argmax())}
+        must = set(chosen)
+        for k in np.argsort(np.abs(np.gradient(mean)))[-3:][::-1]:
+            if len(chosen) < most:
+                chosen.add(int(k))
+        for k in np.argsort(-score):
+            if len(chosen) < most and all(np.linalg.norm(pcs[k] - pcs[j]) >= 0.75 for j in chosen):
+                chosen.add(int(k))
+        got = scoring.select_frames(df, spark.createDataFrame([("a", k) for k in marks], "traj_id string, frame int"), most=most).collect()
+        assert {r.frame for r in got} == chosen and {r.frame for r in got if r.must} == must
+
+
 def test_registry(spark):
     reg = Registry()
 
