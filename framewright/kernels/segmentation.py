@@ -130,14 +130,20 @@ class Rbf(Cost):
     def __init__(self, x, gamma: float | None = None):
         super().__init__(x)
         sq = (self.x**2).sum(axis=1)
-        d = np.maximum(sq[:, None] + sq[None, :] - 2 * self.x @ self.x.T, 0)
+        # One matrix of all pairs is held, worked on in place, and half of one for the median.
+        self.g = np.zeros((self.n + 1, self.n + 1))
+        d = self.g[1:, 1:]
+        for k in range(0, self.n, 1024):
+            d[k : k + 1024] = np.maximum(sq[k : k + 1024, None] + sq[None, :] - 2 * self.x[k : k + 1024] @ self.x.T, 0)
         if gamma is None:
-            middle = np.median(d[np.triu_indices(self.n, 1)]) if self.n > 1 else 0.0
+            middle = np.median(np.concatenate([d[k, k + 1 :] for k in range(self.n)])) if self.n > 1 else 0.0
             gamma = 1 / middle if middle > 0 else 1.0
-        gram = np.exp(-np.clip(gamma * d, 1e-2, 1e2))
-        np.fill_diagonal(gram, 1.0)
-        self.g = np.zeros((self.n + 1, self.n + 1))
-        self.g[1:, 1:] = gram.cumsum(axis=0).cumsum(axis=1)
+        np.multiply(d, -gamma, out=d)
+        np.clip(d, -1e2, -1e-2, out=d)
+        np.exp(d, out=d)
+        np.fill_diagonal(d, 1.0)
+        np.cumsum(d, axis=0, out=d)
+        np.cumsum(d, axis=1, out=d)
 
     def __call__(self, a, b):
         g = self.g
@@ -164,33 +170,44 @@ def _grid(n: int, jump: int) -> np.ndarray:
 
 def pelt(cost: Cost, penalty: float, min_size: int = 2, jump: int = 5) -> list[int]:
     """The regimes with the least cost plus penalty for each; starts that can never be best again are dropped."""
+    return pelt_many(cost, [penalty], min_size, jump)[0]
+
+
+def pelt_many(cost: Cost, penalties: list[float], min_size: int = 2, jump: int = 5) -> list[list[int]]:
+    """The same for each of several penalties, in one pass: what a regime costs is worked out once for all of them."""
     n, size = cost.n, max(min_size, cost.least)
+    many = len(penalties)
     if n < 2 * size:
-        return []
-    best = {0: -penalty}
-    before: dict[int, int] = {}
-    starts = np.array([0])
-    waiting: list[int] = []
-    for b in _grid(n, jump).tolist():
-        ready = [w for w in waiting if b - w >= size]
-        if ready:
-            waiting = [w for w in waiting if b - w < size]
-            starts = np.concatenate([starts, ready])
-        ok = starts[b - starts >= size]
-        if not len(ok):
+        return [[] for _ in penalties]
+    penalty = np.asarray(penalties, float)
+    places = np.r_[0, _grid(n, jump)]
+    best = np.full((many, len(places)), np.inf)
+    before = np.full((many, len(places)), -1)
+    alive = np.zeros((many, len(places)), bool)
+    best[:, 0], alive[:, 0] = -penalty, True
+    rows = np.arange(many)
+    for j in range(1, len(places)):
+        last = int(np.searchsorted(places, places[j] - size, side="right"))
+        starts = np.flatnonzero(alive[:, :last].any(axis=0))
+        if not len(starts):
             continue
-        base = np.array([best[a] for a in ok.tolist()]) + cost.many(ok, b)
-        k = int(base.argmin())
-        best[b], before[b] = float(base[k]) + penalty, int(ok[k])
-        keep = set(ok[base <= best[b]].tolist())
-        starts = np.array([a for a in starts.tolist() if b - a < size or a in keep], dtype=np.int64)
-        waiting.append(b)
-    out, at = [], n
-    while at in before:
-        at = before[at]
-        if at:
-            out.append(at)
-    return sorted(out)
+        total = np.where(alive[:, starts], best[:, starts] + cost.many(places[starts], int(places[j])), np.inf)
+        k = total.argmin(axis=1)
+        least = total[rows, k]
+        found = np.isfinite(least)
+        best[found, j] = least[found] + penalty[found]
+        before[found, j] = starts[k[found]]
+        alive[:, starts] &= ~found[:, None] | (total <= best[:, j, None])
+        alive[found, j] = True
+    out = []
+    for q in range(many):
+        cuts, at = [], len(places) - 1
+        while before[q, at] >= 0:
+            at = int(before[q, at])
+            if at:
+                cuts.append(int(places[at]))
+        out.append(cuts[::-1])
+    return out
 
 
 def dynamic(cost: Cost, n_bkps: int, min_size: int = 2, jump: int = 5) -> list[int]:

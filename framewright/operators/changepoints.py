@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..kernels import segmentation as S
 from ..schemas import BREAKPOINTS
 from .aggregates import segment_statistics, segments_from_breakpoints
+from .groups import each_group
 from .windows import elbow
 
 
@@ -32,7 +33,6 @@ def detect(signal: DataFrame, method: str = "pelt", cost: str = "rbf", penalty:
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
         x = S.signal_matrix(np.stack(pdf["x"].to_numpy()), normalise)
         found: list[int] = []
         if x.size and len(x) >= 2:
@@ -41,7 +41,7 @@ def detect(signal: DataFrame, method: str = "pelt", cost: str = "rbf", penalty:
         at = pdf.iloc[found]
         return pd.DataFrame({"traj_id": pdf["traj_id"].iloc[0], "grp": pdf["grp"].iloc[0], "breakpoint_idx": np.arange(len(found), dtype=np.int32), "signal_index": np.array(found, np.int32), "frame": at["frame"].to_numpy(np.int64), "time_ps": at["time_ps"].to_numpy(float), "n_cols_used": np.int32(x.shape[1] if x.ndim == 2 else 0)})
 
-    return signal.groupBy("traj_id", "grp").applyInPandas(one, BREAKPOINTS)
+    return each_group(signal, ["traj_id", "grp"], ["i"], one, BREAKPOINTS)
 
 
 def segments(signal: DataFrame, breakpoints: DataFrame, frames: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -58,17 +58,15 @@ def sweep(signal: DataFrame, points: int = 12, cost: str = "l2", tolerance: int
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
         x = S.signal_matrix(np.stack(pdf["x"].to_numpy()))
         frames = pdf["frame"].to_numpy()
         fitted = S.COSTS[cost](x) if x.size else None
-        rows = []
-        for step, pen in enumerate(S.penalty_grid(max(2, len(pdf)), points)):
-            found = S.pelt(fitted, float(pen), min_size, jump) if fitted is not None else []
-            rows.append((pdf["traj_id"].iloc[0], pdf["grp"].iloc[0], step, float(pen), len(found), frames[found].tolist()))
+        grid = [float(p) for p in S.penalty_grid(max(2, len(pdf)), points)]
+        each = S.pelt_many(fitted, grid, min_size, jump) if fitted is not None else [[] for _ in grid]
+        rows = [(pdf["traj_id"].iloc[0], pdf["grp"].iloc[0], step, pen, len(found), frames[found].tolist()) for step, (pen, found) in enumerate(zip(grid, each))]
         return pd.DataFrame(rows, columns=["traj_id", "grp", "step", "penalty", "n", "frames"])
 
-    return signal.groupBy("traj_id", "grp").applyInPandas(one, "traj_id string, grp string, step int, penalty double, n long, frames array<long>")
+    return each_group(signal, ["traj_id", "grp"], ["i"], one, "traj_id string, grp string, step int, penalty double, n long, frames array<long>")
 
 
 def sweep_summary(swept: DataFrame, tolerance: int = 50) -> DataFrame:

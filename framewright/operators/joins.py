@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .groups import each_group
+
 
 def interval_join(points: DataFrame, intervals: DataFrame, key: Sequence[str], at: str, start: str = "start_frame", end: str = "end_frame", how: str = "inner", width: int = 1024) -> DataFrame:
     """Each point with the intervals of its series that hold it, both ends included.
@@ -80,12 +82,24 @@ def greedy_pairs(distance: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarr
 
 
 def greedy_match(candidates: DataFrame, key: Sequence[str], at_a: str, at_b: str) -> DataFrame:
-    """The one-to-one match among candidates of a band join, series by series."""
+    """The one-to-one match among candidates of a band join, series by series.
+
+    Pairs that are nearest for both their positions are in the match whatever else is, and
+    take all other pairs of these with them; only what remains, chains of close positions,
+    is matched in Python, where its order decides.
+    """
+    order = [F.col("distance"), F.least(at_a, at_b), F.greatest(at_a, at_b)]
+    rank = lambda c: F.row_number().over(W.partitionBy(*key, c).orderBy(*order, at_a, at_b))
+    mutual = (F.col("__ra") == 1) & (F.col("__rb") == 1)
+    taken = lambda c: F.max(mutual).over(W.partitionBy(*key, c))
+    ranked = candidates.repartition(*key).withColumns({"__ra": rank(at_a), "__rb": rank(at_b)}).withColumns({"__ta": taken(at_a), "__tb": taken(at_b)})
+    first = ranked.where(mutual).select(*candidates.columns)
+    rest = ranked.where("NOT __ta AND NOT __tb").select(*candidates.columns)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf[greedy_pairs(pdf["distance"].to_numpy(), pdf[at_a].to_numpy(), pdf[at_b].to_numpy())]
 
-    return candidates.groupBy(*key).applyInPandas(pick, candidates.schema)
+    return first.unionByName(each_group(rest, list(key), [], pick, candidates.schema))
 
 
 def compare_timing(breakpoints: DataFrame, coverage: DataFrame, tolerance: int = 50, key: str = "traj_id", grp: str = "grp", at: str = "frame") -> DataFrame:
@@ -98,9 +112,10 @@ def compare_timing(breakpoints: DataFrame, coverage: DataFrame, tolerance: int =
     cover = coverage.select(key, grp).distinct()
     pairs = cover.withColumnRenamed(grp, "group_a").join(cover.select(F.col(key).alias("__k"), F.col(grp).alias("group_b")), (F.col(key) == F.col("__k")) & (F.col("group_a") < F.col("group_b"))).drop("__k")
     counts = breakpoints.groupBy(key, grp).agg(F.count("*").alias("n"))
-    a = breakpoints.select(key, F.col(grp).alias("group_a"), F.col(at).alias("at_a"))
-    b = breakpoints.select(key, F.col(grp).alias("group_b"), F.col(at).alias("at_b"))
-    met = greedy_match(band_join(a, b, [key], "at_a", "at_b", tolerance).where("group_a < group_b"), [key, "group_a", "group_b"], "at_a", "at_b")
+    both = [key, "group_a", "group_b"]
+    a = breakpoints.select(key, F.col(grp).alias("group_a"), F.col(at).alias("at_a")).join(pairs, [key, "group_a"])
+    b = breakpoints.select(key, F.col(grp).alias("group_b"), F.col(at).alias("at_b")).join(pairs, [key, "group_b"])
+    met = greedy_match(band_join(a, b, both, "at_a", "at_b", tolerance), both, "at_a", "at_b")
     shared = met.groupBy(key, "group_a", "group_b").agg(F.count("*").alias("n_shared"))
     out = pairs
     for side in "ab":

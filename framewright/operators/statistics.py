@@ -148,14 +148,30 @@ def bootstrap_nmi(tables: DataFrame, by: str = "k", block: str = "traj_id", n: i
     return tables.groupBy(by).applyInPandas(one, f"{by} {tables.schema[by].dataType.simpleString()}, nmi double, se double")
 
 
-def bh_qvalues(df: DataFrame, p: str = "p", by: Sequence[str] = (), tie: Sequence[str] = ()) -> DataFrame:
-    """q-values of the p-values that are not missing, within by."""
-    some = finite(p)
-    known = W.partitionBy(*by, some.isNotNull())
-    order = known.orderBy(p, *tie)
-    out = df.withColumns({"__i": F.row_number().over(order), "__m": F.count(some).over(known)}).withColumn("__raw", some * F.col("__m") / F.col("__i"))
-    least = F.min("__raw").over(known.orderBy(F.desc("__i")).rowsBetween(W.unboundedPreceding, 0))
-    return out.withColumn("q", F.when(some.isNotNull(), F.least(F.lit(1.0), least))).drop("__i", "__m", "__raw")
+def bh_qvalues(df: DataFrame, p: str = "p", by: Sequence[str] = (), parts: int = 64) -> DataFrame:
+    """q-values of the p-values that are not missing, within by.
+
+    Equal p-values share one q, so different ones are counted first, and ranked within
+    ``parts`` ranges of them; what lies before and after a range comes from sums and least
+    values of whole ranges, a few rows for each group.
+    """
+    keys = ["__by"]
+    group = F.struct(*by) if by else F.lit(0)  # structs with null fields are equal
+    each = df.select(group.alias("__by"), finite(p).alias("__p")).where("__p IS NOT NULL").groupBy(*keys, "__p").agg(F.count("*").alias("__n"))
+    bounds = each.approxQuantile("__p", [k / parts for k in range(1, parts)], 0.5 / parts) if parts > 1 else []
+    ranged = each.withColumn("__part", F.size(F.filter(F.array(*(F.lit(float(x)) for x in sorted(set(bounds)))).cast("array<double>"), lambda x: x < F.col("__p"))))
+    ahead = W.partitionBy(*keys).orderBy("__part")
+    sums = ranged.groupBy(*keys, "__part").agg(F.sum("__n").alias("__in"))
+    sums = sums.withColumns({"__before": F.coalesce(F.sum("__in").over(ahead.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "__m": F.sum("__in").over(W.partitionBy(*keys))}).drop("__in")
+    inside = W.partitionBy(*keys, "__part")
+    rank = F.col("__before") + F.sum("__n").over(inside.orderBy("__p"))
+    on = [*keys, "__part"]
+    raw = ranged.join(sums, on).withColumn("__raw", F.col("__p") * F.col("__m") / rank)
+    low = raw.groupBy(*on).agg(F.min("__raw").alias("__low"))
+    later = low.select(*on, F.min("__low").over(W.partitionBy(*keys).orderBy(F.desc("__part")).rowsBetween(W.unboundedPreceding, -1)).alias("__later"))
+    least = F.min("__raw").over(inside.orderBy(F.desc("__p")))
+    q = raw.join(later, on).select(*keys, "__p", F.least(F.lit(1.0), least, F.coalesce("__later", F.lit(1.0))).alias("q"))
+    return df.drop("q").join(q, (finite(p) == F.col("__p")) & (group == F.col("__by")), "left").drop("__p", *keys)
 
 
 def permutation_eta(wide: DataFrame, columns: Sequence[str], label: str, by: Sequence[str] = (), n: int = 999, seed: int = 0) -> DataFrame:
@@ -227,18 +243,41 @@ def one_se(scores: DataFrame, score: str, se: str, k: str = "k", gate: str | Non
     return near.withColumn("__r", F.row_number().over(w.orderBy(k))).where("__r = 1").drop("__r", "__b")
 
 
-def silhouette(vectors: DataFrame, id: str, vector: str, label: str) -> DataFrame:
+def silhouette(vectors: DataFrame, id: str, vector: str, label: str, block: int = 4_096) -> DataFrame:
     """Per row and label the Euclidean silhouette, from mean distances to every label.
 
-    Rows meet label by label in blocks of the hash of their ids, so pairs are made and
-    summed piece by piece; the work is quadratic in rows, as the measure is.
+    Rows are dealt to blocks, each block goes to every other once, and a task gets the sums
+    of distances of one block's rows to the labels of another's from one matrix product: the
+    work is quadratic in rows, as the measure is, but what is sent is a row a block.
     """
-    from ..functions.vectors import distance
-
-    a = vectors.select(F.col(id).alias("i"), F.col(vector).alias("x"), F.col(label).alias("l"))
-    b = vectors.select(F.col(id).alias("j"), F.col(vector).alias("y"), F.col(label).alias("m"))
-    sums = a.crossJoin(b).where("i <> j").groupBy("i", "l", "m").agg(F.avg(distance(F.col("x"), F.col("y"))).alias("d"))
-    out = sums.groupBy("i", "l").agg(F.max(F.when(F.col("l") == F.col("m"), F.col("d"))).alias("a"), F.min(F.when(F.col("l") != F.col("m"), F.col("d"))).alias("b"))
+    kind, mark = (vectors.schema[c].dataType.simpleString() for c in (id, label))
+    blocks = int(vectors.count() // block + 1)
+    at = F.pmod(F.xxhash64(F.col(id)), F.lit(blocks)).cast("int")
+    base = vectors.select(F.col(id).alias("i"), F.transform(vector, lambda x: x.cast("double")).alias("x"), F.col(label).alias("l"), at.alias("at"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = base.withColumn("other", every).withColumn("cell", F.col("at") * blocks + F.col("other")).select("cell", "i", "x", "l")
+    right = base.withColumn("other", every).withColumn("cell", F.col("other") * blocks + F.col("at")).select("cell", "i", "x", "l")
+
+    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names = ["i", "l", "m", "s", "n"]
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=names)
+        x, y = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
+        middle = y.mean(axis=0)
+        x, y = x - middle, y - middle
+        d = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T, 0))
+        same = a["i"].to_numpy()[:, None] == b["i"].to_numpy()[None, :]
+        d[same] = 0.0
+        codes, labels = pd.factorize(b["l"])
+        out = []
+        for k, m in enumerate(labels):
+            of = codes == k
+            out.append(pd.DataFrame({"i": a["i"], "l": a["l"], "m": m, "s": d[:, of].sum(axis=1), "n": (~same[:, of]).sum(axis=1)}))
+        return pd.concat(out, ignore_index=True)[names]
+
+    met = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(sums, f"i {kind}, l {mark}, m {mark}, s double, n long")
+    mean = met.groupBy("i", "l", "m").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("d"))
+    out = mean.groupBy("i", "l").agg(F.max(F.when(F.col("l") == F.col("m"), F.col("d"))).alias("a"), F.min(F.when(F.col("l") != F.col("m"), F.col("d"))).alias("b"))
     s = F.when(F.col("a").isNull(), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return out.select(F.col("i").alias(id), F.col("l").alias(label), s.alias("silhouette"))
 

@@ -30,7 +30,7 @@ def geometry_contrast(frames: DataFrame, guest: str, columns: Sequence[str], key
     base = frames.withColumn("__occ", (F.coalesce(F.col(guest), F.lit(0)) >= 1).cast("double"))
     long = base.unpivot([key, cohort, "frame", "__occ"], list(columns), "feature", "value").withColumn("value", finite("value"))
     per = long.groupBy(cohort, "feature", key).agg((F.avg(F.when(F.col("__occ") == 1, F.col("value"))) - F.avg(F.when(F.col("__occ") == 0, F.col("value")))).alias("difference")).where("difference IS NOT NULL")
-    tests = statistics.bh_qvalues(statistics.signed_rank(per, "difference", [cohort, "feature"]), "p", [cohort], ["feature"])
+    tests = statistics.bh_qvalues(statistics.signed_rank(per, "difference", [cohort, "feature"]), "p", [cohort])
     fit = statistics.least_squares(long, "value", ["__occ", "frame"], [cohort, "feature"]).select(cohort, "feature", F.col("b___occ").alias("occupancy_effect"), F.col("b_frame").alias("time_trend"))
     return tests.join(fit, [cohort, "feature"], "left")
 

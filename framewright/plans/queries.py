@@ -518,7 +518,7 @@ SELECT p_partkey, round(least(1, min(p * m / i) OVER (ORDER BY i DESC ROWS BETWE
 )
 def bh_qvalues(spark, d):
     p = t(spark, d, "part").select("p_partkey", ((F.col("p_partkey") * 37 % 1000 + 1) / 1001).alias("p"))
-    return S.bh_qvalues(p, "p", tie=["p_partkey"]).select("p_partkey", r("q").alias("q"))
+    return S.bh_qvalues(p, "p").select("p_partkey", r("q").alias("q"))
 
 
 @query(

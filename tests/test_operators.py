@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import clean, groups, labels, time, vectors
 from framewright.operators import aggregates, attribution, changepoints, clustering, geometry, joins, scoring, statistics, windows
+from framewright.operators.groups import each_group
 from framewright.plans.passes import standard
 from framewright.plans.pipeline import Analysis
 from framewright.plans.registry import Operator, Parameter, Registry, Session
@@ -331,6 +332,57 @@ def test_select_frames_against_plain(spark):
         assert {r.frame for r in got} == chosen and {r.frame for r in got if r.must} == must
 
 
+def test_bh_qvalues(spark):
+    """Against the plain step-up, in groups and without, with ties and missing values, in few and many ranges."""
+    rng = np.random.default_rng(4)
+    rows = [(k, "ab"[k % 2] if k % 11 else None, float(rng.choice([0.001, 0.02, 1.0, rng.random()])) if k % 7 else float("nan")) for k in range(200)]
+    df = spark.createDataFrame(rows, "id int, g string, p double").repartition(3)
+
+    def plain(some):
+        some = sorted((p, k) for k, p in some if p == p)
+        q, least = {}, 1.0
+        for i in range(len(some), 0, -1):
+            least = min(least, some[i - 1][0] * len(some) / i)
+            q[some[i - 1][1]] = least
+        return q
+
+    for parts in (1, 5, 64):
+        got = {r.id: r.q for r in statistics.bh_qvalues(df, "p", parts=parts).collect()}
+        want = plain([(k, p) for k, _, p in rows])
+        assert all(abs(got[k] - want[k]) < 1e-12 if k in want else got[k] is None for k in got) and len(got) == 200
+        got = {r.id: r.q for r in statistics.bh_qvalues(df, "p", ["g"], parts).collect()}
+        want = {k: q for g in ("a", "b", None) for k, q in plain([(k, p) for k, x, p in rows if x == g]).items()}
+        assert all(abs(got[k] - want[k]) < 1e-12 if k in want else got[k] is None for k in got) and len(got) == 200
+
+
+def test_silhouette_in_blocks(spark):
+    rng = np.random.default_rng(9)
+    x, l = rng.normal(size=(90, 5)), rng.integers(0, 4, 90)
+    l[7] = 9
+    df = spark.createDataFrame([(k, x[k].tolist(), int(l[k])) for k in range(90)], "id int, x array<double>, l int")
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    for block in (7, 4096):
+        for r in statistics.silhouette(df, "id", "x", "l", block).collect():
+            own = [j for j in range(90) if l[j] == l[r.id] and j != r.id]
+            b = min(d[r.id, l == m].mean() for m in set(l.tolist()) - {l[r.id]})
+            a = d[r.id, own].mean() if own else None
+            assert abs(r.silhouette - (0.0 if a is None else (b - a) / max(a, b))) < 1e-9
+
+
+def test_each_group(spark):
+    """Groups come whole and in order, however batches cut them; null keys are a group."""
+    rows = [(k % 13 if k % 13 else None, "xy"[k % 2], k) for k in range(4000)]
+    df = spark.createDataFrame(rows, "a int, b string, v int").repartition(6)
+    one = lambda pdf: pd.DataFrame([(pdf["a"].iloc[0], pdf["b"].iloc[0], len(pdf), bool((pdf["v"].diff().dropna() > 0).all()), int(pdf["v"].sum()))], columns=["a", "b", "n", "ordered", "total"])
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("1", "37", "100000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = {(r.a, r.b): r for r in each_group(df, ["a", "b"], ["v"], one, "a int, b string, n long, ordered boolean, total long").collect()}
+        assert len(got) == 26 and all(r.ordered for r in got.values())
+        assert {k: (r.n, r.total) for k, r in got.items()} == {(a, b): (len(v), sum(v)) for a in [None, *range(1, 13)] for b in "xy" for v in [[z for x, y, z in rows if (x, y) == (a, b)]]}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
 def test_registry(spark):
     reg = Registry()
 
