@@ -290,21 +290,49 @@ def band_match_candidates(spark, d):
     return joins.band_join(ev.where("event_type = 'click'").select("user_id", F.col("frame").alias("at_a")), ev.where("event_type = 'purchase'").select("user_id", F.col("frame").alias("at_b")), ["user_id"], "at_a", "at_b", 3)
 
 
-@query()
+# One row per candidate, nearest first; each is taken if both its ends are free: what is taken is carried along in lists.
+GREEDY = """c AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY distance, least(at_a, at_b), greatest(at_a, at_b), at_a) AS k FROM cand),
+walk AS (SELECT DISTINCT g, 0::BIGINT AS k, []::BIGINT[] AS ua, []::BIGINT[] AS ub, NULL::BIGINT AS at_a, NULL::BIGINT AS at_b, NULL::BIGINT AS distance, false AS taken FROM c
+ UNION ALL SELECT g, k, CASE WHEN ok THEN list_append(ua, at_a) ELSE ua END, CASE WHEN ok THEN list_append(ub, at_b) ELSE ub END, at_a, at_b, distance, ok
+ FROM (SELECT w.g, c.k, w.ua, w.ub, c.at_a, c.at_b, c.distance, NOT list_contains(w.ua, c.at_a) AND NOT list_contains(w.ub, c.at_b) AS ok FROM walk w JOIN c ON c.g = w.g AND c.k = w.k + 1) AS step),
+met AS (SELECT g, at_a, at_b, distance FROM walk WHERE taken)"""
+
+
+@query(
+    f"""WITH RECURSIVE {EV}, cand AS (SELECT a.user_id AS g, a.frame::BIGINT AS at_a, b.frame::BIGINT AS at_b, abs(a.frame - b.frame)::BIGINT AS distance FROM ev a JOIN ev b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND abs(a.frame - b.frame) <= 3),
+{GREEDY} SELECT g AS user_id, at_a, at_b, distance FROM met"""
+)
 def greedy_match(spark, d):
     return joins.greedy_match(band_match_candidates(spark, d), ["user_id"], "at_a", "at_b")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {EV}, n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL),
+cand AS (SELECT a.user_id || '|' || a.event_type || '|' || b.event_type AS g, a.frame::BIGINT AS at_a, b.frame::BIGINT AS at_b, abs(a.frame - b.frame)::BIGINT AS distance FROM ev a JOIN ev b ON a.user_id = b.user_id AND a.event_type < b.event_type AND abs(a.frame - b.frame) <= 2),
+{GREEDY}, s AS (SELECT g, count(*) AS n FROM met GROUP BY 1)
+SELECT a.user_id::VARCHAR AS traj_id, a.event_type AS group_a, b.event_type AS group_b, a.n AS n_a, b.n AS n_b, coalesce(s.n, 0) AS n_shared, round(coalesce(s.n, 0) / (a.n + b.n - coalesce(s.n, 0)), 6) AS jaccard
+FROM n a JOIN n b ON a.user_id = b.user_id AND a.event_type < b.event_type LEFT JOIN s ON s.g = a.user_id || '|' || a.event_type || '|' || b.event_type"""
+)
 def timing_comparison(spark, d):
     ev = frames(spark, d).select(F.col("user_id").cast("string").alias("traj_id"), F.col("event_type").alias("grp"), "frame")
-    return joins.compare_timing(ev, ev.select("traj_id", "grp").distinct(), 2)
+    return joins.compare_timing(ev, ev.select("traj_id", "grp").distinct(), 2).withColumn("jaccard", r("jaccard"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {EV}, a AS (SELECT user_id, frame, row_number() OVER (PARTITION BY user_id ORDER BY frame) AS k FROM ev WHERE event_type = 'click'),
+b AS (SELECT user_id, list(frame ORDER BY frame) AS free FROM ev WHERE event_type = 'purchase' GROUP BY 1),
+who AS (SELECT user_id FROM a UNION SELECT user_id FROM b),
+walk AS (SELECT who.user_id, 0::BIGINT AS k, coalesce(free, []::BIGINT[]) AS free, 0::BIGINT AS n FROM who LEFT JOIN b USING (user_id)
+ UNION ALL SELECT user_id, k, CASE WHEN ok THEN list_filter(free, lambda x: x <> near['x']) ELSE free END, n + ok::BIGINT
+ FROM (SELECT *, coalesce(near['d'] <= 2, false) AS ok FROM (SELECT w.user_id, a.k, w.free, w.n, list_sort(list_transform(w.free, lambda x: {{'d': abs(x - a.frame), 'x': x}}))[1] AS near FROM walk w JOIN a ON a.user_id = w.user_id AND a.k = w.k + 1) AS one) AS step),
+m AS (SELECT user_id, max(n) AS n FROM walk GROUP BY 1), na AS (SELECT user_id, count(*) AS n FROM a GROUP BY 1), nb AS (SELECT user_id, len(free) AS n FROM b),
+x AS (SELECT user_id, coalesce(na.n, 0) AS a, coalesce(nb.n, 0) AS b, m.n AS m, m.n / nullif(coalesce(nb.n, 0), 0) AS p, m.n / nullif(coalesce(na.n, 0), 0) AS r FROM m LEFT JOIN na USING (user_id) LEFT JOIN nb USING (user_id))
+SELECT user_id::VARCHAR AS traj_id, a::BIGINT AS n_boundaries, b::BIGINT AS n_breakpoints, m::BIGINT AS n_matched, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p IS NULL OR r IS NULL THEN NULL WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM x"""
+)
 def boundary_f1(spark, d):
     ev = frames(spark, d).withColumn("traj_id", F.col("user_id").cast("string")).withColumn("time_ps", F.col("frame").cast("double"))
-    return joins.match_boundaries(ev.where("event_type = 'click'"), ev.where("event_type = 'purchase'"), tolerance=2.0)
+    out = joins.match_boundaries(ev.where("event_type = 'click'"), ev.where("event_type = 'purchase'"), tolerance=2.0)
+    return out.withColumns({c: r(c) for c in ("precision", "recall", "f1")})
 
 
 @query()
@@ -667,14 +695,17 @@ def group_contacts(spark, d):
     return geometry.contacts(p, "label", 0.1, 20, ["f"]).select("i", "j", "contacts", r("min_distance").alias("min_distance"), "active")
 
 
-@query(f"WITH {POINTS}, m AS (SELECT label, covar_pop(x, y) AS v FROM p GROUP BY 1) SELECT label, round(sqrt(var_pop(x) + var_pop(y) + var_pop(z)), 6) AS rg FROM p GROUP BY 1")
-def gyration_shape(spark, d):
-    return geometry.shapes(points(spark, d), ["label"]).select("label", r("rg").alias("rg"))
-
-
-@query()
+@query(
+    f"""WITH {POINTS}, c AS (SELECT label, var_pop(x) AS a, var_pop(y) AS b, var_pop(z) AS c, covar_pop(x, y) AS d, covar_pop(x, z) AS e, covar_pop(y, z) AS f FROM p GROUP BY 1),
+q AS (SELECT *, (a + b + c) / 3 AS m, sqrt(((a - (a + b + c) / 3) ^ 2 + (b - (a + b + c) / 3) ^ 2 + (c - (a + b + c) / 3) ^ 2 + 2 * (d * d + e * e + f * f)) / 6) AS s FROM c),
+h AS (SELECT *, acos(greatest(-1, least(1, ((a - m) * ((b - m) * (c - m) - f * f) - d * (d * (c - m) - f * e) + e * (d * f - (b - m) * e)) / (2 * s ^ 3)))) / 3 AS phi FROM q),
+l AS (SELECT label, m + 2 * s * cos(phi + 2 * pi() / 3) AS l1, 3 * m - (m + 2 * s * cos(phi)) - (m + 2 * s * cos(phi + 2 * pi() / 3)) AS l2, m + 2 * s * cos(phi) AS l3 FROM h)
+SELECT label, round(sqrt(l1 + l2 + l3), 6) AS rg, round(l1, 6) AS eig_1, round(l2, 6) AS eig_2, round(l3, 6) AS eig_3, round(l3 - (l1 + l2) / 2, 6) AS asphericity, round(l2 - l1, 6) AS acylindricity,
+ round(((l3 - (l1 + l2) / 2) ^ 2 + 0.75 * (l2 - l1) ^ 2) / (l1 + l2 + l3) ^ 2, 6) AS anisotropy FROM l"""
+)
 def shape_descriptors(spark, d):
-    return geometry.shapes(points(spark, d), ["label"])
+    out = geometry.shapes(points(spark, d), ["label"])
+    return out.select("label", *(r(c).alias(c) for c in ("rg", "eig_1", "eig_2", "eig_3", "asphericity", "acylindricity", "anisotropy")))
 
 
 @query()
@@ -690,7 +721,12 @@ def hungarian(spark, d):
     return geometry.lock_pairs(cost, ["g"])
 
 
-@query()
+@query(
+    f"""WITH {POINTS}, a AS (SELECT label, 10 * x AS x, 10 * y AS y, 10 * z AS z FROM p),
+i AS (SELECT *, unnest(range(floor(x - 1.7)::BIGINT, ceil(x + 1.7)::BIGINT + 1)) AS i FROM a), j AS (SELECT *, unnest(range(floor(y - 1.7)::BIGINT, ceil(y + 1.7)::BIGINT + 1)) AS j FROM i),
+k AS (SELECT *, unnest(range(floor(z - 1.7)::BIGINT, ceil(z + 1.7)::BIGINT + 1)) AS k FROM j)
+SELECT label AS frame, 'a' AS traj_id, count(DISTINCT (i, j, k))::DOUBLE AS volume FROM k WHERE (i - x) ^ 2 + (j - y) ^ 2 + (k - z) ^ 2 <= 1.7 * 1.7 GROUP BY 1"""
+)
 def voxel_volumes(spark, d):
     p = points(spark, d).select(F.col("label").alias("frame"), F.lit("a").alias("traj_id"), *((10 * F.col(a)).alias(a) for a in "xyz"), F.lit("C").alias("element"))
     return geometry.voxel_volume(p, 1.0)
@@ -700,15 +736,19 @@ def voxel_volumes(spark, d):
 
 
 @query(
-    """SELECT p_partkey, regexp_extract(p_name, '^(\\w+) (\\w+)$', 1) AS a, regexp_extract(p_name, '^(\\w+) (\\w+)$', 2) AS b, regexp_extract(p_brand, '#(\\d+)$', 1)::INT AS n FROM part"""
+    r"""WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'rg' ELSE 'endpoint_dist_' || (p_partkey % 6) || 's' || (p_size % 9) || '_' || (p_partkey % 5) || 's' || p_size END AS name, CASE p_partkey % 3 WHEN 0 THEN 'BHHpH_' WHEN 1 THEN 'BMMpM_' ELSE '' END AS c FROM part),
+k AS (SELECT p_partkey, c, regexp_extract(name, '^endpoint_dist_(\d+)s(\d+)_(\d+)s(\d+)$', ['i', 'a', 'j', 'b']) AS g FROM n)
+SELECT p_partkey, try_cast(g.i AS INT) AS mon_i, try_cast(g.a AS INT) AS site_a, try_cast(g.j AS INT) AS mon_j, try_cast(g.b AS INT) AS site_b, CASE WHEN g.i <> '' THEN 'M' || g.i || 'S' || g.a || '-M' || g.j || 'S' || g.b END AS label,
+ 'run' || p_partkey AS series, nullif(rtrim(c, '_'), '') AS cohort FROM k"""
 )
 def label_regex_parse(spark, d):
-    return t(spark, d, "part").select("p_partkey", *(F.regexp_extract("p_name", r"^(\w+) (\w+)$", k).alias(n) for k, n in ((1, "a"), (2, "b"))), F.regexp_extract("p_brand", r"#(\d+)$", 1).cast("int").alias("n"))
-
-
-@query("SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events")
-def json_props(spark, d):
-    return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    name = F.when(key % 4 == 0, "rg").otherwise(F.concat(F.lit("endpoint_dist_"), key % 6, F.lit("s"), size % 9, F.lit("_"), key % 5, F.lit("s"), size))
+    run = F.concat(F.when(key % 3 == 0, "BHHpH_").when(key % 3 == 1, "BMMpM_").otherwise(""), F.lit("run"), key, F.lit("_gsa_features"))
+    p = t(spark, d, "part").select(key, labels.pair_key(name).alias("pair"), run.alias("run"))
+    parts = [F.col(f"pair.{c}") for c in ("mon_i", "site_a", "mon_j", "site_b")]
+    label = F.when(F.col("pair").isNotNull(), labels.pair_label(*parts))
+    return p.select("p_partkey", *parts, label.alias("label"), labels.series_id(F.col("run")).alias("series"), labels.cohort(F.col("run")).alias("cohort"))
 
 
 @query(
@@ -743,10 +783,19 @@ def guest_score(spark, d):
     return s.select("run", r(scoring.guest_score(F.col("e"), F.col("x"), F.col("i"), F.lit(300000.0), F.col("o"))).alias("score"))
 
 
-@query()
+@query(
+    """WITH o AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'O') AS e, count(*) FILTER (o_orderstatus = 'F') AS x, avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s, max(o_totalprice) - min(o_totalprice) AS w, count(*) AS n FROM orders GROUP BY 1),
+p AS (SELECT *, least(1, CASE WHEN e > 0 THEN 0.3 + 0.2 * (1 - exp(-0.3 * e)) ELSE 0 END + CASE WHEN e > 1 THEN 0.15 * (1 - exp(-0.2 * (e - 1))) ELSE 0 END
+  + CASE WHEN e > 0 AND x > 0 THEN CASE WHEN e > x THEN 0.25 * (1 + (e - x) / e) * e / (e + x) WHEN e = x THEN 0.15 * e / (e + x) ELSE 0.05 * e / (e + x) END ELSE 0 END) AS g,
+ least(1, 0.2 + 0.2 * (1 + tanh(2 * (100 * w / m / 10 - 0.5))) + 0.4 * exp(-(((s / m - 0.1) / 0.15) ^ 2))) AS v,
+ least(1, 0.15 + 0.5 * (n / 50) ^ 1.5 + 0.25 * ln(3) / ln(10) + 0.1 * (n / 100) ^ 1.2) AS c,
+ CASE WHEN n > 1 THEN least(1, 0.25 + CASE WHEN s / m >= 0.2 THEN 0.5 + 0.2 * least(1, (s / m - 0.2) / 0.3) WHEN s / m > 0.05 THEN 0.3 + 0.2 * (s / m - 0.05) / 0.15 ELSE 0.1 + 0.2 * (s / m) / 0.05 END) ELSE 0 END AS t FROM o),
+q AS (SELECT *, 0.3 * g + 0.25 * v + 0.25 * c + 0.2 * t AS a FROM p)
+SELECT o_custkey, round(g, 6) AS guest_score, round(v, 6) AS volume_score, round(c, 6) AS correlation_score, round(t, 6) AS structure_score, round(CASE WHEN a > 0.5 THEN least(1, a + 0.08 * (a - 0.5) ^ 1.5) ELSE a END, 6) AS overall_score, true AS is_valid FROM q"""
+)
 def run_scores(spark, d):
     o = t(spark, d, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "O").alias("n_entries"), F.count_if(F.col("o_orderstatus") == "F").alias("n_exits"), F.avg("o_totalprice").alias("volume_mean"), F.stddev_pop("o_totalprice").alias("volume_std"), (F.max("o_totalprice") - F.min("o_totalprice")).alias("volume_range"), (F.count("*") / 50).alias("r_max"), (F.count("*") / 100).alias("r_mean"), F.lit(2).alias("n_strong"), (F.stddev_pop("o_totalprice") / F.avg("o_totalprice")).alias("dist_cv"), F.count("*").alias("n_dist"))
-    return scoring.score_runs(o)
+    return scoring.score_runs(o).select("o_custkey", *(r(c).alias(c) for c in ("guest_score", "volume_score", "correlation_score", "structure_score", "overall_score")), "is_valid")
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -754,9 +803,15 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return scoring.score_frames(windows.number_frames(e, "traj_id", ["vec_id"]))
 
 
-@query()
+@query(
+    """WITH e AS (SELECT label::VARCHAR AS traj_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, embedding[4]::DOUBLE AS rmsd, embedding[5]::DOUBLE AS rg FROM embeddings),
+g AS (SELECT *, abs(CASE WHEN lead(rmsd) OVER o IS NOT NULL AND lag(rmsd) OVER o IS NOT NULL THEN (lead(rmsd) OVER o - lag(rmsd) OVER o) / 2 WHEN lead(rmsd) OVER o IS NOT NULL THEN lead(rmsd) OVER o - rmsd WHEN lag(rmsd) OVER o IS NOT NULL THEN rmsd - lag(rmsd) OVER o ELSE 0 END) AS g FROM e WINDOW o AS (PARTITION BY traj_id ORDER BY frame)),
+p AS (SELECT traj_id, avg(v) AS m, stddev_pop(v) AS s FROM (SELECT traj_id, unnest([a, b, c]) AS v FROM e) GROUP BY 1),
+z AS (SELECT g.traj_id, frame, a, b, c, m, s, CASE WHEN stddev_pop(g) OVER w = 0 THEN 0 ELSE (g - avg(g) OVER w) / stddev_pop(g) OVER w END AS zg, CASE WHEN stddev_pop(rg) OVER w = 0 THEN 0 ELSE abs((rg - avg(rg) OVER w) / stddev_pop(rg) OVER w) END AS zr FROM g JOIN p USING (traj_id) WINDOW w AS (PARTITION BY traj_id))
+SELECT traj_id, frame::BIGINT AS frame, round(0.35 * greatest(abs((a - m) / s), abs((b - m) / s), abs((c - m) / s)) + 0.2 * zg + 0.35 * zr, 5) AS score FROM z"""
+)
 def frame_scores(spark, d):
-    return _scored(spark, d).select("traj_id", "frame", "score")
+    return _scored(spark, d).select("traj_id", F.col("frame").cast("long").alias("frame"), r("score", 5).alias("score"))
 
 
 @query()
