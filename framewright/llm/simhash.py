@@ -419,9 +419,11 @@ def wide_links(documents: DataFrame, rows: DataFrame, key: str, linked: DataFram
     n = texts.count()
     roots = cut(components(linked))
     root = F.coalesce("root", "fp").alias("root")
-    each = texts.join(roots, texts.fp == roots.node, "left").select("key", "fp", "size", root, "bands", F.posexplode("bands").alias("at", "value"))
+    each = texts.join(roots, texts.fp == roots.node, "left").select("key", root, F.posexplode("bands").alias("at", "value"))
     apart = lambda rows: rows.groupBy("value").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("value")
-    met = cut(each.join(apart(each), "value").select("value", "key", "fp", "size", F.slice("bands", F.lit(1), F.col("at")).alias("before")))
+    shared = cut(each.select("key", "at", "value").join(apart(each), "value"))
+    # What few texts that share a bucket with others need is joined to them alone.
+    met = cut(shared.join(texts, "key").select("value", "key", "fp", "size", F.slice("bands", F.lit(1), F.col("at")).alias("before")))
     some = met.select("key").distinct()
     known = cut(shingle_sets(documents.join(some, documents[key] == some["key"], "left_semi"), key))
     lone = known.select("key", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1")
