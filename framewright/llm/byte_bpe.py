@@ -40,9 +40,9 @@ class Merges:
         self.ranks = np.array([pairs.get(int(k), -1) for k in self.keys], dtype=np.int64)
 
     @classmethod
-    def load(cls, path: str) -> Merges:
-        with open(path, "rb") as f:
-            return cls({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)})
+    def load(cls, lines: bytes) -> Merges:
+        """Of the bytes of a rank file."""
+        return cls({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines.splitlines())})
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The id that each pair merges into, or -1; a right of -1 is the end of a piece."""
@@ -138,8 +138,9 @@ def replay(merges: Merges, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]
 class Encoder:
     """Encodes texts by replaying merges over the distinct pieces of many texts at a time."""
 
-    def __init__(self, path: str, pattern: str):
-        self.merges, self.known = keep(("byte_bpe", path, pattern), lambda: (Merges.load(path), Memo(KEPT_PIECES)))
+    def __init__(self, path: str, read, pattern: str):
+        """path names the rank file that read() gives."""
+        self.merges, self.known = keep(("byte_bpe", path, pattern), lambda: (Merges.load(read()), Memo(KEPT_PIECES)))
         self.find = regex.compile(pattern).findall
 
     def _learn(self, new: list[str]) -> None:
@@ -164,11 +165,19 @@ class Encoder:
         return b"".join(map(self.merges.bytes_of.__getitem__, np.frombuffer(raw, dtype="<u4").tolist()))
 
 
+def sent(df: DataFrame, path: str):
+    """The bytes of a rank file, which the driver reads, for all workers: one file, whatever the input."""
+    with open(path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
+
+
 def encode_texts(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and ids (binary, little-endian unsigned 32-bit) of every row; a null text is empty and has no ids."""
 
+    ranks = sent(documents, path)
+
     def run(batches):
-        encoder = Encoder(path, pattern)
+        encoder = Encoder(path, lambda: ranks.value, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(encoder.encode(texts)), pa.binary())], names=["doc_id", "ids"])
@@ -179,8 +188,10 @@ def encode_texts(documents: DataFrame, path: str, pattern: str) -> DataFrame:
 def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and text (binary: the decoded bytes) of every row of ids; null ids decode to nothing."""
 
+    ranks = sent(encoded, path)
+
     def run(batches):
-        encoder = Encoder(path, pattern)
+        encoder = Encoder(path, lambda: ranks.value, pattern)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encoder.decode(x or b"") for x in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "text"])
 
@@ -195,8 +206,10 @@ def digest_texts(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     Returns doc_id, n_tokens, ids_sha256 and decoded_sha256.
     """
 
+    ranks = sent(documents, path)
+
     def run(batches):
-        encoder = Encoder(path, pattern)
+        encoder = Encoder(path, lambda: ranks.value, pattern)
         sha = hashlib.sha256
         for batch in batches:
             n, a, b = [], [], []

@@ -22,13 +22,14 @@ CLASSES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 512)
 NEAR = 0.97
 #: The id that ends each document.
 END_ID = 2
-#: The two special strings of the word vocabulary, ordinary text here.
-SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+#: The two special strings of the word vocabulary; where a text spells one, it is its one id, as the tokenizer's plain call has it.
+SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 #: Words whose ids a worker keeps, words that are encoded at once, and characters that are split at once.
 KEPT_WORDS, WORDS_AT_ONCE, CHARS_AT_ONCE = 400_000, 5_000, 4_000_000
 
 #: A sign after a letter; an apostrophe may belong to what follows and stays.
 _SIGN = re.compile(rb"(?<=[a-z])([^a-z0-9\s'\x80-\xff])")
+_SPECIAL = re.compile(b"(" + b"|".join(map(re.escape, SPECIAL)) + b")")
 
 
 class WordEncoder:
@@ -39,13 +40,13 @@ class WordEncoder:
     to its merges at once, as the signs that stand for its bytes; any other takes the whole way.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.joint, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        self.mark = self.joint.token_to_id(SPECIAL[0])
+        self.joint = Tokenizer.from_str(vocabulary)
+        self.special = {x: self.joint.token_to_id(x.decode()) for x in SPECIAL}
+        self.mark = self.special[SPECIAL[0]]
         self.merge = self.joint.model.tokenize
         letters = (chr(b) for b in range(0x80, 0x800))  # every byte of UTF-8 that letters beyond a-z begin or go on with
         level = ByteLevel(add_prefix_space=False, use_regex=False)
@@ -59,26 +60,34 @@ class WordEncoder:
         self.known = Memo(KEPT_WORDS)
 
     @staticmethod
-    def of(path: str) -> WordEncoder:
-        return keep(("words", path), lambda: WordEncoder(path))
+    def of(path: str, read) -> WordEncoder:
+        """The encoder of a vocabulary file that read() gives, made once in a worker."""
+        return keep(("words", path), lambda: WordEncoder(read()))
+
+    @staticmethod
+    def words(text: bytes) -> list[bytes]:
+        if b"<|" not in text or not _SPECIAL.search(text):
+            return _SIGN.sub(rb" \1", text.lower()).split()
+        return [w for part in _SPECIAL.split(text) for w in ([part] if part in SPECIAL else _SIGN.sub(rb" \1", part.lower()).split())]
 
     def _learn(self, words: list[bytes]) -> None:
         known, merge, rest = self.known.new, self.merge, []
         for word in words:
+            if word in self.special:
+                known[word] = array("I", [self.special[word]]).tobytes()
+                continue
             if word.isalpha():
                 known[word] = array("I", [t.id for t in merge(word.decode())]).tobytes()
                 continue
             text = word.decode()
             if text.isalpha() and text == text.lower() and is_normalized("NFC", text):
                 known[word] = array("I", [t.id for t in merge(word.decode("latin-1").translate(self.signs))]).tobytes()
-            elif SPECIAL[0] in text or SPECIAL[1] in text:
-                known[word] = np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
             else:
                 rest.append(word)
         for at in range(0, len(rest), WORDS_AT_ONCE):
             some = rest[at : at + WORDS_AT_ONCE]
             # A special token between the words keeps them apart and marks where each one's ids end.
-            ids = np.array(self.joint.encode_batch_fast([SPECIAL[0].join(w.decode() for w in some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.joint.encode_batch_fast([SPECIAL[0].decode().join(w.decode() for w in some)], add_special_tokens=False)[0].ids, dtype="<u4")
             raw, start = ids.tobytes(), 0
             for word, end in zip(some, [*(np.flatnonzero(ids == self.mark) * 4).tolist(), len(raw)]):
                 known[word] = raw[start:end]
@@ -87,7 +96,7 @@ class WordEncoder:
     def encode(self, texts: list[bytes]):
         """The ids of each text, given as UTF-8, as little-endian unsigned 32-bit integers."""
         for part in chunks(texts, CHARS_AT_ONCE):
-            split = [_SIGN.sub(rb" \1", t.lower()).split() for t in part]
+            split = [self.words(t) for t in part]
             if new := self.known.missing({w for words in split for w in words}):
                 self._learn(new)
             get = self.known.new.__getitem__
@@ -121,9 +130,11 @@ def pieces(documents: DataFrame, path: str, with_ids: bool = False) -> DataFrame
     local numbers the pieces of each class from 0 within the task that makes them.
     """
     end = np.array([END_ID], dtype="<u4").tobytes()
+    with open(path, encoding="utf-8") as f:
+        vocabulary = documents.sparkSession.sparkContext.broadcast(f.read())  # one file, whatever the input
 
     def run(batches):
-        encoder = WordEncoder.of(path)
+        encoder = WordEncoder.of(path, lambda: vocabulary.value)
         made = dict.fromkeys(CLASSES, 0)
         for batch in batches:
             source, rows, blobs = [], [], []
@@ -172,7 +183,8 @@ def harmonic_pack(documents: DataFrame, path: str, with_ids: bool = False) -> Da
     worker and class, not pieces, tell where its numbers begin, and number // class is
     the sequence. Only the last, incomplete sequence of each class is left, at most
     ``sum(CLASSES)`` pieces for any input, and first fit packs these. Repeated rows are
-    packed each; a null doc_id stays null; extra columns are ignored.
+    packed each; a null doc_id stays null; extra columns are ignored. A text that spells a
+    special string has its id there, and its own ids around it.
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset per piece.
     """
     spark: SparkSession = documents.sparkSession
