@@ -55,3 +55,9 @@ def matching_columns(df: DataFrame, pattern: str) -> list[str]:
 
 def summary_columns(bases: list[str]) -> list[str]:
     return [f"{b}_{s}" for b in bases for s in ("mean", "std")]
+
+
+def missing_groups(found: DataFrame, wanted: list[str], column: str = "grp") -> DataFrame:
+    """The groups that a table of results does not have yet."""
+    names = found.sparkSession.createDataFrame([(g,) for g in wanted], f"{column} string")
+    return names.join(found.select(column).distinct(), column, "left_anti")

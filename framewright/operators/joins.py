@@ -239,6 +239,34 @@ def without_guest(df: DataFrame, guest: str, mode: str = "frames", key: str = "t
     return df.join(free, key, "left_semi")
 
 
+def attach(left: DataFrame, right: DataFrame, on: Sequence[str], columns: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """left with columns of right: every row of left once, as right is cut to its first row per key; NULL where it has none."""
+    one = right.groupBy(*on).agg(*((F.min_by(F.struct(*columns), F.struct(*order)) if order else F.first(F.struct(*columns))).alias("__r"),))
+    out = left.join(one, list(on), "left")
+    for c in columns:
+        out = out.withColumn(c, F.col(f"__r.{c}"))
+    return out.drop("__r")
+
+
+def attach_open_counts(frames: DataFrame, counts: DataFrame, column: str = "n_open", key: str = "traj_id", frame: str = "frame") -> DataFrame:
+    """Frames with the number of open contacts of their series and frame; names of series are compared without cohort and suffix."""
+    from ..functions.labels import series_id
+
+    normal = lambda df: df.withColumn("__s", series_id(F.col(key)))
+    return attach(normal(frames), normal(counts), ["__s", frame], [column], [column]).drop("__s")
+
+
+def attach_occupancy(frames: DataFrame, features: DataFrame, column: str, key: Sequence[str] = ("traj_id", "frame")) -> DataFrame:
+    """Frames with the guest occupancy of the feature table, the first row of a frame that has several."""
+    return attach(frames, features, list(key), [column], [column])
+
+
+def attach_energies(table: DataFrame, energies: DataFrame, step: str = "step", key: Sequence[str] = ()) -> DataFrame:
+    """A feature table with the energies of its steps."""
+    names = [c for c in energies.columns if c not in (*key, step) and c not in table.columns]
+    return attach(table, energies, [*key, step], names, names)
+
+
 def compare_tables(reference: DataFrame, candidate: DataFrame, key: Sequence[str], rtol: float = 1e-6, atol: float = 1e-9) -> DataFrame:
     """A row per value column: rows that agree, that differ, and that only one side has."""
     columns = [c for c in reference.columns if c in candidate.columns and c not in key]

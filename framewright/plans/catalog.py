@@ -14,7 +14,7 @@ from ..functions import groups as G
 from ..operators import aggregates, attribution, clustering, geometry, joins, scoring, statistics, windows
 from ..schemas import numeric_columns
 from ..sources import sinks, tables, trajectories
-from . import guests, states, structures
+from . import guests, metastable, rescoring, states, structures
 from .passes import standard
 from .pipeline import Analysis
 from .registry import Parameter, Registry, Session
@@ -403,6 +403,64 @@ def assembly_qc(s, spread, component, most, least):
     return {"qc": qc, "features": joins.without_series(s.values["features"], qc.where("failed"))}
 
 
+COHORT = P("by", "array", "columns that tell cohorts apart")
+
+
+@op("select_chemical_k", ("chemical_scan",), ("chemical_k_selected",), (), "changepoint")
+def chemical_k(s):
+    """The k that chemistry tells apart best."""
+    return {"chemical_k_selected": metastable.select_chemical_k(s.values["chemical_scan"])}
+
+
+@op("rank_metastable_structures", ("labelled_frames", "clusters"), ("structure_ranking",), (P("grp", required=True),), "changepoint")
+def rank_structures(s, grp):
+    """Structures by their share of frames."""
+    return {"structure_ranking": metastable.rank_structures(s.values["labelled_frames"], s.values["clusters"].where(F.col("grp") == grp))}
+
+
+@op("summarize_metastable_structures", ("structure_ranking", "cluster_profiles", "replica_audit", "cluster_mixtures"), ("structure_summary",), (), "changepoint")
+def summarize_structures(s):
+    """One row per structure: rank, name, share, lifetimes, doubts."""
+    v = s.values
+    return {"structure_summary": metastable.summarize_structures(v["structure_ranking"], v["cluster_profiles"], v["replica_audit"], v["cluster_mixtures"])}
+
+
+@op("run_metastable_pipeline", ("features", "segments", "segment_cuts"), ("k_selected", "structure_summary"), (P("grp", required=True), P("columns", "array", required=True), P("structure", required=True), P("edges", "array", required=True), P("poles", "array", required=True), P("draws", "integer", default=500)), "changepoint")
+def metastable_run(s, grp, columns, structure, edges, poles, draws):
+    """From segments and their cuts to ranked, named structures."""
+    seg = s.values["segments"].where(F.col("grp") == grp)
+    cuts = s.values["segment_cuts"].where(F.col("grp") == grp).drop("grp")
+    return metastable.run(s.values["features"], seg, cuts, [c for c in seg.columns if c.endswith("_mean")], list(columns), structure, list(edges), list(poles), draws)
+
+
+@op("run_gsa_step1_cluster_k", ("segments",), ("cohort_cuts", "silhouette_peaks", "k_splits", "segment_dynamics"), (COHORT, P("k_from", "integer", default=5), P("k_to", "integer", default=6)), "changepoint")
+def cohort_clusters(s, by, k_from, k_to):
+    """Cuts of every cohort's segments at every k, cohorts beside each other, and what speaks for one k."""
+    by, seg = list(by or ["grp"]), s.values["segments"]
+    matrix = clustering.feature_matrix(seg, [c for c in seg.columns if c.endswith(("_mean", "_std"))], by)
+    cuts = clustering.cuts(matrix, ["traj_id", "segment_id"], by)
+    return {"cohort_cuts": cuts} | metastable.compare_cluster_k(cuts, seg, k_from, k_to, by)
+
+
+@op("compare_endpoint_cluster_k", ("segment_cuts", "segments"), ("silhouette_peaks", "k_splits", "segment_dynamics"), (COHORT, P("k_from", "integer", default=5), P("k_to", "integer", default=6)), "changepoint")
+def compare_k(s, by, k_from, k_to):
+    """What speaks for one k or the next."""
+    return metastable.compare_cluster_k(s.values["segment_cuts"], s.values["segments"], k_from, k_to, list(by or ["grp"]))
+
+
+@op("compare_endpoint_clusters_across_cohorts", ("clusters",), ("cohort_clusters",), (COHORT, P("proxies", "array")), "changepoint")
+def compare_cohorts(s, by, proxies):
+    """Clusters of all cohorts side by side."""
+    c = s.values["clusters"]
+    return {"cohort_clusters": metastable.compare_across_cohorts(c, list(proxies) if proxies else [x for x in c.columns if x.endswith("_mean")], list(by or ["grp"]))}
+
+
+@op("check_cage_symmetry", ("molecules",), ("cage_symmetry",), (P("permutations", "array", required=True), P("most", "number", "largest mean distance", 1.0)), "changepoint")
+def check_symmetry(s, permutations, most):
+    """Relabellings of molecules that a cage admits."""
+    return {"cage_symmetry": metastable.cage_symmetry(s.values["molecules"], permutations, float(most))}
+
+
 # ---- states, selection, scores
 
 
@@ -434,6 +492,13 @@ def score_simulation(s, require_entry, least_pct):
     return {"simulation_score": scoring.score_runs(s.values["run_summaries"], require_entry, float(least_pct))}
 
 
+@op("rescore_simulations", ("run_summaries",), ("simulation_score",), (P("require_entry", "boolean", default=False), P("least_pct", "number", default=10.0)), "scoring")
+def rescore(s, require_entry, least_pct):
+    """Runs scored anew from stored numbers and whatever side tables there are."""
+    sides = {name: s.values[f"run_{name}"] for name in ("volumes", "correlations", "distances", "guests") if f"run_{name}" in s.values}
+    return {"simulation_score": rescoring.rescore(s.values["run_summaries"], require_entry, float(least_pct), **sides)}
+
+
 @op("list_annotation_replicas", ("handoffs",), ("annotation_replicas",), (), "changepoint")
 def annotation_replicas(s):
     """Series that show one clean leaving of a tight state."""

@@ -31,6 +31,50 @@ def write_tables(tables: dict[str, DataFrame], folder: str, by_series: bool = Tr
             df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def write_cuts(segments: DataFrame, cuts: DataFrame, folder: str, key: Sequence[str] = ("traj_id", "segment_id"), by: Sequence[str] = ("grp",)) -> None:
+    """What to inspect of every k: segments with labels, sizes of clusters and silhouettes, in folders by group and k, so that one k is read alone."""
+    on = [*(c for c in by if c in cuts.columns and c in segments.columns), *key]
+    labelled = segments.drop("cluster_label").join(cuts, on)
+    parts = [*(c for c in by if c in labelled.columns), "k"]
+    write_by(labelled, f"{folder}/segments", parts)
+    sizes = cuts.groupBy(*parts, "cluster_label").agg(F.count("*").alias("n_segments"), F.max("silhouette").alias("silhouette"))
+    write_by(sizes, f"{folder}/clusters", parts)
+
+
+def write_sweep(summary: DataFrame, picked: DataFrame, folder: str) -> None:
+    """A penalty sweep and the penalty that it recommends, as CSV."""
+    write_csv(summary, f"{folder}/sweep")
+    write_csv(picked, f"{folder}/recommended")
+
+
+def write_states(found: dict[str, DataFrame], settings: dict, folder: str) -> None:
+    """A state model's tables, those with a traj_id by series, and its settings as JSON beside them."""
+    write_tables(found, folder)
+    spark = next(iter(found.values())).sparkSession
+    spark.range(1).select(*(F.lit(v).alias(k) for k, v in settings.items())).coalesce(1).write.mode("overwrite").json(f"{folder}/settings")
+
+
+def write_cohorts(tables: dict[str, DataFrame], folder: str, by: str = "cohort") -> None:
+    """Named tables in folders by cohort, so that reading one cohort prunes the others."""
+    for name, df in tables.items():
+        write_by(df, f"{folder}/{name}", [by])
+
+
+def replace_source(df: DataFrame, path: str, format: str = "parquet") -> None:
+    """Put df in place of a table that it may be read from: written beside it first, then swapped by renaming, so that a failure leaves one of both whole."""
+    spark = df.sparkSession
+    new, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
+    df.write.mode("overwrite").format(format).save(new)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = lambda x: hadoop.Path(x)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(at(old), True)
+    if fs.exists(at(path)):
+        fs.rename(at(path), at(old))
+    fs.rename(at(new), at(path))
+    fs.delete(at(old), True)
+
+
 def pdb_lines(atoms: DataFrame) -> DataFrame:
     """Atoms as PDB records: traj_id, frame, atom_id, line."""
     line = F.format_string("%-6s%5d %-4s %-3s  %4d    %8.3f%8.3f%8.3f  1.00  0.00          %2s", F.lit("ATOM"), "atom_id", "name", "resname", "resid", F.col("x").cast("double"), F.col("y").cast("double"), F.col("z").cast("double"), "element")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,3 +90,32 @@ def read_site_map(spark: SparkSession, path: str, traj_id: str | None = None) ->
     if "atom_ids" in df.columns:
         df = df.withColumn("atom_ids", F.transform(F.filter(F.split(F.trim("atom_ids"), r"[\s|]+"), lambda x: x != ""), lambda x: x.cast("int")))
     return df.where(F.col("traj_id") == traj_id) if traj_id else df
+
+
+def compare_trees(spark: SparkSession, reference: str, candidate: str, rtol: float = 1e-6, atol: float = 1e-9) -> DataFrame:
+    """Files below two folders, by their path below it: identical, within (numbers agree to a tolerance, all else is equal), differs or missing, and how many cells differ.
+
+    Files are read whole, as tables of lines of cells; those that are equal byte for byte are not taken apart.
+    """
+
+    def below(folder: str, side: str) -> DataFrame:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+        root = files.agg(F.min("path")).first()[0]
+        if root is None:
+            return spark.createDataFrame([], f"path string, {side} binary")
+        cut = folder.rstrip("/").split("/")[-1]
+        rel = F.element_at(F.split("path", f"/{re.escape(cut)}/", 2), 2)
+        return files.select(rel.alias("path"), F.col("content").alias(side))
+
+    both = below(reference, "a").join(below(candidate, "b"), "path", "full")
+    state = both.select("path", F.when(F.col("a").isNull() | F.col("b").isNull(), "missing").when(F.col("a") == F.col("b"), "identical").alias("state"), "a", "b")
+    lines = lambda c: F.split(F.regexp_replace(F.col(c).cast("string"), "\r", ""), "\n")
+    pairs = lambda df: df.select("path", F.explode(F.arrays_zip("a", "b")).alias("z")).select("path", "z.*")
+    apart = pairs(state.where("state IS NULL").select("path", lines("a").alias("a"), lines("b").alias("b")))
+    split = lambda c: F.split(F.coalesce(c, F.lit("")), ",").alias(c)
+    cells = pairs(apart.select("path", split("a"), split("b"))).select("path", F.struct("a", "b").alias("z"))
+    x, y = F.col("z.a").try_cast("double"), F.col("z.b").try_cast("double")
+    near = F.coalesce(F.abs(x - y) <= atol + rtol * F.abs(x), F.lit(False))
+    odd = cells.groupBy("path").agg(F.count_if(~(F.col("z.a").eqNullSafe(F.col("z.b")) | near)).alias("n_cells"))
+    joined = state.drop("a", "b").join(odd, "path", "left")
+    return joined.select("path", F.coalesce("state", F.when(F.col("n_cells") == 0, "within").otherwise("differs")).alias("state"), F.coalesce("n_cells", F.lit(0)).cast("long").alias("n_cells"))

@@ -2,9 +2,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.plans import guests, states, structures
+from framewright.functions import groups
+from framewright.operators import joins
+from framewright.plans import guests, metastable, rescoring, states, structures
 from framewright.plans.catalog import REGISTRY
 from framewright.plans.registry import Session
+from framewright.sources import sinks, tables
 
 
 @pytest.fixture(scope="module")
@@ -67,6 +70,21 @@ def test_registered_analysis(spark, features):
     call("categorize_cluster_mixtures", category="structure")
     profiles = call("describe_endpoint_clusters", structure="structure", edges=["e1"], poles=["p1"])["cluster_profiles"].collect()
     assert all(r.structure_name.startswith("belt broken along e1") for r in profiles)
+    call("audit_cluster_replicas")
+    ranking = call("rank_metastable_structures", grp="combined")["structure_ranking"].orderBy("rank").collect()
+    assert abs(sum(r.percent for r in ranking) - 100) < 1e-9 and [r.rank for r in ranking] == list(range(1, len(ranking) + 1)) and ranking[0].n_frames >= ranking[-1].n_frames
+    assert call("summarize_metastable_structures")["structure_summary"].where("structure_name IS NOT NULL").count() == len(ranking)
+    assert call("select_chemical_k")["chemical_k_selected"].count() == 1
+    call("compare_endpoint_cluster_k", k_from=2, k_to=3)
+    splits = s.values["k_splits"].collect()
+    assert all(abs(sum(x.share for x in splits if x.from_cluster == r.from_cluster and x.grp == r.grp) - 1) < 1e-9 for r in splits)
+    cohorts = call("compare_endpoint_clusters_across_cohorts")["cohort_clusters"].collect()
+    assert sum(r.n_segments for r in cohorts) == s.values["clusters"].count()
+    call("run_gsa_step1_cluster_k", by=["grp"], k_from=2, k_to=3)
+    assert s.values["cohort_cuts"].count() == s.values["segment_cuts"].count()
+    s.put("features", s.values["features"].withColumn("structure", F.when(F.col("u") > 6, "A").otherwise("B")).withColumn("e1", F.lit(8.0)).withColumn("p1", F.lit(1.0)))
+    whole = call("run_metastable_pipeline", grp="combined", columns=["held"], structure="structure", edges=["e1"], poles=["p1"], draws=20)
+    assert whole["structure_summary"].orderBy("rank").first().structure_name.startswith("belt broken along e1")
     occupancy = {r.label: r.percent for r in call("compare_metastructures", structure="structure")["structure_occupancy"].collect()}
     assert occupancy["C1"] == 0.0 and abs(sum(occupancy.values()) - 100) < 1e-9
     call("sweep_changepoint_penalty", groups=["combined"], points=4)
@@ -116,3 +134,71 @@ def test_structures_helpers(spark):
     assert structures.held_out_columns(f, ["x", "y"], "s") == ["y"]
     ev = guests.events(spark.createDataFrame([("t", i, int(3 <= i < 9)) for i in range(12)], "traj_id string, frame long, g int"), "g", min_dwell=3)
     assert sorted((e.event, e["at"]) for e in ev.collect()) == [("entry", 3), ("exit", 9)]
+
+
+def test_metastable_parts(spark):
+    cuts = spark.createDataFrame([("c1", "a", k, q, lab, s) for q, s in ((2, 0.5), (3, 0.7), (4, 0.7)) for k in range(6) for lab in [k % q]], "cohort string, traj_id string, segment_id int, k int, cluster_label int, silhouette double")
+    assert [(r.cohort, r.peak_k) for r in metastable.silhouette_peaks(cuts).collect()] == [("c1", 3)]
+    got = {(r.from_cluster, r.to_cluster): (r.n_segments, r.n_parts) for r in metastable.k_splits(cuts, 2, 4).collect()}
+    assert got == {(0, 0): (2, 2), (0, 2): (1, 2), (1, 1): (2, 2), (1, 3): (1, 2)}
+    seg = spark.createDataFrame([("c1", "a", 10, 0, 1.0), ("c1", "b", 30, 0, 2.0), ("c1", "b", 20, 1, None)], "cohort string, traj_id string, n_frames int, cluster_label int, x double")
+    d = metastable.segment_dynamics(seg).first()
+    assert (d.n_series, d.n_segments, d.mean_length, d.median_length, d.segments_per_series) == (2, 3, 20.0, 20.0, 1.5)
+    a = {r.cluster_label: r for r in metastable.compare_across_cohorts(seg, ["x"], least=2).collect()}
+    assert abs(a[0].x - 1.75) < 1e-12 and a[1].x is None and a[1].low_confidence and not a[0].low_confidence and abs(a[0].frame_share - 2 / 3) < 1e-12
+    spread = metastable.geometry_spread(seg, ["x"]).first()
+    assert (spread["mean"], spread["min"], spread["max"]) == (1.5, 1.0, 2.0)
+    frames = spark.createDataFrame([("a", 0), ("a", 0), ("b", 1), ("b", 2)], "traj_id string, cluster_label int")
+    merged = {r.family: (r.n_frames, r.n_clusters, r.n_series) for r in metastable.rank_structures(frames, seg, families={"0": 7, "2": 7}).collect()}
+    assert merged == {"7": (3, 2, 2), "1": (1, 1, 1)}
+    square = spark.createDataFrame([(0, [[0.0, 0.0, 0.0], [1.0, 0.0, 0.0], [1.0, 1.0, 0.0], [0.0, 3.0, 0.0]])], "frame int, positions array<array<double>>")
+    sym = {r.relabelling: r.admissible for r in metastable.cage_symmetry(square, [[0, 1, 2, 3], [3, 2, 1, 0]], 0.1).collect()}
+    assert sym == {0: True, 1: False}
+    r = metastable.correlate_means(spark.createDataFrame([("c", 1.0, 2.0), ("c", 2.0, 4.0), ("c", 3.0, 6.5)], "cohort string, a double, b double"), ["a"], ["b"]).first()
+    assert r.n == 3 and abs(r.r - np.corrcoef([1, 2, 3], [2, 4, 6.5])[0, 1]) < 1e-12
+
+
+def test_rescoring(spark):
+    runs = spark.createDataFrame([("r1", 2, 1, 5.0, 1.0, 3.0, 0.2, 0.1, 0, 0.3, 9, 0.9), ("r2", 0, 0, 7.0, 0.0, 0.0, None, None, 0, None, 0, 0.1)], "simulation_id string, n_entries int, n_exits int, volume_mean double, volume_std double, volume_range double, r_max double, r_mean double, n_strong long, dist_cv double, n_dist long, overall_score double")
+    volumes = spark.createDataFrame([("r1", 10.0), ("r1", 14.0)], "simulation_id string, volume double")
+    pairs = spark.createDataFrame([("r1", 0, 1, -0.8), ("r1", 1, 0, -0.8), ("r1", 0, 2, 0.4)], "simulation_id string, i int, j int, r double")
+    guests = spark.createDataFrame([("r2", 3, 1, 30.0, 10.0)], "simulation_id string, n_entries int, n_exits int, residence double, outside double")
+    loaded = {r.simulation_id: r for r in rescoring.load_sides(runs, volumes, pairs, guests=guests).collect()}
+    assert (loaded["r1"].volume_mean, loaded["r1"].volume_std, loaded["r1"].volume_range) == (12.0, 2.0, 4.0) and loaded["r2"].volume_mean == 7.0
+    assert (loaded["r1"].r_max, loaded["r1"].n_strong) == (0.8, 1) and abs(loaded["r1"].r_mean - 0.6) < 1e-12
+    assert (loaded["r2"].n_entries, loaded["r2"].residence, loaded["r1"].n_entries) == (3, 30.0, 2)
+    again = {r.simulation_id: r for r in rescoring.rescore(runs, True, volumes=volumes, guests=guests).collect()}
+    assert again["r2"].is_valid and again["r2"].guest_score > again["r1"].guest_score and again["r1"].overall_score != 0.9
+    v = [r.volume for r in rescoring.volume_from_metrics(runs.withColumn("volume_max", F.lit(5.5)), n=50).where("simulation_id = 'r1'").orderBy("frame").collect()]
+    assert np.allclose(v, np.clip(5 + np.sin(np.linspace(0, 4 * np.pi, 50)), 5, 5.5))
+
+
+def test_attachments(spark):
+    frames = spark.createDataFrame([("BHHpH_run1", 0), ("run1", 1), ("run2", 0)], "traj_id string, frame int")
+    counts = spark.createDataFrame([("run1_gsa_features", 0, 2), ("run1_gsa_features", 0, 3), ("run1", 1, 1)], "traj_id string, frame int, n_open int")
+    assert {(r.traj_id, r.frame): r.n_open for r in joins.attach_open_counts(frames, counts).collect()} == {("BHHpH_run1", 0): 2, ("run1", 1): 1, ("run2", 0): None}
+    occ = spark.createDataFrame([("run2", 0, 1), ("run2", 0, 4)], "traj_id string, frame int, n int")
+    assert {(r.traj_id, r.n) for r in joins.attach_occupancy(frames, occ, "n").collect()} == {("BHHpH_run1", None), ("run1", None), ("run2", 1)}
+    steps = joins.attach_energies(spark.createDataFrame([(1, 0.5), (2, 0.6)], "step int, d double"), spark.createDataFrame([(2, -3.0)], "step int, e double")).collect()
+    assert {(r.step, r.d, r.e) for r in steps} == {(1, 0.5, None), (2, 0.6, -3.0)}
+    assert [r.grp for r in groups.missing_groups(spark.createDataFrame([("a",)], "grp string"), ["a", "b"]).collect()] == ["b"]
+
+
+def test_trees_and_sinks(spark, tmp_path):
+    for side, files in (("ref", {"x/a.csv": "k,v\n1,2.0\n", "x/b.csv": "k,v\n1,2.0\n", "c.csv": "k,v\n1,2\n", "only.csv": "1"}), ("new", {"x/a.csv": "k,v\n1,2.0\n", "x/b.csv": "k,v\n1,2.0000001\n", "c.csv": "k,w\n1,3\n4,4\n"})):
+        for name, text in files.items():
+            at = tmp_path / side / name
+            at.parent.mkdir(parents=True, exist_ok=True)
+            at.write_text(text)
+    got = {r.path: (r.state, r.n_cells) for r in tables.compare_trees(spark, str(tmp_path / "ref"), str(tmp_path / "new")).collect()}
+    assert got == {"x/a.csv": ("identical", 0), "x/b.csv": ("within", 0), "c.csv": ("differs", 4), "only.csv": ("missing", 0)}
+    path = str(tmp_path / "scores")
+    spark.range(3).write.parquet(path)
+    sinks.replace_source(spark.read.parquet(path).where("id > 0"), path)
+    assert spark.read.parquet(path).count() == 2
+    cuts = spark.createDataFrame([("g", "a", 0, 2, 1, 0.5), ("g", "a", 0, 3, 2, 0.4)], "grp string, traj_id string, segment_id int, k int, cluster_label int, silhouette double")
+    sinks.write_cuts(spark.createDataFrame([("g", "a", 0, 7.0)], "grp string, traj_id string, segment_id int, u_mean double"), cuts, str(tmp_path / "cuts"))
+    one = spark.read.parquet(str(tmp_path / "cuts/segments")).where("k = 3")
+    assert one.first().cluster_label == 2 and len(one.inputFiles()) == 2
+    sinks.write_states({"labels": cuts}, {"n_micro": 5, "lag": 1}, str(tmp_path / "states"))
+    assert spark.read.json(str(tmp_path / "states/settings")).first().n_micro == 5 and spark.read.parquet(str(tmp_path / "states/labels")).count() == 2
