@@ -30,6 +30,8 @@ BLOCK = 1_000
 ROW_COST = 300.0
 #: Buckets up to this size are compared together, larger ones each by itself, this many pairs at a time.
 SMALL, PAIRS_AT_ONCE = 48, 2_000_000
+#: Rows of a bucket above which it goes to many tasks, block against block, and how many such buckets are broadcast.
+BUCKET, LARGE = 50_000, 100_000
 #: Rows of sorted buckets that are held at once, besides the largest bucket.
 ROWS_AT_ONCE = 200_000
 
@@ -272,31 +274,26 @@ def bucket_edges(key: np.ndarray, probe: np.ndarray, fps: np.ndarray, distance:
 def links(distinct: DataFrame, distance: int = DISTANCE, partitions: tuple = PARTITIONS) -> DataFrame:
     """Verified links between different fingerprints, u and v, enough of them to connect all that are within the distance."""
     searched = plan(distinct, distance, partitions)
-    probes = _probes(distinct, searched)
+    probes = _dealt(_probes(distinct, searched))
 
     def run(batches):
         held: list[list[np.ndarray]] = []
 
-        def out(parts, values, probe, fps):
-            us, vs = [], []
-            for part in np.unique(parts).tolist():
-                own = parts == part
-                change = np.r_[False, values[own][1:] != values[own][:-1]]
-                u, v = bucket_edges(np.cumsum(change), probe[own], fps[own], distance)
-                us.append(u)
-                vs.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us).view(np.int64)), pa.array(np.concatenate(vs).view(np.int64))], names=["u", "v"])
+        def out(parts, values, cells, probe, fps):
+            change = (parts[1:] != parts[:-1]) | (values[1:] != values[:-1]) | (cells[1:] != cells[:-1])
+            u, v = bucket_edges(np.cumsum(np.r_[False, change]), probe, fps, distance)
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
         n = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
-            held.append([c[0], c[1], c[2], c[3].astype(np.int64).view(np.uint64)])
+            held.append([*c[:4], c[4].astype(np.int64).view(np.uint64)])
             n += batch.num_rows
             if n >= ROWS_AT_ONCE:
                 a = [np.concatenate(x) for x in zip(*held)]
-                last = np.flatnonzero((a[0] != a[0][-1]) | (a[1] != a[1][-1]))
+                last = np.flatnonzero((a[0] != a[0][-1]) | (a[1] != a[1][-1]) | (a[2] != a[2][-1]))
                 end = last[-1] + 1 if len(last) else 0  # the last bucket may go on
                 if end:
                     yield out(*(x[:end] for x in a))
@@ -304,8 +301,21 @@ def links(distinct: DataFrame, distance: int = DISTANCE, partitions: tuple = PAR
         if n:
             yield out(*(np.concatenate(x) for x in zip(*held)))
 
-    dealt = probes.repartition("part", "value").sortWithinPartitions("part", "value")
-    return dealt.mapInArrow(run, "u long, v long")
+    at = ["part", "value", "cell"]
+    return probes.repartition(*at).sortWithinPartitions(*at).select(*at, "probe", "fp").mapInArrow(run, "u long, v long")
+
+
+def _dealt(probes: DataFrame) -> DataFrame:
+    """The probes with a cell: 0, but in large buckets, whose rows are dealt to blocks, and each block to a cell with every other and one by itself."""
+    sizes = cut(probes.groupBy("part", "value").agg(F.ceil(F.count("*") / BUCKET).alias("blocks")).where("blocks > 1"))
+    n = sizes.count()
+    if not n:
+        return probes.withColumn("cell", F.lit(0).cast("long"))
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.least(block, k) * F.col("blocks") + F.greatest(block, k))
+    met = probes.join(F.broadcast(sizes) if n <= LARGE else sizes, ["part", "value"], "left")
+    whole = F.array(F.lit(0).cast("long"))
+    return met.withColumn("cell", F.explode(F.when(F.col("blocks").isNull(), whole).otherwise(cells))).drop("blocks")
 
 
 def _shingle_set(text: bytes) -> np.ndarray:

@@ -121,6 +121,22 @@ def test_simhash_links_all(spark, spread):
     assert {f: min(got[find(f)]) for f in fps} == dict(zip(fps, want))
 
 
+def test_large_buckets_in_blocks(spark, monkeypatch):
+    """Buckets that are dealt to many tasks link what whole ones do."""
+    rng = np.random.default_rng(12)
+    centre = int(rng.integers(0, 2**63))
+    fps = sorted({centre ^ sum(1 << int(b) for b in set(rng.integers(0, 64, rng.integers(1, 7)))) for _ in range(700)})
+    df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
+    want = brute.groups(fps, fps)
+    for bucket in (40, 50_000):
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        found = {r.node % 2**64: r.root for r in components.components(simhash.links(df)).collect()}
+        groups = defaultdict(set)
+        for f in fps:
+            groups[found.get(f, f)].add(f)
+        assert sorted(map(min, groups.values())) == sorted(set(want)) and sorted(map(len, groups.values())) == sorted(Counter(want).values())
+
+
 def test_allocate_covers_every_distance():
     cost, thresholds = simhash.allocate([[0, 1, 5, 50], [0, 2, 3, 9], [0, 10, 30, 90]])
     assert sum(t + 1 for t in thresholds) == simhash.DISTANCE + 1 and cost == 5 + 9
