@@ -53,11 +53,17 @@ def cut(df: DataFrame, anew: bool = False) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(out._jdf.queryExecution().toRdd(), out._jdf.schema(), False), spark)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df, written as Parquet to the shared folder and read again, and where it is."""
     path = f"{shared_folder(df.sparkSession)}/framewright-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a folder that stored() made, once nothing reads it any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -22,14 +22,17 @@ from .toxicity import toxicity
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, by models fitted to its labels."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and near-duplicate group."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of packed sequences."""
     return harmonic_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -42,26 +45,32 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measures and the verdict of the line rules."""
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of its equal texts that stays."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, and how many repeats take."""
     return digest(table(spark, sf_dir, "documents"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of equal bytes."""
     return shard_query(table(spark, sf_dir, "documents"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded, as digests."""
     return digest_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -122,8 +131,10 @@ FROM d LEFT JOIN kept USING (id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """All corpus queries by name."""
     return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_packing, op4_licenses, op5_html_text, op6_quality_rules, op7_exact_dedup, op8_substring_dedup, op9_sharding, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
+    """The SQL of those that SQL can say; tests hold the others against plain versions."""
     return {"op6_quality_rules": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_substring_dedup": OP8_SQL}

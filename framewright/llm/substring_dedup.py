@@ -261,17 +261,17 @@ def repeats(suffixes: DataFrame) -> DataFrame:
     return suffixes.repartition("part").sortWithinPartitions("part").mapInArrow(run, "key long, also long, start int, n int")
 
 
-def substring_dedup(documents: DataFrame) -> DataFrame:
+def substring_dedup(documents: DataFrame, counts: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
     """Remove every word that a window of WINDOW words covers whose words also start anywhere else.
 
     Windows are judged on the input: each place of a repeat goes, in the same document
     too. Texts with fewer words than a window keep all; a null text has no words and
     becomes empty. Repeated rows count as different places. Other columns come back as
-    they are, but for columns named n_words or n_removed, which are replaced.
+    they are, but for columns named as ``counts``, which are replaced.
     Returns the columns of documents with text as its kept words, joined by one space,
-    and n_words and n_removed (long).
+    and how many words it had and lost (long), named as ``counts``.
     """
-    kept = documents.drop("n_words", "n_removed")
+    kept = documents.drop(*counts)
     key, also = row_keys("doc_id", "text")
     keyed = kept.select("*", key.alias("__key"), also.alias("__also"), F.coalesce("text", F.lit("")).cast("binary").alias("__text")).drop("text")
     places = cut(candidates(keyed.select("__text", "__key", "__also")))
@@ -297,12 +297,13 @@ def substring_dedup(documents: DataFrame) -> DataFrame:
                 n.append(len(words))
                 removed.append(len(words) - len(left))
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[*names, *counts])
 
     fields = [StructField("text", StringType()) if f.name == "text" else f for f in kept.schema.fields]
-    return both.mapInArrow(run, StructType([*fields, StructField("n_words", LongType()), StructField("n_removed", LongType())]))
+    return both.mapInArrow(run, StructType([*fields, *(StructField(c, LongType()) for c in counts)]))
 
 
 def digest(documents: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed and the digest of the kept words of every row, as substring_dedup has them; extra columns are ignored."""
     done = substring_dedup(documents.select("doc_id", "text"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
