@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm import exact_dedup, packing, simhash, substring_dedup, toxicity
-from framewright.llm.common import stored
+from framewright.llm.common import removed, stored
 
 #: SQL cannot train the models of the first stage; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
@@ -23,25 +23,25 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id."""
+    """Of equal texts, the row with the largest doc_id, a null one last; a null text equals an empty one, and of rows that are alike one stays."""
     return exact_dedup.drop_copies(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the row with the smallest doc_id."""
+    """Of each group of near copies, the row with the smallest doc_id, a null one last; texts without words are one group."""
     return simhash.drop_near_copies(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts without passages that occur elsewhere too; texts without any stay as they are."""
-    done = substring_dedup.substring_dedup(docs.withColumn("__whole", F.col("text")))
-    text = F.when(F.col("n_removed") == 0, F.col("__whole")).otherwise(F.col("text"))
+    """All documents, their texts without passages that occur elsewhere too; texts without any stay as they are, null ones too."""
+    done = substring_dedup.substring_dedup(docs.withColumn("__whole", F.col("text")), ("__n_words", "__n_removed"))
+    text = F.when(F.col("__n_removed") == 0, F.col("__whole")).otherwise(F.col("text"))
     changed = done.withColumn("text", text).withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
     return changed.select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences."""
+    """The pieces of all documents, packed into sequences; a null or empty text is the one id that ends it."""
     return packing.harmonic_pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -55,9 +55,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, each on what the one before kept, as stored; a stored table goes once the next one is written. An empty table gives no pieces."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = stored(docs)
+            docs, path = stored(docs)
+            if before:
+                removed(spark, before)
+            before = path
     return docs
