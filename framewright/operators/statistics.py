@@ -45,16 +45,41 @@ def average_rank(value: str, *by: str) -> Column:
     return F.rank().over(w) + (F.count("*").over(same) - 1) / 2
 
 
-def kruskal_epsilon(long: DataFrame, value: str, label: str, by: Sequence[str] = ("feature",)) -> DataFrame:
-    """Kruskal-Wallis H, corrected for ties, and epsilon squared = H / (n - 1)."""
-    some = long.where(finite(value).isNotNull()).withColumn("__r", average_rank(value, *by))
-    n = F.count("*").over(W.partitionBy(*by))
-    ties = some.groupBy(*by, value).agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
-    sums = some.withColumn("__n", n).groupBy(*by, label).agg(F.sum("__r").alias("s"), F.count("*").alias("m"), F.max("__n").alias("n"))
-    h = sums.groupBy(*by).agg(F.sum(F.col("s") * F.col("s") / F.col("m")).alias("h"), F.max("n").alias("n")).join(ties, list(by))
+def cumulative(counted: DataFrame, value: str, n: str, parts: int = 64) -> DataFrame:
+    """Different values of groups (__by, value, n) with __part, __upto and __m: a range of values, how many rows are not greater, and how many there are.
+
+    Values are summed within ``parts`` ranges of each group, so that no task gets a whole
+    group; what lies before a range comes from the sums of whole ranges, a few rows a group.
+    """
+    ranged = counted.withColumn("__part", F.lit(0))
+    if parts > 1:
+        bounds = counted.groupBy("__by").agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 1_000).alias("__bounds"))
+        inside = F.size(F.filter(F.array_distinct("__bounds"), lambda x: x < F.col(value)))
+        ranged = counted.join(bounds, "__by").withColumn("__part", inside).drop("__bounds")
+    on = ["__by", "__part"]
+    sums = ranged.groupBy(*on).agg(F.sum(n).alias("__in"))
+    ahead = W.partitionBy("__by").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*on, F.coalesce(F.sum("__in").over(ahead), F.lit(0)).alias("__before"), F.sum("__in").over(W.partitionBy("__by")).alias("__m"))
+    within = F.sum(n).over(W.partitionBy(*on).orderBy(value))
+    return ranged.join(sums, on).withColumn("__upto", F.col("__before") + within).drop("__before")
+
+
+def kruskal_epsilon(long: DataFrame, value: str, label: str, by: Sequence[str] = ("feature",), parts: int = 64) -> DataFrame:
+    """Kruskal-Wallis H, corrected for ties, and epsilon squared = H / (n - 1).
+
+    Equal values share their mean rank, so different ones are counted first and ranked in ranges.
+    """
+    some = long.where(finite(value).isNotNull()).select(F.struct(*by).alias("__by"), F.col(label).alias("__l"), F.col(value).alias("__v"))
+    counts = some.groupBy("__by", "__l", "__v").agg(F.count("*").alias("__c"))
+    each = counts.groupBy("__by", "__v").agg(F.sum("__c").alias("__n"))
+    ranks = cumulative(each, "__v", "__n", parts).select("__by", "__v", "__m", (F.col("__upto") - (F.col("__n") - 1) / 2).alias("__r"))
+    sums = counts.join(ranks, ["__by", "__v"]).groupBy("__by", "__l").agg(F.sum(F.col("__c") * F.col("__r")).alias("s"), F.sum("__c").alias("m"), F.max("__m").alias("n"))
+    t = F.col("__n").cast("double")
+    ties = each.groupBy("__by").agg(F.sum(t * t * t - t).alias("ties"))
+    h = sums.groupBy("__by").agg(F.sum(F.col("s") * F.col("s") / F.col("m")).alias("h"), F.max("n").cast("double").alias("n")).join(ties, "__by")
     raw = 12.0 / (F.col("n") * (F.col("n") + 1)) * F.col("h") - 3 * (F.col("n") + 1)
-    fix = 1 - F.col("ties") / (F.col("n").cast("double") * F.col("n") * F.col("n") - F.col("n"))
-    return h.select(*by, F.when(fix > 0, raw / fix).alias("h"), F.when(fix > 0, raw / fix / (F.col("n") - 1)).alias("epsilon_squared"))
+    fix = 1 - F.col("ties") / (F.col("n") * F.col("n") * F.col("n") - F.col("n"))
+    return h.select("__by.*", F.when(fix > 0, raw / fix).alias("h"), F.when(fix > 0, raw / fix / (F.col("n") - 1)).alias("epsilon_squared"))
 
 
 def correlations(long: DataFrame, x: str, y: str, by: Sequence[str], spearman: bool = True) -> DataFrame:
@@ -155,23 +180,16 @@ def bh_qvalues(df: DataFrame, p: str = "p", by: Sequence[str] = (), parts: int =
     ``parts`` ranges of them; what lies before and after a range comes from sums and least
     values of whole ranges, a few rows for each group.
     """
-    keys = ["__by"]
     group = F.struct(*by) if by else F.lit(0)  # structs with null fields are equal
-    each = df.select(group.alias("__by"), finite(p).alias("__p")).where("__p IS NOT NULL").groupBy(*keys, "__p").agg(F.count("*").alias("__n"))
-    bounds = each.approxQuantile("__p", [k / parts for k in range(1, parts)], 0.5 / parts) if parts > 1 else []
-    ranged = each.withColumn("__part", F.size(F.filter(F.array(*(F.lit(float(x)) for x in sorted(set(bounds)))).cast("array<double>"), lambda x: x < F.col("__p"))))
-    ahead = W.partitionBy(*keys).orderBy("__part")
-    sums = ranged.groupBy(*keys, "__part").agg(F.sum("__n").alias("__in"))
-    sums = sums.withColumns({"__before": F.coalesce(F.sum("__in").over(ahead.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "__m": F.sum("__in").over(W.partitionBy(*keys))}).drop("__in")
-    inside = W.partitionBy(*keys, "__part")
-    rank = F.col("__before") + F.sum("__n").over(inside.orderBy("__p"))
-    on = [*keys, "__part"]
-    raw = ranged.join(sums, on).withColumn("__raw", F.col("__p") * F.col("__m") / rank)
+    each = df.select(group.alias("__by"), finite(p).alias("__p")).where("__p IS NOT NULL").groupBy("__by", "__p").agg(F.count("*").alias("__n"))
+    raw = cumulative(each, "__p", "__n", parts).withColumn("__raw", F.col("__p") * F.col("__m") / F.col("__upto"))
+    on = ["__by", "__part"]
     low = raw.groupBy(*on).agg(F.min("__raw").alias("__low"))
-    later = low.select(*on, F.min("__low").over(W.partitionBy(*keys).orderBy(F.desc("__part")).rowsBetween(W.unboundedPreceding, -1)).alias("__later"))
-    least = F.min("__raw").over(inside.orderBy(F.desc("__p")))
-    q = raw.join(later, on).select(*keys, "__p", F.least(F.lit(1.0), least, F.coalesce("__later", F.lit(1.0))).alias("q"))
-    return df.drop("q").join(q, (finite(p) == F.col("__p")) & (group == F.col("__by")), "left").drop("__p", *keys)
+    behind = W.partitionBy("__by").orderBy(F.desc("__part")).rowsBetween(W.unboundedPreceding, -1)
+    later = low.select(*on, F.min("__low").over(behind).alias("__later"))
+    least = F.min("__raw").over(W.partitionBy(*on).orderBy(F.desc("__p")))
+    q = raw.join(later, on).select("__by", "__p", F.least(F.lit(1.0), least, F.coalesce("__later", F.lit(1.0))).alias("q"))
+    return df.drop("q").join(q, (finite(p) == F.col("__p")) & (group == F.col("__by")), "left").drop("__p", "__by")
 
 
 def permutation_eta(wide: DataFrame, columns: Sequence[str], label: str, by: Sequence[str] = (), n: int = 999, seed: int = 0) -> DataFrame:
@@ -243,23 +261,25 @@ def one_se(scores: DataFrame, score: str, se: str, k: str = "k", gate: str | Non
     return near.withColumn("__r", F.row_number().over(w.orderBy(k))).where("__r = 1").drop("__r", "__b")
 
 
-def silhouette(vectors: DataFrame, id: str, vector: str, label: str, block: int = 4_096) -> DataFrame:
-    """Per row and label the Euclidean silhouette, from mean distances to every label.
+def block_sums(vectors: DataFrame, id: str, vector: str, label: str, block: int = 4_096, own: bool = False) -> DataFrame:
+    """Per row i, its label l and each label m (or its own alone): s and n, the sum of Euclidean distances to the label's other rows, and how many those are.
 
-    Rows are dealt to blocks, each block goes to every other once, and a task gets the sums
-    of distances of one block's rows to the labels of another's from one matrix product: the
-    work is quadratic in rows, as the measure is, but what is sent is a row a block.
+    Rows are dealt to blocks, each block goes to every other once (of the same label, with
+    own), and a task gets the sums of one block's rows against another's from one matrix
+    product: the work is quadratic in rows, as the measures built on it are, but what is
+    sent is a row a block.
     """
     kind, mark = (vectors.schema[c].dataType.simpleString() for c in (id, label))
     blocks = int(vectors.count() // block + 1)
     at = F.pmod(F.xxhash64(F.col(id)), F.lit(blocks)).cast("int")
     base = vectors.select(F.col(id).alias("i"), F.transform(vector, lambda x: x.cast("double")).alias("x"), F.col(label).alias("l"), at.alias("at"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = base.withColumn("other", every).withColumn("cell", F.col("at") * blocks + F.col("other")).select("cell", "i", "x", "l")
-    right = base.withColumn("other", every).withColumn("cell", F.col("other") * blocks + F.col("at")).select("cell", "i", "x", "l")
+    where = F.struct(F.col("l")) if own else F.struct(F.lit(0).alias("l"))
+    left = base.withColumn("other", every).select((F.col("at") * blocks + F.col("other")).alias("cell"), where.alias("of"), "i", "x", "l")
+    right = base.withColumn("other", every).select((F.col("other") * blocks + F.col("at")).alias("cell"), where.alias("of"), "i", "x", "l")
+    names = ["i", "l", "m", "s", "n"]
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        names = ["i", "l", "m", "s", "n"]
         if not len(a) or not len(b):
             return pd.DataFrame(columns=names)
         x, y = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
@@ -269,14 +289,16 @@ def silhouette(vectors: DataFrame, id: str, vector: str, label: str, block: int
         same = a["i"].to_numpy()[:, None] == b["i"].to_numpy()[None, :]
         d[same] = 0.0
         codes, labels = pd.factorize(b["l"])
-        out = []
-        for k, m in enumerate(labels):
-            of = codes == k
-            out.append(pd.DataFrame({"i": a["i"], "l": a["l"], "m": m, "s": d[:, of].sum(axis=1), "n": (~same[:, of]).sum(axis=1)}))
+        out = [pd.DataFrame({"i": a["i"], "l": a["l"], "m": m, "s": d[:, codes == k].sum(axis=1), "n": (~same[:, codes == k]).sum(axis=1)}) for k, m in enumerate(labels)]
         return pd.concat(out, ignore_index=True)[names]
 
-    met = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(sums, f"i {kind}, l {mark}, m {mark}, s double, n long")
-    mean = met.groupBy("i", "l", "m").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("d"))
+    met = left.groupBy("of", "cell").cogroup(right.groupBy("of", "cell")).applyInPandas(sums, f"i {kind}, l {mark}, m {mark}, s double, n long")
+    return met.groupBy("i", "l", "m").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
+def silhouette(vectors: DataFrame, id: str, vector: str, label: str, block: int = 4_096) -> DataFrame:
+    """Per row and label the Euclidean silhouette, from mean distances to every label."""
+    mean = block_sums(vectors, id, vector, label, block).withColumn("d", F.col("s") / F.nullif("n", F.lit(0)))
     out = mean.groupBy("i", "l").agg(F.max(F.when(F.col("l") == F.col("m"), F.col("d"))).alias("a"), F.min(F.when(F.col("l") != F.col("m"), F.col("d"))).alias("b"))
     s = F.when(F.col("a").isNull(), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return out.select(F.col("i").alias(id), F.col("l").alias(label), s.alias("silhouette"))

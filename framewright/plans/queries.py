@@ -517,13 +517,13 @@ def pearson_spearman(spark, d):
 
 
 @query(
-    f"""WITH {LONG}, x AS (SELECT feature, label, value FROM long WHERE feature < 6), rk AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS k, count(*) OVER (PARTITION BY feature) AS n FROM x),
+    f"""WITH {LONG}, x AS (SELECT feature, label, value FROM long), rk AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS k, count(*) OVER (PARTITION BY feature) AS n FROM x),
 t AS (SELECT feature, sum(c * c * c - c) AS ties FROM (SELECT feature, value, count(*) AS c FROM x GROUP BY ALL) GROUP BY 1),
 h AS (SELECT feature, any_value(n) AS n, sum(s * s / m) AS h FROM (SELECT feature, label, any_value(n) AS n, sum(k) AS s, count(*) AS m FROM rk GROUP BY ALL) GROUP BY 1)
 SELECT feature, round((12 / (n * (n + 1)) * h - 3 * (n + 1)) / (1 - ties / (n::DOUBLE ^ 3 - n)), 5) AS h, round((12 / (n * (n + 1)) * h - 3 * (n + 1)) / (1 - ties / (n::DOUBLE ^ 3 - n)) / (n - 1), 6) AS epsilon_squared FROM h JOIN t USING (feature)"""
 )
 def kruskal_epsilon(spark, d):
-    out = S.kruskal_epsilon(long_vectors(spark, d).where("feature < 6"), "value", "label")
+    out = S.kruskal_epsilon(long_vectors(spark, d), "value", "label")
     return out.withColumns({"h": r("h", 5), "epsilon_squared": r("epsilon_squared")})
 
 
@@ -868,7 +868,7 @@ def principal_components(spark, d):
 
 @query()
 def tica_scores(spark, d):
-    e = windows.number_frames(t(spark, d, "embeddings").select(F.col("label").cast("string").alias("traj_id"), "vec_id", F.slice("embedding", 1, 8).alias("x")), "traj_id", ["vec_id"])
+    e = windows.number_frames(t(spark, d, "embeddings").select(F.col("label").cast("string").alias("traj_id"), "vec_id", F.col("embedding").alias("x")), "traj_id", ["vec_id"])
     return clustering.tica(e, "x", 3)[0].select("traj_id", "frame", "tics")
 
 
