@@ -14,6 +14,7 @@ from ..functions import groups as G
 from ..operators import aggregates, attribution, clustering, geometry, joins, scoring, statistics, windows
 from ..schemas import numeric_columns
 from ..sources import sinks, tables, trajectories
+from . import features as feature_tables
 from . import guests, metastable, rescoring, states, structures
 from .passes import standard
 from .pipeline import Analysis
@@ -169,6 +170,19 @@ def cage_features(s, group, cutoff):
     return {"features": out}
 
 
+@op("compute_gsa_features", ("atoms",), ("features",), (P("group", default="resid"), P("main"), P("guest"), P("solvent"), P("head"), P("tail"), P("cutoff", "number", default=4.5), P("cavity", "number", default=8.0)), "changepoint")
+def gsa_features(s, group, main, guest, solvent, head, tail, cutoff, cavity):
+    """A feature table from atoms with every tier whose atoms are named by a condition."""
+    at = {k: F.expr(v) if v else None for k, v in (("main", main), ("guest", guest), ("solvent", solvent), ("head", head), ("tail", tail))}
+    return {"features": feature_tables.assembly_features(s.values["atoms"], group, cutoff=float(cutoff), cavity=float(cavity), **at)}
+
+
+@op("compute_murata_motif_rmsd", ("atoms", "motifs", "motif_units"), ("motif_rmsd",), (P("ref_frame", "integer", default=0),), "changepoint")
+def motif_rmsd(s, ref_frame):
+    """Distances and superposed RMSD of motifs, frame by frame."""
+    return {"motif_rmsd": feature_tables.motif_rmsd(s.values["atoms"], s.values["motifs"], s.values["motif_units"], ref_frame)}
+
+
 @op("find_endpoints", ("atoms",), ("endpoints",), (P("group", default="resid"),), "endpoints")
 def find_endpoints(s, group):
     """The atoms of each group farthest from its centre in the first frame: its ends."""

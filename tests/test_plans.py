@@ -202,3 +202,28 @@ def test_trees_and_sinks(spark, tmp_path):
     assert one.first().cluster_label == 2 and len(one.inputFiles()) == 2
     sinks.write_states({"labels": cuts}, {"n_micro": 5, "lag": 1}, str(tmp_path / "states"))
     assert spark.read.json(str(tmp_path / "states/settings")).first().n_micro == 5 and spark.read.parquet(str(tmp_path / "states/labels")).count() == 2
+
+
+def test_feature_tables(spark, atoms):
+    guest = spark.createDataFrame([("t", f, float(f), 100 + g, 50 + g, "IOD", "I", "I", 1.0 + 9.0 * g, 1.0, 1.0) for f in range(12) for g in range(2 if f % 2 else 1)], atoms.schema)
+    s = Session(spark)
+    s.put("atoms", atoms.unionByName(guest))
+    REGISTRY.call(s, "compute_gsa_features", main="resname = 'MOL'", guest="resname = 'IOD'", solvent="resname = 'IOD'", head="atom_id % 5 = 0", tail="atom_id % 5 = 4")
+    rows = s.values["features"].orderBy("frame").collect()
+    assert len(rows) == 12 and {"assembly_rg", "com_mean", "total_contacts", "guest_inside", "axis_cos_mean"} <= set(s.values["features"].columns)
+    assert rows[0].assembly_rmsd_to_ref < 1e-9 and 0 < rows[1].assembly_rmsd_to_ref < 0.3
+    assert [r.n_guest_inside_cavity for r in rows] == [1 + (f % 2) * 0 for f in range(12)] and [r.guest_bulk + r.guest_near_outer + r.guest_inside + r.guest_near_inner >= 1 for r in rows] == [True] * 12
+    motifs = spark.createDataFrame([("ring", a) for a in (0, 1, 2, 3)] + [("pole", a) for a in (4, 9, 14)], "motif string, atom_id int")
+    units = spark.createDataFrame([("pi", "a", 0, 19), ("pi", "b", 0, 1), ("d1", "e", 5, 15)], "kind string, unit string, atom_a int, atom_b int")
+    s.put("motifs", motifs)
+    s.put("motif_units", units)
+    got = REGISTRY.call(s, "compute_murata_motif_rmsd")["motif_rmsd"].orderBy("frame").collect()
+    xyz = {(r.frame, r.atom_id): np.array([r.x, r.y, r.z]) for r in atoms.collect()}
+    from framewright.kernels import geometry as G
+
+    for r in got:
+        now, ref = (np.array([xyz[f, a] for a in (0, 1, 2, 3)]) for f in (r.frame, 0))
+        assert abs(r.rmsd_ring - G.rmsd_superposed(now, ref)) < 1e-9
+        d = {k: np.linalg.norm(xyz[r.frame, a] - xyz[r.frame, b]) for k, a, b in (("pi_a", 0, 19), ("pi_b", 0, 1), ("d1_e", 5, 15))}
+        assert all(abs(r[k] - v) < 1e-9 for k, v in d.items())
+        assert r.n_open == sum(d[k] >= 6.5 for k in ("pi_a", "pi_b")) and r.n_elongated == int(d["d1_e"] >= 7.0)
