@@ -609,9 +609,17 @@ def permutation_pvalues(spark, d):
     return S.permutation_eta(wide, [f"f{k}" for k in range(64)], "label", n=99)
 
 
-@query()
+@query(
+    f"""WITH {LONG}, x AS (SELECT feature, value AS v, label = 0 AS f FROM long),
+w AS (SELECT feature, lead(v) OVER o - v AS gap, count(*) FILTER (f) OVER o / count(*) FILTER (f) OVER p AS fa, count(*) FILTER (NOT f) OVER o / count(*) FILTER (NOT f) OVER p AS fb FROM x WINDOW o AS (PARTITION BY feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), p AS (PARTITION BY feature)),
+d AS (SELECT feature, 2 * sum((fa - fb) ^ 2 * gap) AS energy, sum(abs(fa - fb) * gap) AS wasserstein FROM (SELECT feature, coalesce(lead_gap, 0) AS gap, fa, fb FROM (SELECT feature, fa, fb, gap AS lead_gap FROM w)) GROUP BY 1),
+m AS (SELECT feature, median(v) AS m FROM x GROUP BY 1), a AS (SELECT x.feature, 1.4826 * median(abs(v - m)) AS mad FROM x JOIN m USING (feature) GROUP BY 1),
+g AS (SELECT feature, median(v) FILTER (f) AS ma, median(v) FILTER (NOT f) AS mb, avg(v) FILTER (f) AS ua, avg(v) FILTER (NOT f) AS ub, var_samp(v) FILTER (f) AS va, var_samp(v) FILTER (NOT f) AS vb, count(*) FILTER (f) AS na, count(*) FILTER (NOT f) AS nb FROM x GROUP BY 1)
+SELECT feature, round(energy, 6) AS energy, round(wasserstein, 6) AS wasserstein, round((ma - mb) / mad, 6) AS median_shift, round((ua - ub) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS cohens_d FROM d JOIN a USING (feature) JOIN g USING (feature)"""
+)
 def two_sample_tests(spark, d):
-    return S.two_sample(long_vectors(spark, d).withColumn("first", F.col("label") == 0), "value", "first", ["feature"])
+    out = S.two_sample(long_vectors(spark, d).withColumn("first", F.col("label") == 0), "value", "first", ["feature"])
+    return out.select("feature", *(r(c).alias(c) for c in ("energy", "wasserstein", "median_shift", "cohens_d")))
 
 
 @query()
@@ -819,11 +827,22 @@ def selected_frames(spark, d):
     return scoring.select_frames(_scored(spark, d), most=12, apart=0.1)
 
 
-@query()
+@query(
+    f"""WITH {SEG}, h AS (SELECT user_id, segment_id, m AS source, lead(m) OVER w AS target, start_frame AS a, end_frame AS b, lead(start_frame) OVER w AS ta, lead(end_frame) OVER w AS tb FROM seg WINDOW w AS (PARTITION BY user_id ORDER BY start_frame, segment_id)),
+e AS (SELECT * FROM h WHERE target IS NOT NULL AND source <> target),
+f AS (SELECT user_id, frame, 'value' AS feature, value AS v FROM ev UNION ALL SELECT user_id, frame, 'extra', json_extract_string(props, '$.k')::DOUBLE FROM ev),
+s AS (SELECT e.user_id, segment_id, source, target, 0.0 AS side, feature, v FROM e JOIN f ON f.user_id = e.user_id AND frame BETWEEN a AND b UNION ALL SELECT e.user_id, segment_id, source, target, 1.0, feature, v FROM e JOIN f ON f.user_id = e.user_id AND frame BETWEEN ta AND tb),
+g AS (SELECT user_id, segment_id, source, target, feature, avg(v) FILTER (side = 1) - avg(v) FILTER (side = 0) AS delta, CASE WHEN var_pop(v) > 0 THEN corr(v, side) END AS r FROM s GROUP BY ALL),
+c AS (SELECT feature, stddev_pop(v) AS scale FROM f GROUP BY 1),
+p AS (SELECT source, target, feature, avg(delta) AS mean_delta, avg(abs(delta / scale)) AS mean_std_delta, avg(abs(r)) AS mean_abs_r, count(*) AS n_events FROM g JOIN c USING (feature) GROUP BY ALL),
+q AS (SELECT *, 0.5 * mean_std_delta / max(mean_std_delta) OVER (PARTITION BY source, target) + 0.5 * coalesce(mean_abs_r, 0) AS score FROM p)
+SELECT source, target, feature, round(mean_delta, 5) AS mean_delta, round(mean_std_delta, 5) AS mean_std_delta, round(mean_abs_r, 5) AS mean_abs_r, n_events, round(score, 5) AS score, n_events < 2 AS is_descriptive, row_number() OVER (PARTITION BY source, target ORDER BY score DESC, feature) AS rank FROM q"""
+)
 def transition_attribution(spark, d):
     ev = frames(spark, d).withColumn("extra", F.get_json_object("props", "$.k").cast("double"))
     seg = segments(spark, d).join(A.majority(ev.withColumn("segment_id", F.floor(F.col("frame") / 10)), ["user_id", "segment_id"], "event_type").select("user_id", "segment_id", F.col("mode").alias("m")), ["user_id", "segment_id"])
-    return attribution.transition_scores(windows.handoffs(seg, "user_id", "m"), ev, ["value", "extra"], "user_id")
+    out = attribution.transition_scores(windows.handoffs(seg, "user_id", "m"), ev, ["value", "extra"], "user_id")
+    return out.withColumns({c: r(c, 5) for c in ("mean_delta", "mean_std_delta", "mean_abs_r", "score")}).withColumn("rank", F.col("rank").cast("long"))
 
 
 # ---- kernels
