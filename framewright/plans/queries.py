@@ -637,10 +637,18 @@ def histogram_peaks(spark, d):
     return S.peaks(t(spark, d, "events"), "value", ["event_type"], 5.0, 2.0, 0.05, [10.0, 20.0], 5.0)
 
 
-@query()
+@query(
+    """WITH c AS (SELECT l_linenumber AS g, l_returnflag AS a, l_linestatus AS b, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL), t AS (SELECT g, sum(n) AS t FROM c GROUP BY 1),
+ra AS (SELECT g, a, sum(n) AS x FROM c GROUP BY ALL), rb AS (SELECT g, b, sum(n) AS y FROM c GROUP BY ALL),
+mi AS (SELECT g, sum(n / t * ln(n * t / (x * y))) AS mi FROM c JOIN ra USING (g, a) JOIN rb USING (g, b) JOIN t USING (g) GROUP BY 1),
+ha AS (SELECT g, -sum(x / t * ln(x / t)) AS h FROM ra JOIN t USING (g) GROUP BY 1), hb AS (SELECT g, -sum(y / t * ln(y / t)) AS h FROM rb JOIN t USING (g) GROUP BY 1),
+k AS (SELECT g, x, y, t, unnest(range(greatest(1, x + y - t)::BIGINT, least(x, y)::BIGINT + 1))::DOUBLE AS k FROM ra JOIN rb USING (g) JOIN t USING (g)),
+e AS (SELECT g, sum(k / t * ln(t * k / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(t - x + 1) + lgamma(t - y + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(t - x - y + k + 1))) AS e FROM k GROUP BY 1)
+SELECT g AS l_linenumber, round((mi - e) / ((ha.h + hb.h) / 2 - e), 5) AS ami FROM mi JOIN ha USING (g) JOIN hb USING (g) JOIN e USING (g)"""
+)
 def adjusted_information(spark, d):
     li = t(spark, d, "lineitem")
-    return S.adjusted_mutual_information(A.contingency(li, "l_returnflag", "l_linestatus", ["l_linenumber"]), ["l_linenumber"])
+    return S.adjusted_mutual_information(A.contingency(li, "l_returnflag", "l_linestatus", ["l_linenumber"]), ["l_linenumber"]).withColumn("ami", r("ami", 5))
 
 
 @query()
@@ -723,10 +731,15 @@ def kabsch_rmsd(spark, d):
     return geometry.rmsd_to_reference(pos, pos.where("frame = 0").select("traj_id", "positions")).select("traj_id", "frame", "rmsd")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {POINTS}, c AS (SELECT vec_id % 6 AS i, (vec_id // 6) % 6 AS j, sum(x) AS cost FROM p GROUP BY ALL),
+w AS (SELECT -1::BIGINT AS i, []::BIGINT[] AS js, 0::DOUBLE AS total UNION ALL SELECT c.i, list_append(js, c.j), total + cost FROM w JOIN c ON c.i = w.i + 1 AND c.i <> c.j AND NOT list_contains(js, c.j)),
+b AS (SELECT js FROM w WHERE i = 5 ORDER BY total LIMIT 1), a AS (SELECT unnest(range(6)) AS i, js FROM b)
+SELECT 0 AS g, a.i, c.j, round(cost, 6) AS cost FROM a JOIN c ON c.i = a.i AND c.j = js[a.i + 1]"""
+)
 def hungarian(spark, d):
     cost = points(spark, d).select((F.col("vec_id") % 6).alias("i"), F.floor(F.col("vec_id") / 6 % 6).cast("long").alias("j"), "x").groupBy("i", "j").agg(F.sum("x").alias("cost")).withColumn("g", F.lit(0))
-    return geometry.lock_pairs(cost, ["g"])
+    return geometry.lock_pairs(cost, ["g"]).withColumn("cost", r("cost"))
 
 
 @query(
