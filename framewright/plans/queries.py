@@ -824,20 +824,28 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return scoring.score_frames(windows.number_frames(e, "traj_id", ["vec_id"]))
 
 
-@query(
-    """WITH e AS (SELECT label::VARCHAR AS traj_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, embedding[4]::DOUBLE AS rmsd, embedding[5]::DOUBLE AS rg FROM embeddings),
+SCORED = """e AS (SELECT label::VARCHAR AS traj_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, embedding[4]::DOUBLE AS rmsd, embedding[5]::DOUBLE AS rg FROM embeddings),
 g AS (SELECT *, abs(CASE WHEN lead(rmsd) OVER o IS NOT NULL AND lag(rmsd) OVER o IS NOT NULL THEN (lead(rmsd) OVER o - lag(rmsd) OVER o) / 2 WHEN lead(rmsd) OVER o IS NOT NULL THEN lead(rmsd) OVER o - rmsd WHEN lag(rmsd) OVER o IS NOT NULL THEN rmsd - lag(rmsd) OVER o ELSE 0 END) AS g FROM e WINDOW o AS (PARTITION BY traj_id ORDER BY frame)),
 p AS (SELECT traj_id, avg(v) AS m, stddev_pop(v) AS s FROM (SELECT traj_id, unnest([a, b, c]) AS v FROM e) GROUP BY 1),
-z AS (SELECT g.traj_id, frame, a, b, c, m, s, CASE WHEN stddev_pop(g) OVER w = 0 THEN 0 ELSE (g - avg(g) OVER w) / stddev_pop(g) OVER w END AS zg, CASE WHEN stddev_pop(rg) OVER w = 0 THEN 0 ELSE abs((rg - avg(rg) OVER w) / stddev_pop(rg) OVER w) END AS zr FROM g JOIN p USING (traj_id) WINDOW w AS (PARTITION BY traj_id))
-SELECT traj_id, frame::BIGINT AS frame, round(0.35 * greatest(abs((a - m) / s), abs((b - m) / s), abs((c - m) / s)) + 0.2 * zg + 0.35 * zr, 5) AS score FROM z"""
-)
+z AS (SELECT g.traj_id, frame, a, b, c, m, s, CASE WHEN stddev_pop(g) OVER w = 0 THEN 0 ELSE (g - avg(g) OVER w) / stddev_pop(g) OVER w END AS zg, CASE WHEN stddev_pop(rg) OVER w = 0 THEN 0 ELSE abs((rg - avg(rg) OVER w) / stddev_pop(rg) OVER w) END AS zr FROM g JOIN p USING (traj_id) WINDOW w AS (PARTITION BY traj_id)),
+scored AS (SELECT traj_id, frame::BIGINT AS frame, a, b, c, 0.35 * greatest(abs((a - m) / s), abs((b - m) / s), abs((c - m) / s)) + 0.2 * zg + 0.35 * zr AS score FROM z)"""
+
+
+@query(f"WITH {SCORED} SELECT traj_id, frame, round(score, 5) AS score FROM scored")
 def frame_scores(spark, d):
     return _scored(spark, d).select("traj_id", F.col("frame").cast("long").alias("frame"), r("score", 5).alias("score"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SCORED}, o AS (SELECT *, row_number() OVER (PARTITION BY traj_id ORDER BY score DESC, frame) AS k FROM scored),
+walk AS (SELECT DISTINCT traj_id, 0::BIGINT AS k, []::DOUBLE[][] AS spots, NULL::BIGINT AS frame, NULL::DOUBLE AS score, false AS taken FROM o
+ UNION ALL SELECT traj_id, k, CASE WHEN ok THEN list_append(spots, spot) ELSE spots END, frame, score, ok
+ FROM (SELECT w.traj_id, o.k, w.spots, [o.a, o.b, o.c] AS spot, o.frame, o.score, len(w.spots) < 12 AND len(list_filter(w.spots, lambda s: sqrt((s[1] - o.a) ^ 2 + (s[2] - o.b) ^ 2 + (s[3] - o.c) ^ 2) < 0.1)) = 0 AS ok FROM walk w JOIN o ON o.traj_id = w.traj_id AND o.k = w.k + 1) AS step)
+SELECT traj_id, frame, round(score, 5) AS score, false AS must FROM walk WHERE taken"""
+)
 def selected_frames(spark, d):
-    return scoring.select_frames(_scored(spark, d), most=12, apart=0.1)
+    out = scoring.select_frames(_scored(spark, d), most=12, apart=0.1)
+    return out.select("traj_id", F.col("frame").cast("long").alias("frame"), r("score", 5).alias("score"), "must")
 
 
 @query(
