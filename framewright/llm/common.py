@@ -53,6 +53,11 @@ def cut(df: DataFrame, anew: bool = False) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(out._jdf.queryExecution().toRdd(), out._jdf.schema(), False), spark)
 
 
+def few(df: DataFrame, rows: float, each: int = 50_000) -> DataFrame:
+    """df in as few tasks, and files where it is cut, as so many rows need; never in more than it has."""
+    return df.coalesce(int(rows // each) + 1)
+
+
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """df, written as Parquet to the shared folder and read again, and where it is."""
     path = f"{shared_folder(df.sparkSession)}/framewright-{uuid.uuid4().hex}"

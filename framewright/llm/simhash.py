@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, row_keys, slices
+from .common import cut, few, row_keys, slices
 from .components import components
 
 BITS, SHINGLE, DISTANCE, SEED = 64, 4, 4, 42
@@ -427,13 +427,14 @@ def wide_links(documents: DataFrame, rows: DataFrame, key: str, linked: DataFram
     of = rows.select(F.col(key).alias("key"), "fp").dropDuplicates(["key"])
     texts = cut(banded(documents, key).dropDuplicates(["key"]).join(of, "key"))
     n = texts.count()
-    roots = cut(components(linked))
+    roots = cut(few(components(linked), n))
     root = F.coalesce("root", "fp").alias("root")
     each = texts.join(roots, texts.fp == roots.node, "left").select("key", root, F.posexplode("bands").alias("at", "value"))
     apart = lambda rows: rows.groupBy("value").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("value")
     shared = cut(each.select("key", "at", "value").join(apart(each), "value"))
+    rows_met = shared.count()
     # What few texts that share a bucket with others need is joined to them alone.
-    met = cut(shared.join(texts, "key").select("value", "key", "fp", "size", F.slice("bands", F.lit(1), F.col("at")).alias("before")))
+    met = cut(few(shared, rows_met).join(texts, "key").select("value", "key", "fp", "size", F.slice("bands", F.lit(1), F.col("at")).alias("before")))
     some = met.select("key").distinct()
     known = cut(shingle_sets(documents.join(some, documents[key] == some["key"], "left_semi"), key))
     lone = known.select("key", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1")
@@ -445,8 +446,8 @@ def wide_links(documents: DataFrame, rows: DataFrame, key: str, linked: DataFram
     more, last, turn = None, float("inf"), 0
     while True:
         named = met.join(roots, met.fp == roots.node, "left").select("value", "key", "size", "most", "share", "before", root)
-        now = cut(named.join(apart(named), "value"), anew=True)
-        whole = False
+        now = cut(few(named.join(apart(named), "value"), rows_met), anew=True)
+        whole, total = False, rows_met
         if turn:
             per = now.groupBy("value", "root").agg(F.count("*").alias("n")).groupBy("value").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
             total = per.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
@@ -459,11 +460,11 @@ def wide_links(documents: DataFrame, rows: DataFrame, key: str, linked: DataFram
         # A pair comes from the first band in which it meets; one that stands for a bucket may come from several.
         fresh = ~F.arrays_overlap("before_u", "before_v") if whole else F.lit(True)
         pairs = side(first, "u").join(side(now, "v"), "value").where(once & may & fresh).select("u", "v", F.col("root_u").alias("ru"), F.col("root_v").alias("rv"))
-        found = cut(similar_pairs(known, cut(pairs if whole else pairs.distinct())).distinct())
-        more = found if more is None else cut(more.union(found), anew=True)
+        found = cut(few(similar_pairs(known, cut(few(pairs if whole else pairs.distinct(), total, 200_000))).distinct(), rows_met))
+        more = found if more is None else cut(few(more.union(found), rows_met), anew=True)
         if whole:
             return more
-        roots = cut(components(linked.union(more)), anew=True)
+        roots = cut(few(components(linked.union(more)), n), anew=True)
         turn += 1
 
 
