@@ -276,7 +276,7 @@ def block_sums(vectors: DataFrame, id: str, vector: str, label: str, block: int
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     where = F.struct(F.col("l")) if own else F.struct(F.lit(0).alias("l"))
     left = base.withColumn("other", every).select((F.col("at") * blocks + F.col("other")).alias("cell"), where.alias("of"), "i", "x", "l")
-    right = base.withColumn("other", every).select((F.col("other") * blocks + F.col("at")).alias("cell"), where.alias("of"), "i", "x", "l")
+    right = base.withColumn("other", every).select((F.col("other") * blocks + F.col("at")).alias("cell"), where.alias("of"), *(F.col(c).alias(c) for c in "ixl"))
     names = ["i", "l", "m", "s", "n"]
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
