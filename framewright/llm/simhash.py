@@ -431,7 +431,7 @@ def wide_links(documents: DataFrame, rows: DataFrame, key: str, linked: DataFram
     root = F.coalesce("root", "fp").alias("root")
     each = texts.join(roots, texts.fp == roots.node, "left").select("key", root, F.posexplode("bands").alias("at", "value"))
     apart = lambda rows: rows.groupBy("value").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("value")
-    shared = cut(each.select("key", "at", "value").join(apart(each), "value"))
+    shared = cut(few(each.select("key", "at", "value").join(apart(each), "value"), BANDS * n))
     rows_met = shared.count()
     # What few texts that share a bucket with others need is joined to them alone.
     met = cut(few(shared, rows_met).join(texts, "key").select("value", "key", "fp", "size", F.slice("bands", F.lit(1), F.col("at")).alias("before")))
@@ -471,17 +471,18 @@ def wide_links(documents: DataFrame, rows: DataFrame, key: str, linked: DataFram
 def _groups(documents: DataFrame, distance: int, carry: tuple = (), wide: bool = False) -> tuple[DataFrame, DataFrame]:
     """Each row's fingerprint, and the group and its smallest doc_id of each fingerprint."""
     rows = cut(fingerprints(documents, carry))
+    n = rows.count()
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = cut(links(distinct, distance))
     if wide:
         linked = cut(linked.union(wide_links(documents, rows, carry[0], linked)))
-    roots = cut(components(linked))
+    roots = cut(few(components(linked), n))
     named = roots.join(distinct, roots.node == distinct.fp).select("fp", "root", "least")
-    least = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    groups = cut(named.join(least, "root").select("fp", "root", "component_id"))
+    least = cut(few(named.groupBy("root").agg(F.min("least").alias("component_id")), n))
+    groups = cut(few(named.join(least, "root").select("fp", "root", "component_id"), n))
     found = F.col("root").isNotNull()
     each = distinct.join(groups, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(found, F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
-    return rows, cut(each)
+    return rows, cut(few(each, n))
 
 
 def near_duplicates(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
