@@ -2,9 +2,33 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 
 
+def matched(a: np.ndarray, b: np.ndarray, ids_a: Sequence | None = None, ids_b: Sequence | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The points of a and b, row by row, that both have at a finite place: by their ids, or as they stand if either has none."""
+    if ids_a is None or ids_b is None:
+        if len(a) != len(b):
+            raise ValueError(f"{len(a)} and {len(b)} points can only be matched by ids")
+    elif not np.array_equal(ids_a, ids_b):
+        at = {key: n for n, key in enumerate(_numbered(ids_b))}
+        both = [(m, at[key]) for m, key in enumerate(_numbered(ids_a)) if key in at]
+        a, b = a[[m for m, _ in both]], b[[n for _, n in both]]
+    known = np.isfinite(a).all(axis=1) & np.isfinite(b).all(axis=1)
+    return a[known], b[known]
+
+
+def _numbered(ids: Sequence) -> Iterator[tuple]:
+    """Each id with the number of equal ones before it."""
+    seen: Counter = Counter()
+    for i in ids:
+        yield i, seen[i]
+        seen[i] += 1
+
+
 def rotation(mobile: np.ndarray, reference: np.ndarray, reflect: bool = False) -> np.ndarray:
     """The rotation that brings mobile nearest to reference, both taken as they stand."""
     u, _, vt = np.linalg.svd(mobile.T @ reference)

@@ -98,7 +98,7 @@ def compute_rg(s, selection):
 def compute_rmsd(s, selection, ref_frame):
     """Distance of each frame from a reference frame after superposition."""
     pos = geometry.positions(s.values["atoms"].where(_where(selection)))
-    ref = pos.where(F.col("frame") == ref_frame).select("traj_id", "positions")
+    ref = pos.where(F.col("frame") == ref_frame).select("traj_id", "positions", "atom_ids")
     return {"rmsd": geometry.rmsd_to_reference(pos, ref).select("traj_id", "frame", "rmsd")}
 
 

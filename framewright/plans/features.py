@@ -44,7 +44,7 @@ def assembly_features(
     centres = geometry.centroids(own, [group]).select(*FRAME, group, "x", "y", "z")
     middle = own.groupBy(*FRAME).agg(*(F.avg(a).alias(f"c{a}") for a in "xyz"))
     pos = geometry.positions(own)
-    reference = pos.where(F.col("frame") == ref_frame).select("traj_id", "positions")
+    reference = pos.where(F.col("frame") == ref_frame).select("traj_id", "positions", "atom_ids")
     parts = [
         _named(geometry.shapes(own), "assembly"),
         _named(geometry.neighbour_statistics(centres, group), "com"),
@@ -87,7 +87,7 @@ def motif_rmsd(atoms: DataFrame, motifs: DataFrame, units: DataFrame, ref_frame:
     names = sorted(r[0] for r in motifs.select("motif").distinct().collect())
     columns = sorted({f"{r['kind']}_{r['unit']}" for r in units.select("kind", "unit").distinct().collect()})
     pos = geometry.positions(atoms.join(F.broadcast(motifs), "atom_id"), [*FRAME, "motif"])
-    reference = pos.where(F.col("frame") == ref_frame).select("traj_id", "motif", "positions")
+    reference = pos.where(F.col("frame") == ref_frame).select("traj_id", "motif", "positions", "atom_ids")
     moved = geometry.rmsd_to_reference(pos, reference, key=("traj_id", "motif"))
     wide = moved.groupBy(*FRAME).pivot("motif", names).agg(F.first("rmsd")).withColumnsRenamed({n: f"rmsd_{n}" for n in names})
     each = unit_distances(atoms, units)

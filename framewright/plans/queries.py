@@ -728,7 +728,7 @@ def shape_descriptors(spark, d):
 def kabsch_rmsd(spark, d):
     p = points(spark, d).withColumn("atom_id", F.col("vec_id") % 10).withColumn("frame", F.floor(F.col("vec_id") / 10)).withColumn("traj_id", F.lit("a"))
     pos = geometry.positions(p)
-    return geometry.rmsd_to_reference(pos, pos.where("frame = 0").select("traj_id", "positions")).select("traj_id", "frame", "rmsd")
+    return geometry.rmsd_to_reference(pos, pos.where("frame = 0").drop("frame")).select("traj_id", "frame", "rmsd", "n_matched")
 
 
 @query(

@@ -153,6 +153,19 @@ def test_superposition():
     assert np.allclose(G.superpose(a, a, b), b)
 
 
+def test_matched():
+    a, b = np.arange(12.0).reshape(4, 3), np.arange(100.0, 109.0).reshape(3, 3)
+    p, q = G.matched(a, b, [1, 2, 2, 5], [0, 2, 5])
+    assert np.array_equal(p, a[[1, 3]]) and np.array_equal(q, b[[1, 2]])
+    p, q = G.matched(a, b, [1, 2, 2, 5], [2, 2, 9])
+    assert np.array_equal(p, a[[1, 2]]) and np.array_equal(q, b[[0, 1]])
+    p, q = G.matched(a[:3], b)
+    assert np.array_equal(p, a[:3]) and np.array_equal(q, b)
+    assert not len(G.matched(a, b, [1, 2, 3, 4], [5, 6, 7])[0])
+    with pytest.raises(ValueError):
+        G.matched(a, b)
+
+
 def test_shape_plane_strain():
     line = np.column_stack([np.arange(9.0), np.zeros(9), np.zeros(9)])
     s = G.shape(line)

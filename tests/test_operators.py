@@ -273,6 +273,26 @@ def test_geometry(spark):
     assert aggregates.main_species(atoms).first().resname == "MOL" and aggregates.residue_catalog(atoms).first().resids == [0, 1, 2]
 
 
+@pytest.mark.parametrize("centred", [True, False])
+def test_rmsd_of_frames_that_lack_atoms(spark, centred):
+    """Atoms meet by their ids: one missing, another in its place, one without a place, only others; the reference lacks one too."""
+    from framewright.kernels import geometry as G
+
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(8, 3))
+    ids = {0: range(7), 1: range(8), 2: [0, 1, 2, 4, 5], 3: [0, 1, 2, 4, 5, 6, 7], 4: range(7), 5: [7]}
+    place = {(f, i): base[i] + rng.normal(0, 0.2, 3) for f, some in ids.items() for i in some}
+    place[4, 3] = [math.nan, 0.0, 0.0]
+    data = [("t", f, i, *map(float, p)) for (f, i), p in place.items()] + [("t", 4, 7, None, 0.0, 0.0)]
+    pos = geometry.positions(spark.createDataFrame(data, "traj_id string, frame long, atom_id int, x double, y double, z double"))
+    got = {r.frame: r for r in geometry.rmsd_to_reference(pos, pos.where("frame = 0").drop("frame"), centred).collect()}
+    both = {0: range(7), 1: range(7), 2: [0, 1, 2, 4, 5], 3: [0, 1, 2, 4, 5, 6], 4: [0, 1, 2, 4, 5, 6]}
+    for f, shared in both.items():
+        want = (G.rmsd_superposed if centred else G.rmsd_rotated)(*(np.array([place[g, i] for i in shared]) for g in (f, 0)))
+        assert got[f].n_matched == len(shared) and abs(got[f].rmsd - want) < 1e-9
+    assert len(got) == 6 and got[5].n_matched == 0 and got[5].rmsd is None
+
+
 def test_predicates(spark):
     v = lambda *a: F.array(*(F.lit(float(x)) for x in a))
     got = spark.range(1).select(

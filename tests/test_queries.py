@@ -49,6 +49,23 @@ def test_query(spark, duck, name):
     assert a == b
 
 
+def test_kabsch_rmsd_of_a_frame_with_fewer_atoms(spark, tmp_path):
+    """496 vectors make 49 frames of ten atoms and one of six."""
+    import numpy as np
+
+    held = spark.read.parquet(f"{SMALL}/embeddings.parquet").where("vec_id < 496")
+    held.write.parquet(f"{tmp_path}/embeddings.parquet")
+    xyz = np.array([r.embedding[:3] for r in held.orderBy("vec_id").collect()], float)
+    got = {r.frame: r for r in entry_points.queries()["kabsch_rmsd"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(50))
+    for f, r in got.items():
+        now = xyz[10 * f : 10 * f + 10]
+        a, b = (m - m.mean(axis=0) for m in (now, xyz[: len(now)]))
+        s = np.linalg.svd(a.T @ b, compute_uv=False) * [1, 1, np.sign(np.linalg.det(a.T @ b))]
+        want = math.sqrt(max(0.0, ((a**2).sum() + (b**2).sum() - 2 * s.sum()) / len(now)))
+        assert r.n_matched == len(now) and abs(r.rmsd - want) < 1e-6
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
 
